@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash, topk, toxicity
+from . import chat, decontaminate, mixing, pii, simhash, topk, toxicity
 from .common import read
 
 
@@ -73,16 +73,26 @@ from e group by conv_id
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
+    "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_chat": OP4_SQL}

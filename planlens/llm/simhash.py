@@ -103,12 +103,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     named = classes.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_first(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the smallest doc_id stays (of equal ids one row), with all its columns.
-
-    A class whose rows all lack a doc_id keeps one of them.
-    """
-    ids = near_duplicates(docs, shingle, bucket).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["__keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
