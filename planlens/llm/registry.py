@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, simhash, topk, toxicity
+from . import chat, decontaminate, mixing, pii, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -73,6 +73,10 @@ from e group by conv_id
 """
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
+    "op5_substrings": op5_substrings,
     "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
     "op10_pii": op10_pii,
