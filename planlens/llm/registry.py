@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, simhash, substrings, topk, toxicity
+from . import chat, decontaminate, mixing, ngrams, pages, pii, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -77,6 +77,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -85,6 +89,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(read(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
 
@@ -95,8 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_substrings": op5_substrings,
+    "op6_pages": op6_pages,
     "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
+    "op9_ngrams": op9_ngrams,
     "op10_pii": op10_pii,
 }
 
