@@ -6,8 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: anything but a space or one of the ASCII control blanks U+0009 to U+000D.
@@ -49,6 +51,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _objects(b: pd.DataFrame) -> pd.DataFrame:
+    """String columns as plain objects, nulls as None: string arrays of several chunks can't be sent back to Spark."""
+    found = {c: b[c].astype(object).where(b[c].notna(), None) for c in b.columns if isinstance(b[c].dtype, pd.StringDtype)}
+    return b.assign(**found) if found else b
+
+
+def solid(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``function`` for mapInPandas with strings as plain objects on both sides, and without empty frames."""
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in function(_objects(b) for b in it):
+            if len(b):  # an empty frame has no types to send
+                yield _objects(b)
+
+    return batches
+
+
 # ---------------------------------------------------------------- hashing of word windows
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

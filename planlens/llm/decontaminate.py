@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import solid
+
 
 def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -124,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(batches, "doc_id long, item_id long, distance int")
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(solid(batches), "doc_id long, item_id long, distance int")
         found = part if found is None else found.union(part)
     return found
 
@@ -139,5 +141,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars:
             for b in it:
                 yield b[[not matcher.find(t) for t in b["text"]]]
 
-        docs = docs.mapInPandas(batches, schema)
+        docs = docs.mapInPandas(solid(batches), schema)
     return docs

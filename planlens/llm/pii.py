@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD_RE
+from .common import WORD_RE, solid
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -354,7 +354,7 @@ def find(docs: DataFrame, model: Field) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
             yield out
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(batches, FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(solid(batches), FOUND)
 
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
@@ -380,4 +380,4 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
                 b["n_chars"] = [len(t) if t is not None else n for t, n in zip(new, b["n_chars"], strict=True)]
             yield b
 
-    return docs.mapInPandas(batches, schema)
+    return docs.mapInPandas(solid(batches), schema)

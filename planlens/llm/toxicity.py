@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import solid
+
 SENTENCE_RE = re.compile(r"[^.!?\n]+")
 TOKEN_RE = re.compile(r"[^\W_]+")
 
@@ -139,7 +141,7 @@ def score(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.3, sentence
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(batches, "doc_id long, " + SCORED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(solid(batches), "doc_id long, " + SCORED)
 
 
 def reject(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.3) -> DataFrame:
@@ -150,4 +152,4 @@ def reject(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.3) -> Data
         for b in it:
             yield b[[model.score(model.sentence_logits(t)[0]) < threshold for t in b["text"]]]
 
-    return docs.mapInPandas(batches, schema)
+    return docs.mapInPandas(solid(batches), schema)
