@@ -1,0 +1 @@
+"""Reserved for an incremental ingest; the estimators work on yearly snapshots and need no stream."""
