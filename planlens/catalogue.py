@@ -409,7 +409,7 @@ def _raw(spark, sf_dir):
     fields = {
         "dataset_year": F.when(c("k") == 1, "x").otherwise(F.year("o_orderdate").cast("string")), "source_sheet": F.lit(" s "), "source_row": c("o_orderkey").cast("string"), "source_sha256": F.sha2(c("o_orderkey").cast("string"), 256),
         "region_raw": F.when(c("k") == 2, "?").otherwise("서울"), "district_raw": F.lit("-"), "festival_name": F.when(c("k") == 3, "  ").otherwise("n"), "festival_type": F.when(c("k") == 4, "A| B |A|Z").otherwise("A"),
-        "venue_type": F.when(c("k") == 5, "none").otherwise(blank), "duration_days": F.lit("2.5"), "covid_affected": F.lit("True"), "budget_total_million": F.format_string("%.3f", c("o_totalprice") / 1000), "budget_quality_flag": F.when(c("k") == 6, "ODD").otherwise("VALID"),
+        "venue_type": F.when(c("k") == 5, "none").otherwise(blank), "duration_days": F.lit("2.5"), "covid_affected": F.lit("True"), "budget_total_million": F.replace(F.format_number(c("o_totalprice") / 1000, 3), F.lit(","), F.lit("")), "budget_quality_flag": F.when(c("k") == 6, "ODD").otherwise("VALID"),
     }
     return o.select(*(v.alias(k) for k, v in fields.items()))
 
