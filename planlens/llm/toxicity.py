@@ -70,18 +70,22 @@ class NoisyOrModel:
 
 def fit(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int = 300, l1: float = 2e-4, rate: float = 0.1) -> NoisyOrModel:
     """Proximal Adam on the mean document log-likelihood with an L1 penalty on the word weights."""
-    bags = [[sorted(f) for s in SENTENCE_RE.findall(t or "") if (f := features(s))] for t in texts]
-    seen: dict[str, int] = {}
+    # features become numbers as they are met: millions of separate strings would fill the driver
+    names: dict[str, int] = {}
+    bags = [[np.array([names.setdefault(w, len(names)) for w in f], np.int32) for s in SENTENCE_RE.findall(t or "") if (f := features(s))] for t in texts]
+    seen = np.zeros(len(names), np.int64)
     for bag in bags:
-        for w in {w for s in bag for w in s}:
-            seen[w] = seen.get(w, 0) + 1
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
+        if bag:
+            seen[np.unique(np.concatenate(bag))] += 1
+    vocab = {w: i for i, w in enumerate(sorted(w for w, i in names.items() if seen[i] >= min_docs))}
     bags, labels = zip(*[(b, y) for b, y in zip(bags, labels, strict=True) if b], strict=True) if any(bags) else ((), ())
     y = np.array(labels, float)
     if not vocab or not len(y) or y.min() == y.max():
         return NoisyOrModel()
-    ids = [[vocab[w] for w in s if w in vocab] for b in bags for s in b]
-    flat = np.array([i for s in ids for i in s], np.int64)
+    column = np.full(len(names), -1, np.int32)
+    column[[names[w] for w in vocab]] = np.arange(len(vocab))
+    ids = [(c := np.sort(column[s]))[c >= 0] for b in bags for s in b]
+    flat = np.concatenate(ids).astype(np.int64)
     sent = np.repeat(np.arange(len(ids)), [len(s) for s in ids])
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     x, m, v = np.zeros(len(vocab) + 1), 0.0, 0.0  # the last entry is the bias
