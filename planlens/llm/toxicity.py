@@ -112,10 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_words: i
     """Fit on labelled documents outside the held-out fold. The sample is bounded by ``max_docs`` documents and ``max_words`` words."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("__id"), "toxic")
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").join(known, "__id")
     longest = 8 * max_words // max(1, max_docs)  # words; keeps the sample, not the scoring, in bounds
-    rows = rows.where(F.length("text") <= 8 * longest).select("text", "toxic", F.xxhash64("text").alias("h"), "__id")
-    sample = rows.orderBy("h", "__id", "toxic").limit(max_docs).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").where(F.length("text") <= 8 * longest)
+    # only ids are shuffled: a hash picks a tenth more of them than needed, and their texts alone are read by a broadcast join
+    usable = rows.select("__id").join(known, "__id")
+    share = min(1.0, 1.1 * max_docs / max(1, usable.count()))
+    picked = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(2 * max_docs).collect()
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], "__id long, toxic int")
+    sample = rows.join(F.broadcast(chosen), "__id").select("text", "toxic", F.xxhash64("text").alias("h"), "__id").orderBy("h", "__id", "toxic").limit(max_docs).collect()
     texts, ys, words = [], [], 0
     for r in sample:
         words += r.text.count(" ") + 1
