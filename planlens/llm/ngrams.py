@@ -1,16 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts words and, among the ``head`` most frequent words, pairs of neighbours, over all training documents. Pair
-counts are quantised on a log scale, q = 1 + floor(log_BASE(count)), and the filter holds the keys (pair, 1) to
-(pair, q): a reader probes 1, 2, ... until a key is missing and so recovers q (Talbot and Brants, 2008). It is built in parts
-on the workers, each part from the keys that hash to it, and broadcast; its size follows the number of keys up to
-``max_bits``, which bounds what is sent, and beyond that only its error rate grows. Word counts are exact: those of the
-head, at most ``head`` words, are broadcast, and the rare rest is met by an equality join, which has no hot keys as all
-frequent words are in the head.
+Training counts all words and all pairs of neighbours over all training documents. Words are known by 62-bit and pairs by
+64-bit hashes. Pair counts are quantised on a log scale, q = 1 + floor(log_BASE(count)), and the filter holds the keys
+(pair, 1) to (pair, q): a reader probes 1, 2, ... until a key is missing and so recovers q (Talbot and Brants, 2008). The
+filter is cut into parts by the hash of the pair. Their number follows the number of pairs and the bits of each its keys, so the
+error rate is the same at every size; each part is built and probed by one task, which holds all levels of its pairs, and no
+part leaves it.
+
+Word counts are exact: those of the ``head`` most frequent words are broadcast, and the rare rest is met by an equality join,
+which has no hot keys as all frequent words are in the head. The head changes no result.
 
 A word w after u has p(w | u) = L(u) * f(u, w) / c(u) + (1 - L(u)) * p(w) with f the recovered count, p(w) the add-one
-estimate of the base score, and L(u) = c(u) / (c(u) + T), so that rare contexts trust the single words; outside the head it
-is p(w).
+estimate of the base score, and L(u) = c(u) / (c(u) + T), so that rare contexts trust the single words. Where f is 0 its
+logarithm is a sum of one term for u and one for w; what a pair with f > 0 adds to that is its *gain*, kept in single
+precision. The gains of about the ``cache`` most frequent pairs are broadcast, the others are joined, with the same result.
 
 Defined cases: null texts are empty and consist of the end token; with no training documents V and N are 0 and all
 probabilities are 1; repeated rows each get their row; a null doc_id is a training document; other columns are ignored.
@@ -19,12 +22,12 @@ probabilities are 1; repeated rows each get their row; a null doc_id is a traini
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,61 +35,112 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES_RE, materialise, mix, solid
 
 #: No word holds a space.
-END = " "
+END = b" "
 BASE = 1.5
 TRUST = 200.0
 HASHES = 3
 PARTS = 64
+#: Hashes of words have this bit; numbers of head words are below it.
+RARE = 1 << 62
+#: About as many pairs share a part of the filter.
+PART_PAIRS = 50_000
 
 
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words with A-Z lowered, then the end token."""
-    return [*(w.decode("utf-8", "surrogatepass") for w in WORD_BYTES_RE.findall((text or "").encode("utf-8", "surrogatepass").lower())), END]
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of each text, with A-Z lowered and the end token after them, in one array; the words of each."""
+    found, sizes = [], []
+    for t in texts:
+        words = WORD_BYTES_RE.findall((t or "").encode("utf-8", "surrogatepass").lower())
+        words.append(END)
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        sizes.append(len(words))
+    h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return (h & np.uint64(RARE - 1) | np.uint64(RARE)).view(np.int64), np.array(sizes, np.int64)
+
+
+def chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of about 8 million characters, 1.5 million words, at once."""
+    sizes = np.cumsum(b["text"].str.len().fillna(0).to_numpy(np.int64)) // 8_000_000
+    for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(sizes)) + 1):
+        yield b.iloc[part]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c: exact counts, combined in the task before they are shuffled."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[str] = Counter()
+        held, size = [], 0
+
+        def out() -> pd.DataFrame:
+            word, c = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"word": word, "c": c.astype(np.int64)})
+
         for b in it:
-            for t in b["text"]:
-                held.update(tokens(t))
-            if len(held) > 500_000:
-                yield pd.DataFrame({"word": list(held), "c": list(held.values())})
-                held = Counter()
-        yield pd.DataFrame({"word": list(held), "c": list(held.values())}, columns=["word", "c"]).astype({"c": "int64"})
+            for part in chunks(b):
+                held.append(hashed(part["text"])[0])
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return docs.select("text").mapInPandas(solid(batches), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+@dataclass
+class Head:
+    """The most frequent words, sorted by hash, with their counts; the end token is always among them."""
+
+    words: np.ndarray
+    c: np.ndarray
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """The number of each head word, the hash of any other."""
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, at, h)
 
-    return docs.select("text").mapInPandas(solid(batches), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def neighbours(size: np.ndarray) -> np.ndarray:
+    """The places of all words but the last of each text."""
+    follows = np.ones(int(size.sum()), bool)
+    follows[np.cumsum(size) - 1] = False
+    return np.flatnonzero(follows)
 
-def pair_counts(docs: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """pair, c: counts of neighbours that are both in the head; pair = first id << 32 | second id."""
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(u.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
+
+
+def pair_counts(rows: DataFrame, head) -> DataFrame:
+    """u, w, c, n: every pair of neighbours, by the keys of its words, with its count in training and in all documents."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def out() -> pd.DataFrame:
-            pair, c = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"pair": pair, "c": c.astype(np.int64)})
+            u, w, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, of = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
+            return pd.DataFrame({"u": u[first], "w": w[first], "c": np.bincount(of, train).astype(np.int64), "n": np.bincount(of).astype(np.int64)})
 
         for b in it:
-            for t in b["text"]:
-                i = np.array([ids.get(w, -1) for w in tokens(t)], np.int64)
-                both = (i[:-1] >= 0) & (i[1:] >= 0)
-                held.append(i[:-1][both] << 32 | i[1:][both])
-                size += len(held[-1])
-            if size > 4_000_000:
-                yield out()
-                held, size = [], 0
+            for part in chunks(b):
+                h, sizes = hashed(part["text"])
+                at, k = neighbours(sizes), head.value.keys(h)
+                held.append((k[at], k[at + 1], np.repeat(~part["held_out"].to_numpy(bool), sizes)[at]))
+                size += len(at)
+                if size > 3_000_000:
+                    yield out()
+                    held, size = [], 0
         if size:
             yield out()
 
-    return docs.select("text").mapInPandas(solid(batches), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return rows.select("text", "held_out").mapInPandas(solid(batches), "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def keys(pairs: np.ndarray, level: np.ndarray | int) -> np.ndarray:
@@ -95,7 +149,7 @@ def keys(pairs: np.ndarray, level: np.ndarray | int) -> np.ndarray:
 
 
 def places(key: np.ndarray, part_bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The part of each key and its bits there (double hashing)."""
+    """The row of each key and its bits there (double hashing)."""
     with np.errstate(over="ignore"):
         step, n = mix(key) | np.uint64(1), np.uint64(part_bits)
         return (key >> np.uint64(58)).astype(np.int64), [((key + step * np.uint64(j)) & np.uint64((1 << 58) - 1)) % n for j in range(HASHES)]
@@ -108,6 +162,19 @@ class LogBloom:
     parts: np.ndarray
     part_bits: int
 
+    @classmethod
+    def of(cls, pairs: np.ndarray, c: np.ndarray, max_bits: int | None = None, bits_per_key: int = 10) -> LogBloom:
+        """Holds (pair, 1..q) of each pair with its count c >= 1."""
+        q = np.floor(np.log(c.astype(float)) / math.log(BASE)).astype(np.int64) + 1
+        bits = int(q.sum()) * bits_per_key
+        part_bits = max(64, -(-(bits if max_bits is None else min(max_bits, bits)) // PARTS // 8) * 8)
+        made = cls(np.zeros((PARTS, part_bits // 8), np.uint8), part_bits)
+        level = np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q) + 1
+        part, spots = places(keys(np.repeat(pairs, q), level), part_bits)
+        for bit in spots:
+            np.bitwise_or.at(made.parts, (part, (bit >> np.uint64(3)).astype(np.int64)), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+        return made
+
     def has(self, key: np.ndarray) -> np.ndarray:
         part, bits = places(key, self.part_bits)
         out = np.ones(len(key), bool)
@@ -126,101 +193,99 @@ class LogBloom:
 
 
 def build_filter(pairs: DataFrame, max_bits: int, bits_per_key: int = 10) -> LogBloom:
-    """Keys (pair, 1..q) in parts: each part is made by one task from the keys that hash to it, and is of bounded size."""
-    level = f"1 + cast(floor(ln(c) / {math.log(BASE)}) as int)"
-    total = pairs.agg(F.sum(F.expr(level))).first()[0] or 0
-    part_bits = max(64, min(max_bits, total * bits_per_key) // PARTS // 8 * 8)
-
-    def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each task ors its keys into parts of its own, as wide as the filter, and passes on those it has touched."""
-        mine = np.zeros((PARTS, part_bits // 8), np.uint8)
-        any_ = np.zeros(PARTS, bool)
-        for b in it:
-            q = np.floor(np.log(b["c"].to_numpy(float)) / math.log(BASE)).astype(np.int64) + 1
-            pair = np.repeat(b["pair"].to_numpy(np.int64), q)
-            lv = np.arange(len(pair)) - np.repeat(np.cumsum(q) - q, q) + 1
-            part, bits = places(keys(pair, lv), part_bits)
-            any_[np.unique(part)] = True
-            for bit in bits:
-                np.bitwise_or.at(mine, (part, (bit >> np.uint64(3)).astype(np.int64)), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
-        for i in np.flatnonzero(any_):
-            yield pd.DataFrame({"part": [int(i)], "data": [mine[i].tobytes()]})
-
-    def merge(df: pd.DataFrame) -> pd.DataFrame:
-        data = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in df["data"]])
-        return pd.DataFrame({"part": [df["part"].iloc[0]], "data": [data.tobytes()]})
-
-    made = pairs.mapInPandas(solid(local), "part int, data binary").groupBy("part").applyInPandas(merge, "part int, data binary")
-    parts = np.zeros((PARTS, part_bits // 8), np.uint8)
-    for r in made.collect():
-        parts[r.part] = np.frombuffer(r.data, np.uint8)
-    return LogBloom(parts, part_bits)
+    """One filter of (pair, c) rows in memory, for tables known to be small; ``score`` keeps its parts on the workers."""
+    rows = pairs.select("pair", "c").toArrow()
+    return LogBloom.of(rows["pair"].to_numpy(), rows["c"].to_numpy(), max_bits, bits_per_key)
+
+
+def pair_gains(pairs: DataFrame, words: DataFrame, head, d: float) -> DataFrame:
+    """key, gain, n: the pairs with a recovered count, by pair_hash; d is the divisor of the add-one estimate."""
+    for side in ("u", "w"):
+        known = words.select(F.col("word").alias(side), F.col("c").alias(f"c{side}"))
+        pairs = pairs.where(F.col(side) >= RARE).join(known, side, "left").unionByName(pairs.where(F.col(side) < RARE).withColumn(f"c{side}", F.lit(None).cast("long")))
+
+    def part_gains(df: pd.DataFrame) -> pd.DataFrame:
+        u, w, c = (df[x].to_numpy(np.int64) for x in ("u", "w", "c"))
+        count = lambda k, own: np.where(k < RARE, head.value.c[np.where(k < RARE, k, 0)], own.fillna(0).to_numpy(float))
+        cu, cw, key = count(u, df["cu"]), count(w, df["cw"]), pair_hash(u, w)
+        f = LogBloom.of(key[c > 0], c[c > 0]).counts(key)
+        at = np.flatnonzero((f > 0) & (cu > 0))
+        # p(w | u) over its value at f = 0, (1 - L) * p(w), with L / (1 - L) = c(u) / T
+        gain = np.log10(1 + cu[at] / TRUST * np.minimum(1.0, f[at] / cu[at]) * d / (cw[at] + 1))
+        return pd.DataFrame({"key": key[at], "gain": gain.astype(np.float32), "n": df["n"].to_numpy(np.int64)[at]})
+
+    n_parts = max(1024, -(-pairs.count() // PART_PAIRS))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("u", "w"), F.lit(n_parts)))
+    return dealt.groupBy("part").applyInPandas(part_gains, "key long, gain float, n long")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, head: int = 65_536, max_bits: int = 1 << 28) -> DataFrame:
+def score(docs: DataFrame, head: int = 65_536, cache: int = 524_288) -> DataFrame:
     """The columns of SCORES for every document, in log10."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    train = rows.where("not held_out")
-    words = materialise(word_counts(train), "words")
+    words = materialise(word_counts(rows.where("not held_out")), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.col("c").desc(), "word").limit(head).collect()
-    ids = {r.word: i for i, r in enumerate(top)}
-    c_head = np.array([r.c for r in top] + [0], float)
-    known_ids = spark.sparkContext.broadcast(ids)
-    pairs = materialise(pair_counts(train, ids), "pairs")
-    bloom = spark.sparkContext.broadcast(build_filter(pairs, max_bits))
+    end = int(hashed([""])[0][0])
+    top = {r.word: r.c for r in words.orderBy(F.col("c").desc(), "word").limit(head).collect()}
+    top[end] = next((r.c for r in words.where(F.col("word") == end).collect()), 0)
+    order = sorted(top)
+    first = spark.sparkContext.broadcast(Head(np.array(order, np.int64), np.array([top[w] for w in order], float)))
     log_d = math.log10(n + v + 1)
 
-    own = np.log10(c_head + 1)  # the last entry, for -1, is log10(0 + 1)
-
-    def pair_scores(i: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; ``first`` marks the first token of each document. Equal pairs are probed once."""
-        p1 = (c_head[i] + 1) * 10.0**-log_d
-        full = np.log10(p1)
-        at = np.flatnonzero((i[:-1] >= 0) & (i[1:] >= 0) & ~first[1:])
-        pairs, where = np.unique(i[at] << 32 | i[at + 1], return_inverse=True)
-        f, cu = bloom.value.counts(pairs), c_head[pairs >> 32]
-        trust = cu / (cu + TRUST)
-        full[at + 1] = np.log10((trust * np.minimum(1.0, f / cu))[where] + (1 - trust)[where] * p1[at + 1])
-        return full
+    pairs = materialise(pair_counts(rows, first), "pairs")
+    gains = materialise(pair_gains(pairs, words, first, float(n + v + 1)), "gains")
+    least, left = math.inf, cache
+    for r in sorted(gains.groupBy("n").count().collect(), key=lambda r: -r.n):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.n
+    often = (gains.where(F.col("n") >= int(least)) if least < math.inf else gains.where("false")).select("key", "gain").toArrow()
+    key, gain = often["key"].to_numpy(), often["gain"].to_numpy().astype(float)
+    by_key = np.argsort(key)
+    cached = spark.sparkContext.broadcast((np.append(key[by_key], np.iinfo(np.int64).max), np.append(gain[by_key], 0.0)))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, ref = known_ids.value.get, TaskContext.get().partitionId() << 36
+        ref, c = TaskContext.get().partitionId() << 36, np.append(first.value.c, 0.0)
+        own, context = np.log10(c + 1), np.log10(TRUST / (c + TRUST))
+        hot, hot_gain = cached.value
         for b in it:
-            sizes = np.cumsum(b["text"].str.len().fillna(0).to_numpy(np.int64)) // 8_000_000
-            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(sizes)) + 1):  # about 1.5 million words at once
-                words = [tokens(t) for t in b["text"].iloc[part]]
-                n_words = np.array([len(w) for w in words])
-                start = np.cumsum(n_words) - n_words
-                i = np.array([get(w, -1) for ws in words for w in ws], np.int64)
-                first = np.zeros(len(i), bool)
-                first[start] = True
-                rare = i < 0
-                full = np.where(rare, 0.0, pair_scores(i, first))
-                refs = ref + np.arange(len(part))
-                ref += len(part)
-                n_rare = np.add.reduceat(rare.astype(np.int64), start)
+            for part in chunks(b):
+                h, sizes = hashed(part["text"])
+                start, at = np.cumsum(sizes) - sizes, neighbours(sizes)
+                doc, k = np.repeat(np.arange(len(part)), sizes), first.value.keys(h)
+                rare = k >= RARE
+                i = np.where(rare, len(c) - 1, k)
+                pair = pair_hash(k[at], k[at + 1])
+                spot = np.searchsorted(hot, pair)
+                met = hot[spot] == pair
+                full = own[i].copy()
+                full[at] += context[i[at]] + np.where(met, hot_gain[spot], 0.0)
+                known = np.add.reduceat((~rare & (c[i] > 0)).astype(np.int64), start)
                 yield pd.DataFrame({
-                    "ref": refs, "doc_id": b["doc_id"].iloc[part].astype("Int64").array, "held_out": b["held_out"].iloc[part].astype("boolean").array, "n": n_words, "known": n_words - n_rare,
-                    "base": np.add.reduceat(np.where(rare, 0.0, own[i]), start), "full": np.add.reduceat(full, start), "word": np.full(len(part), None, object), "times": n_rare,
+                    "ref": ref + np.arange(len(part)), "key": mix((ref + np.arange(len(part))).view(np.uint64)).view(np.int64), "times": 0, "doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].astype("boolean").array,
+                    "n": sizes, "known": known, "base": np.add.reduceat(own[i], start), "full": np.add.reduceat(full, start),
                 })
-                doc = np.repeat(np.arange(len(part)), n_words)
-                spots = np.flatnonzero(rare)
-                met = Counter((d, words[d][j]) for d, j in zip(doc[spots].tolist(), (spots - start[doc[spots]]).tolist(), strict=True))
-                if met:
-                    d, w = zip(*met, strict=True)
-                    none = np.full(len(d), None, object)
-                    yield pd.DataFrame({"ref": refs[list(d)], "doc_id": pd.array(none, "Int64"), "held_out": pd.array(none, "boolean"), "n": 0, "known": 0, "base": 0.0, "full": 0.0, "word": np.array(w, object), "times": list(met.values())})
-
-    found = materialise(rows.mapInPandas(solid(batches), "ref long, doc_id long, held_out boolean, n long, known long, base double, full double, word string, times long"), "scores")
-    # a rare word gives log10(c + 1) to both scores; the constant of all rare ones is in the document's own row
-    rare = found.where("word is not null").join(words, "word")
-    zero = F.lit(0).cast("long")
-    rare = rare.select("ref", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), zero.alias("n"), F.col("times").alias("known"), (F.log10(F.col("c") + 1) * F.col("times")).alias("base"), (F.log10(F.col("c") + 1) * F.col("times")).alias("full"), zero.alias("rest"))
-    docs_rows = found.where("word is null").select("ref", "doc_id", "held_out", "n", "known", "base", "full", F.col("times").alias("rest"))
-    total = docs_rows.unionByName(rare).groupBy("ref").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("full").alias("full"), F.sum("rest").alias("rest"))
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * log_d).alias("base_score"), (F.col("full") - F.col("rest") * log_d).alias("score"))
+                # what the broadcast tables lack goes to the join, once for each document and key
+                d, x = np.concatenate([doc[rare], doc[at][~met]]), np.concatenate([k[rare], pair[~met]])
+                by = np.lexsort((x, d))
+                d, x = d[by], x[by]
+                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (x[1:] != x[:-1]))) if len(d) else np.zeros(0, np.int64)
+                none = np.full(len(new), None, object)
+                yield pd.DataFrame({"ref": ref + d[new], "key": x[new], "times": np.diff(np.append(new, len(d))), "doc_id": pd.array(none, "Int64"), "held_out": pd.array(none, "boolean"), "n": 0, "known": 0, "base": 0.0, "full": 0.0})
+                ref += len(part)
+
+    found = rows.mapInPandas(solid(batches), "ref long, key long, times long, doc_id long, held_out boolean, n long, known long, base double, full double")
+    own = F.log10(F.col("c") + 1)
+    seen = words.where(~F.col("word").isin(end)).select(F.col("word").alias("key"), F.lit(1).alias("is_word"), own.alias("b"), (own + F.log10(TRUST / (F.col("c") + TRUST))).alias("g"))
+    seen = seen.unionByName(gains.where(F.col("n") < (int(least) if least < math.inf else (1 << 62))).select("key", F.lit(0).alias("is_word"), F.lit(0.0).alias("b"), F.col("gain").cast("double").alias("g")))
+    both = found.join(seen, "key", "left")
+    more = lambda x: F.coalesce(F.col(x) * F.col("times"), F.lit(0))
+    total = both.groupBy("ref").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum(F.col("known") + more("is_word")).alias("n_known"),
+        F.sum(F.col("base") + more("b")).alias("base"), F.sum(F.col("full") + more("g")).alias("full"),
+    )
+    return total.select("doc_id", "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * log_d).alias("base_score"), (F.col("full") - F.col("n_tokens") * log_d).alias("score"))
