@@ -15,6 +15,10 @@ HEADERS = (
     "visitor_total_persons period_raw duration_source cycle"
 ).split()
 QUALITY_FLAGS = ("VALID", "MISSING_OR_NONPOSITIVE", "UNIT_SCALE_SUSPECT")
+DURATION_SOURCES = ("EXPLICIT_TEXT", "SOURCE_TOTAL_DAYS", "UNPARSED")
+CYCLES = {"매년": "ANNUAL", "격년": "BIENNIAL", "일회성": "ONE_TIME", "최초": "FIRST_TIME"}
+#: No districts; only whole values count, so "시" leaves "수원시" alone.
+DISTRICT_PLACEHOLDERS = ("-", "시자체", "본청", "도", "시", "지자체", "도자체", "시 자체", "미기재", "서울시", "울산시", "제주도", "세종시", "제주도 본청", "대구광역시")
 
 
 def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...] | list[str] = tuple(HEADERS)) -> DataFrame:
@@ -97,21 +101,26 @@ def duration(reported: Column, start: Column, end: Column) -> tuple[Column, Colu
 
 def canonical(raw: DataFrame, regions: dict[str, str], types: list[str], venues: dict[str, str]) -> DataFrame:
     """The canonical row with ``issues``, an array of (field, fatal); rows with a fatal issue must not be written."""
-    get = lambda n: trim_to_null(c(n))
+    own = lambda n: c(n) if n in raw.columns else F.lit(None).cast("string")
+    get = lambda n: trim_to_null(own(n))
     known, unknown = parse_types(c("festival_type"), types)
     flag = get("budget_quality_flag")
-    venue = get("venue_type")
+    venue, district, source = get("venue_type"), get("district_raw"), get("duration_source")
+    million = lambda n: get(n).try_cast("decimal(18,3)").alias(n)
     df = raw.select(
         to_int(get("dataset_year")).cast("int").alias("dataset_year"), get("source_sheet").alias("source_sheet"), to_int(get("source_row")).cast("int").alias("source_row"), get("source_sha256").alias("source_sha256"),
-        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region_raw"), regions).alias("region"), get("district_raw").alias("district"), get("festival_name").alias("festival_name"),
+        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region_raw"), regions).alias("region"), district.alias("district_raw"), F.when(~district.isin(*DISTRICT_PLACEHOLDERS), district).alias("district"), get("festival_name").alias("festival_name"),
         known.alias("type_tokens"), unknown.alias("unknown_types"), mapped(venue, venues).alias("venue_type"), (venue.isNotNull() & mapped(venue, venues).isNull()).alias("venue_unmapped"),
         to_int(get("duration_days")).cast("int").alias("duration_days"), parse_boolean(get("covid_affected")).alias("covid_affected"), get("budget_total_million").try_cast("decimal(18,3)").alias("budget_total_million"),
         F.when(flag.isin(*QUALITY_FLAGS), flag).alias("quality_flag"),
+        *(get(n).alias(n) for n in ("festival_type_raw", "venue_raw", "venue_type_raw", "period_raw", "duration_source", "duration_note_raw", "event_mode", "event_status", "budget_quality_note")),
+        get("cycle").alias("cycle_raw"), mapped(get("cycle"), CYCLES).alias("cycle_type"), to_int(get("first_held_year")).alias("first_held_year"), to_int(get("visitor_total_persons")).alias("visitor_total_persons"), own("budget_total_raw").alias("budget_total_raw"),
+        million("budget_national_million"), million("budget_local_million"), million("budget_other_million"), (source.isNotNull() & ~source.isin(*DURATION_SOURCES)).alias("duration_source_unknown"),
     )
     df = df.withColumn("budget_krw", million_to_krw(c("budget_total_million")))
     fatal = ["dataset_year", "source_sheet", "source_row", "source_sha256", "festival_name", "quality_flag"]
     issue = lambda cond, field, bad: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(bad).alias("fatal")))
-    found = [issue(c(f).isNull(), f, True) for f in fatal] + [issue(c("region").isNull(), "region", False), issue(c("venue_unmapped"), "venue_type", False), issue(F.size("unknown_types") > 0, "festival_type", False)]
+    found = [issue(c(f).isNull(), f, True) for f in fatal] + [issue(c("region").isNull(), "region", False), issue(c("venue_unmapped"), "venue_type", False), issue(F.size("unknown_types") > 0, "festival_type", False), issue(c("duration_source_unknown"), "duration_source", False)]
     return df.withColumn("issues", F.array_compact(F.array(*found)))
 
 
