@@ -1,19 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts all words and all pairs of neighbours over all training documents. Words are known by 62-bit and pairs by
-64-bit hashes. Pair counts are quantised on a log scale, q = 1 + floor(log_BASE(count)), and the filter holds the keys
-(pair, 1) to (pair, q): a reader probes 1, 2, ... until a key is missing and so recovers q (Talbot and Brants, 2008). The
-filter is cut into parts by the hash of the pair. Their number follows the number of pairs and the bits of each its keys, so the
-error rate is the same at every size; each part is built and probed by one task, which holds all levels of its pairs, and no
-part leaves it.
-
-Word counts are exact: those of the ``head`` most frequent words are broadcast, and the rare rest is met by an equality join,
-which has no hot keys as all frequent words are in the head. The head changes no result.
+Training counts all words and all pairs of neighbours over all training documents. Words and pairs are known by 64-bit
+hashes. Pair counts are quantised on a log scale, q = 1 + floor(log_BASE(count)), and the filter holds the keys (pair, 1) to
+(pair, q): a reader probes 1, 2, ... until a key is missing and so recovers q (Talbot and Brants, 2008), up to the highest
+level that the filter holds.
+
+A filter of one piece would outgrow any broadcast, so it is cut into *parts* by the range of the hash, about one for each
+``part_words`` words of training text, with ``BITS`` bits a key at every size: the error rate does not depend on the
+input. The parts are a table in the shared folder. What is sent around is packed: documents are tokenised once into batches of
+about ``batch_words`` words, a batch asks each part for its distinct hashes in that range (one row of bytes for each batch
+and part), and the part answers with one byte of level for each pair and with the exact count for each word. So no part,
+batch or vocabulary is ever in one place with all others, and a very frequent word is one hash in a batch.
 
 A word w after u has p(w | u) = L(u) * f(u, w) / c(u) + (1 - L(u)) * p(w) with f the recovered count, p(w) the add-one
-estimate of the base score, and L(u) = c(u) / (c(u) + T), so that rare contexts trust the single words. Where f is 0 its
-logarithm is a sum of one term for u and one for w; what a pair with f > 0 adds to that is its *gain*, kept in single
-precision. The gains of about the ``cache`` most frequent pairs are broadcast, the others are joined, with the same result.
+estimate of the base score, and L(u) = c(u) / (c(u) + TRUST), so that rare contexts trust the single words.
 
 Defined cases: null texts are empty and consist of the end token; with no training documents V and N are 0 and all
 probabilities are 1; repeated rows each get their row; a null doc_id is a training document; other columns are ignored.
@@ -39,253 +39,263 @@ END = b" "
 BASE = 1.5
 TRUST = 200.0
 HASHES = 3
-PARTS = 64
-#: Hashes of words have this bit; numbers of head words are below it.
-RARE = 1 << 62
-#: About as many pairs share a part of the filter.
-PART_PAIRS = 50_000
+BITS = 10
 
 
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of each text, with A-Z lowered and the end token after them, in one array; the words of each."""
-    found, sizes = [], []
-    for t in texts:
-        words = WORD_BYTES_RE.findall((t or "").encode("utf-8", "surrogatepass").lower())
-        words.append(END)
-        found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
-        sizes.append(len(words))
-    h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    return (h & np.uint64(RARE - 1) | np.uint64(RARE)).view(np.int64), np.array(sizes, np.int64)
+# ---------------------------------------------------------------- the filter
 
 
-def chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows of about 8 million characters, 1.5 million words, at once."""
-    sizes = np.cumsum(b["text"].str.len().fillna(0).to_numpy(np.int64)) // 8_000_000
-    for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(sizes)) + 1):
-        yield b.iloc[part]
+def keys(pairs: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c: exact counts, combined in the task before they are shuffled."""
+def places(key: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    """The HASHES bits of each key (double hashing)."""
+    with np.errstate(over="ignore"):
+        step = mix(key) | np.uint64(1)
+        return [((key + step * np.uint64(j)) % np.uint64(n_bits)).astype(np.int64) for j in range(HASHES)]
+
+
+@dataclass
+class LogBloom:
+    """n_bits bits, packed; no pair was put in above level ``top``."""
+
+    bits: np.ndarray
+    n_bits: int
+    top: int
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, c: np.ndarray, bits_per_key: int = BITS) -> LogBloom:
+        """Holds (pair, 1..q) of each pair with its count c >= 1."""
+        q = np.floor(np.log(c.astype(float)) / math.log(BASE)).astype(np.int64) + 1
+        top, n_bits = int(q.max(initial=0)), max(64, -(-int(q.sum()) * bits_per_key // 8) * 8)
+        marked = np.zeros(n_bits, bool)
+        live = np.arange(len(pairs))
+        for level in range(1, top + 1):
+            live = live[q[live] >= level]
+            for at in places(keys(pairs[live], level), n_bits):
+                marked[at] = True
+        return cls(np.packbits(marked), n_bits, top)
+
+    def levels(self, pairs: np.ndarray) -> np.ndarray:
+        """The recovered q of each pair, 0 if absent."""
+        q, live, set_ = np.zeros(len(pairs), np.uint8), np.arange(len(pairs)), np.unpackbits(self.bits).view(bool)
+        for level in range(1, self.top + 1):
+            found = np.ones(len(live), bool)
+            for at in places(keys(pairs[live], level), self.n_bits):
+                found &= set_[at]
+            live = live[found]
+            if not len(live):
+                break
+            q[live] = level
+        return q
+
+    def counts(self, pairs: np.ndarray) -> np.ndarray:
+        return recovered(self.levels(pairs))
+
+
+def recovered(q: np.ndarray) -> np.ndarray:
+    """The count a level stands for: the middle of its step on the log scale; 0 for an absent pair."""
+    return np.where(q > 1, BASE ** (q - 0.5), q.astype(float))
+
+
+def build_filter(pairs: DataFrame) -> LogBloom:
+    """One filter of (pair, c) rows in memory, for tables known to be small; ``train`` keeps its parts in a table."""
+    rows = pairs.select("pair", "c").toArrow()
+    return LogBloom.of(rows["pair"].to_numpy(), rows["c"].to_numpy())
+
+
+# ---------------------------------------------------------------- batches of tokens
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """The hashes of the words of a text, with A-Z lowered, and of the end token after them."""
+    words = WORD_BYTES_RE.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    words.append(END)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
 
-        def out() -> pd.DataFrame:
-            word, c = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"word": word, "c": c.astype(np.int64)})
+TOKENS = "batch long, n long, doc_id array<bigint>, named array<boolean>, held_out array<boolean>, sizes array<int>, words binary, tokens binary"
 
+
+def tokenised(docs: DataFrame, batch_words: int) -> DataFrame:
+    """The documents in batches: their distinct words in order of hash, and each document's tokens as places in that list. A null id is 0, not named."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
+
+    def packed(batch: int, ids: list, named: list, held: list, found: list) -> pd.DataFrame:
+        words, tokens = np.unique(np.concatenate(found), return_inverse=True)
+        return pd.DataFrame({"batch": [batch], "n": [len(tokens)], "doc_id": [ids], "named": [named], "held_out": [held], "sizes": [list(map(len, found))], "words": [words.tobytes()], "tokens": [tokens.astype(np.uint32).tobytes()]})
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, ids, named, held, found, size = TaskContext.get().partitionId() << 36, [], [], [], [], 0
         for b in it:
-            for part in chunks(b):
-                held.append(hashed(part["text"])[0])
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
+            for doc_id, text, out in zip(b["doc_id"].astype("Int64"), b["text"], b["held_out"], strict=True):
+                named.append(not pd.isna(doc_id))
+                ids.append(int(doc_id) if named[-1] else 0)
+                held.append(bool(out))
+                found.append(hashed(text))
+                size += len(found[-1])
+                if size >= batch_words:
+                    yield packed(batch, ids, named, held, found)
+                    batch, ids, named, held, found, size = batch + 1, [], [], [], [], 0
+        if found:
+            yield packed(batch, ids, named, held, found)
 
-    return docs.select("text").mapInPandas(solid(batches), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return materialise(rows.mapInPandas(solid(batches), TOKENS), "tokens")
 
 
 @dataclass
-class Head:
-    """The most frequent words, sorted by hash, with their counts; the end token is always among them."""
+class Batch:
+    """A row of ``tokenised``: words (distinct hashes), tokens, sizes, and for all tokens but the last of a document where they are."""
 
     words: np.ndarray
-    c: np.ndarray
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The number of each head word, the hash of any other."""
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, h)
+    tokens: np.ndarray
+    sizes: np.ndarray
+    at: np.ndarray
 
+    @classmethod
+    def of(cls, sizes, words: bytes, tokens: bytes) -> Batch:
+        sizes = np.asarray(sizes, np.int64)
+        follows = np.ones(int(sizes.sum()), bool)
+        follows[np.cumsum(sizes) - 1] = False
+        return cls(np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32).astype(np.int64), sizes, np.flatnonzero(follows))
 
-def neighbours(size: np.ndarray) -> np.ndarray:
-    """The places of all words but the last of each text."""
-    follows = np.ones(int(size.sum()), bool)
-    follows[np.cumsum(size) - 1] = False
-    return np.flatnonzero(follows)
+    def pairs(self) -> np.ndarray:
+        """The hash of each pair of neighbours."""
+        with np.errstate(over="ignore"):
+            left = mix(self.words) * np.uint64(0x9E3779B97F4A7C15)
+            return mix(left[self.tokens[self.at]] + self.words[self.tokens[self.at + 1]])
 
 
-def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(mix(u.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
+WORD_KEYS, PAIR_KEYS = 0, 1
+ASKED = "part long, batch long, kind int, keys binary, c binary"
 
 
-def pair_counts(rows: DataFrame, head) -> DataFrame:
-    """u, w, c, n: every pair of neighbours, by the keys of its words, with its count in training and in all documents."""
+def asked(tokens: DataFrame, n_parts: int, training: bool) -> DataFrame:
+    """What each batch has of each part: its distinct hashes, sorted, with their counts in training documents.
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    ``training``: only the hashes that occur in those; else all of them, without counts.
+    """
+    edges = np.array([-(-(i << 64) // n_parts) for i in range(1, n_parts)], np.uint64)
 
-        def out() -> pd.DataFrame:
-            u, w, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, of = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-            return pd.DataFrame({"u": u[first], "w": w[first], "c": np.bincount(of, train).astype(np.int64), "n": np.bincount(of).astype(np.int64)})
+    def rows(batch: int, kind: int, key: np.ndarray, c: np.ndarray | None) -> Iterator[dict]:
+        cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+        for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if z > a:
+                yield {"part": part, "batch": batch, "kind": kind, "keys": key[a:z].tobytes(), "c": c[a:z].tobytes() if c is not None else b""}
 
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            for part in chunks(b):
-                h, sizes = hashed(part["text"])
-                at, k = neighbours(sizes), head.value.keys(h)
-                held.append((k[at], k[at + 1], np.repeat(~part["held_out"].to_numpy(bool), sizes)[at]))
-                size += len(at)
-                if size > 3_000_000:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
+            for r in b.itertuples():
+                batch = Batch.of(r.sizes, r.words, r.tokens)
+                words, pairs = batch.words, batch.pairs()
+                if not training:
+                    out = [*rows(r.batch, WORD_KEYS, words, None), *rows(r.batch, PAIR_KEYS, np.unique(pairs), None)]
+                else:
+                    learns = np.repeat(~np.asarray(r.held_out, bool), batch.sizes)
+                    c = np.bincount(batch.tokens[learns], minlength=len(words)).astype(np.uint32)
+                    key, n = np.unique(pairs[learns[batch.at]], return_counts=True)
+                    out = [*rows(r.batch, WORD_KEYS, words[c > 0], c[c > 0]), *rows(r.batch, PAIR_KEYS, key, n.astype(np.uint32))]
+                if out:
+                    yield pd.DataFrame(out)
 
-    return rows.select("text", "held_out").mapInPandas(solid(batches), "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return tokens.select("batch", "held_out", "sizes", "words", "tokens").mapInPandas(solid(batches), ASKED)
 
 
-def keys(pairs: np.ndarray, level: np.ndarray | int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _summed(df: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of one kind with the sums of their counts."""
+    df = df[df["kind"] == kind]
+    key, c = (np.concatenate([np.frombuffer(x, t) for x in df[name]]) if len(df) else np.zeros(0, t) for name, t in (("keys", np.uint64), ("c", np.uint32)))
+    key, of = np.unique(key, return_inverse=True)
+    return key, np.bincount(of, c, len(key)).astype(np.int64)
 
 
-def places(key: np.ndarray, part_bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The row of each key and its bits there (double hashing)."""
-    with np.errstate(over="ignore"):
-        step, n = mix(key) | np.uint64(1), np.uint64(part_bits)
-        return (key >> np.uint64(58)).astype(np.int64), [((key + step * np.uint64(j)) & np.uint64((1 << 58) - 1)) % n for j in range(HASHES)]
+# ---------------------------------------------------------------- model and scores
 
 
 @dataclass
-class LogBloom:
-    """PARTS byte arrays of part_bits bits each."""
+class Model:
+    """parts: part, n_words, words and c (the exact counts), bits, n_bits and top (of the filter); n tokens, v distinct ones."""
 
-    parts: np.ndarray
-    part_bits: int
+    parts: DataFrame
+    n_parts: int
+    n: int
+    v: int
 
-    @classmethod
-    def of(cls, pairs: np.ndarray, c: np.ndarray, max_bits: int | None = None, bits_per_key: int = 10) -> LogBloom:
-        """Holds (pair, 1..q) of each pair with its count c >= 1."""
-        q = np.floor(np.log(c.astype(float)) / math.log(BASE)).astype(np.int64) + 1
-        bits = int(q.sum()) * bits_per_key
-        part_bits = max(64, -(-(bits if max_bits is None else min(max_bits, bits)) // PARTS // 8) * 8)
-        made = cls(np.zeros((PARTS, part_bits // 8), np.uint8), part_bits)
-        level = np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q) + 1
-        part, spots = places(keys(np.repeat(pairs, q), level), part_bits)
-        for bit in spots:
-            np.bitwise_or.at(made.parts, (part, (bit >> np.uint64(3)).astype(np.int64)), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
-        return made
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        part, bits = places(key, self.part_bits)
-        out = np.ones(len(key), bool)
-        for b in bits:
-            out &= (self.parts[part, (b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
 
-    def counts(self, pairs: np.ndarray) -> np.ndarray:
-        """The recovered count of each pair, the middle of its step on the log scale; 0 if absent."""
-        q, live, level = np.zeros(len(pairs)), np.arange(len(pairs)), 1
-        while len(live):
-            live = live[self.has(keys(pairs[live], level))]
-            q[live] = level
-            level += 1
-        return np.where(q > 0, np.where(q == 1, 1.0, BASE ** (q - 0.5)), 0.0)
+PARTS = "part long, n_words long, n long, words binary, c binary, bits binary, n_bits long, top int"
 
 
-def build_filter(pairs: DataFrame, max_bits: int, bits_per_key: int = 10) -> LogBloom:
-    """One filter of (pair, c) rows in memory, for tables known to be small; ``score`` keeps its parts on the workers."""
-    rows = pairs.select("pair", "c").toArrow()
-    return LogBloom.of(rows["pair"].to_numpy(), rows["c"].to_numpy(), max_bits, bits_per_key)
+def train(tokens: DataFrame, part_words: int = 1_000_000, bits_per_key: int = BITS) -> Model:
+    """The model of the training documents among ``tokens``."""
 
+    def build(df: pd.DataFrame) -> pd.DataFrame:
+        words, c = _summed(df, WORD_KEYS)
+        bloom = LogBloom.of(*_summed(df, PAIR_KEYS), bits_per_key)
+        return pd.DataFrame({"part": [df["part"].iloc[0]], "n_words": [len(words)], "n": [int(c.sum())], "words": [words.tobytes()], "c": [c.tobytes()], "bits": [bloom.bits.tobytes()], "n_bits": [bloom.n_bits], "top": [bloom.top]})
 
-def pair_gains(pairs: DataFrame, words: DataFrame, head, d: float) -> DataFrame:
-    """key, gain, n: the pairs with a recovered count, by pair_hash; d is the divisor of the add-one estimate."""
-    for side in ("u", "w"):
-        known = words.select(F.col("word").alias(side), F.col("c").alias(f"c{side}"))
-        pairs = pairs.where(F.col(side) >= RARE).join(known, side, "left").unionByName(pairs.where(F.col(side) < RARE).withColumn(f"c{side}", F.lit(None).cast("long")))
+    n_parts = max(1, math.ceil((tokens.agg(F.sum("n")).first()[0] or 0) / part_words))
+    parts = materialise(asked(tokens, n_parts, training=True).groupBy("part").applyInPandas(build, PARTS), "model")
+    n, v = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    return Model(parts, n_parts, n, v)
 
-    def part_gains(df: pd.DataFrame) -> pd.DataFrame:
-        u, w, c = (df[x].to_numpy(np.int64) for x in ("u", "w", "c"))
-        count = lambda k, own: np.where(k < RARE, head.value.c[np.where(k < RARE, k, 0)], own.fillna(0).to_numpy(float))
-        cu, cw, key = count(u, df["cu"]), count(w, df["cw"]), pair_hash(u, w)
-        f = LogBloom.of(key[c > 0], c[c > 0]).counts(key)
-        at = np.flatnonzero((f > 0) & (cu > 0))
-        # p(w | u) over its value at f = 0, (1 - L) * p(w), with L / (1 - L) = c(u) / T
-        gain = np.log10(1 + cu[at] / TRUST * np.minimum(1.0, f[at] / cu[at]) * d / (cw[at] + 1))
-        return pd.DataFrame({"key": key[at], "gain": gain.astype(np.float32), "n": df["n"].to_numpy(np.int64)[at]})
 
-    n_parts = max(1024, -(-pairs.count() // PART_PAIRS))
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("u", "w"), F.lit(n_parts)))
-    return dealt.groupBy("part").applyInPandas(part_gains, "key long, gain float, n long")
+def answers(tokens: DataFrame, model: Model) -> DataFrame:
+    """batch, kind, part, got: for each row of ``asked`` the counts of its words or the levels of its pairs, in order."""
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        if len(left):
+            m = right.iloc[0] if len(right) else None
+            words, c = (np.frombuffer(m[x], t) if m is not None else np.zeros(0, t) for x, t in (("words", np.uint64), ("c", np.int64)))
+            bloom = LogBloom(np.frombuffer(m["bits"], np.uint8), int(m["n_bits"]), int(m["top"])) if m is not None else LogBloom(np.zeros(8, np.uint8), 64, 0)
+            asks = left[left["kind"] == PAIR_KEYS]["keys"]
+            key, of = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in asks]) if len(asks) else np.zeros(0, np.uint64), return_inverse=True)
+            levels, done = bloom.levels(key)[of], 0
+            for kind, x in zip(left["kind"], left["keys"], strict=True):
+                if kind == PAIR_KEYS:
+                    got.append(levels[done : done + len(x) // 8].tobytes())
+                    done += len(x) // 8
+                else:
+                    h = np.frombuffer(x, np.uint64)
+                    at = np.searchsorted(words, h)
+                    known = np.append(words, np.uint64(0))[at] == h
+                    got.append(np.where(known & (at < len(words)), np.append(c, 0)[at], 0).tobytes())
+        return left[["batch", "kind", "part"]].assign(got=pd.Series(got, index=left.index, dtype=object))
+
+    asks = asked(tokens, model.n_parts, training=False).select("part", "batch", "kind", "keys")
+    parts = model.parts.select("part", "words", "c", "bits", "n_bits", "top")
+    return materialise(asks.groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(answer, "batch long, kind int, part long, got binary"), "answers")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, head: int = 65_536, cache: int = 524_288) -> DataFrame:
+def score(docs: DataFrame, batch_words: int = 1_000_000, part_words: int = 1_000_000, bits_per_key: int = BITS) -> DataFrame:
     """The columns of SCORES for every document, in log10."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    words = materialise(word_counts(rows.where("not held_out")), "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = int(hashed([""])[0][0])
-    top = {r.word: r.c for r in words.orderBy(F.col("c").desc(), "word").limit(head).collect()}
-    top[end] = next((r.c for r in words.where(F.col("word") == end).collect()), 0)
-    order = sorted(top)
-    first = spark.sparkContext.broadcast(Head(np.array(order, np.int64), np.array([top[w] for w in order], float)))
-    log_d = math.log10(n + v + 1)
-
-    pairs = materialise(pair_counts(rows, first), "pairs")
-    gains = materialise(pair_gains(pairs, words, first, float(n + v + 1)), "gains")
-    least, left = math.inf, cache
-    for r in sorted(gains.groupBy("n").count().collect(), key=lambda r: -r.n):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r.n
-    often = (gains.where(F.col("n") >= int(least)) if least < math.inf else gains.where("false")).select("key", "gain").toArrow()
-    key, gain = often["key"].to_numpy(), often["gain"].to_numpy().astype(float)
-    by_key = np.argsort(key)
-    cached = spark.sparkContext.broadcast((np.append(key[by_key], np.iinfo(np.int64).max), np.append(gain[by_key], 0.0)))
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, c = TaskContext.get().partitionId() << 36, np.append(first.value.c, 0.0)
-        own, context = np.log10(c + 1), np.log10(TRUST / (c + TRUST))
-        hot, hot_gain = cached.value
-        for b in it:
-            for part in chunks(b):
-                h, sizes = hashed(part["text"])
-                start, at = np.cumsum(sizes) - sizes, neighbours(sizes)
-                doc, k = np.repeat(np.arange(len(part)), sizes), first.value.keys(h)
-                rare = k >= RARE
-                i = np.where(rare, len(c) - 1, k)
-                pair = pair_hash(k[at], k[at + 1])
-                spot = np.searchsorted(hot, pair)
-                met = hot[spot] == pair
-                full = own[i].copy()
-                full[at] += context[i[at]] + np.where(met, hot_gain[spot], 0.0)
-                known = np.add.reduceat((~rare & (c[i] > 0)).astype(np.int64), start)
-                yield pd.DataFrame({
-                    "ref": ref + np.arange(len(part)), "key": mix((ref + np.arange(len(part))).view(np.uint64)).view(np.int64), "times": 0, "doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].astype("boolean").array,
-                    "n": sizes, "known": known, "base": np.add.reduceat(own[i], start), "full": np.add.reduceat(full, start),
-                })
-                # what the broadcast tables lack goes to the join, once for each document and key
-                d, x = np.concatenate([doc[rare], doc[at][~met]]), np.concatenate([k[rare], pair[~met]])
-                by = np.lexsort((x, d))
-                d, x = d[by], x[by]
-                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (x[1:] != x[:-1]))) if len(d) else np.zeros(0, np.int64)
-                none = np.full(len(new), None, object)
-                yield pd.DataFrame({"ref": ref + d[new], "key": x[new], "times": np.diff(np.append(new, len(d))), "doc_id": pd.array(none, "Int64"), "held_out": pd.array(none, "boolean"), "n": 0, "known": 0, "base": 0.0, "full": 0.0})
-                ref += len(part)
-
-    found = rows.mapInPandas(solid(batches), "ref long, key long, times long, doc_id long, held_out boolean, n long, known long, base double, full double")
-    own = F.log10(F.col("c") + 1)
-    seen = words.where(~F.col("word").isin(end)).select(F.col("word").alias("key"), F.lit(1).alias("is_word"), own.alias("b"), (own + F.log10(TRUST / (F.col("c") + TRUST))).alias("g"))
-    seen = seen.unionByName(gains.where(F.col("n") < (int(least) if least < math.inf else (1 << 62))).select("key", F.lit(0).alias("is_word"), F.lit(0.0).alias("b"), F.col("gain").cast("double").alias("g")))
-    both = found.join(seen, "key", "left")
-    more = lambda x: F.coalesce(F.col(x) * F.col("times"), F.lit(0))
-    total = both.groupBy("ref").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum(F.col("known") + more("is_word")).alias("n_known"),
-        F.sum(F.col("base") + more("b")).alias("base"), F.sum(F.col("full") + more("g")).alias("full"),
-    )
-    return total.select("doc_id", "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * log_d).alias("base_score"), (F.col("full") - F.col("n_tokens") * log_d).alias("score"))
+    tokens = tokenised(docs, batch_words)
+    model = train(tokens, part_words, bits_per_key)
+    found, n, d = answers(tokens, model), model.n, float(model.n + model.v + 1)
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["kind", "part"])
+        got = lambda kind, t: np.frombuffer(b"".join(right["got"][right["kind"] == kind]), t)
+        row = left.iloc[0]
+        batch, c = Batch.of(row["sizes"], row["words"], row["tokens"]), got(WORD_KEYS, np.int64).astype(float)
+        at, of, start = batch.at, np.unique(batch.pairs(), return_inverse=True)[1], np.cumsum(batch.sizes) - batch.sizes
+        own = np.log10((c + 1) / d)
+        base = own[batch.tokens]
+        full, cu, f = base.copy(), c[batch.tokens[at]], recovered(got(PAIR_KEYS, np.uint8)[of])
+        trust = cu / (cu + TRUST)
+        seen = np.minimum(1.0, np.divide(f, cu, out=np.zeros(len(at)), where=cu > 0))
+        full[at + 1] = np.log10(trust * seen + (1 - trust) * (c[batch.tokens[at + 1]] + 1) / d)
+        each = lambda x: np.add.reduceat(x, start)
+        return pd.DataFrame({"doc_id": pd.Series(row["doc_id"], dtype="Int64").where(np.asarray(row["named"], bool)), "held_out": row["held_out"], "n_tokens": batch.sizes, "n_known": each((c > 0).astype(np.int64)[batch.tokens]), "train_tokens": n, "base_score": each(base), "score": each(full)})
+
+    rows = tokens.select("batch", "doc_id", "named", "held_out", "sizes", "words", "tokens")
+    return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(scored, SCORES)
