@@ -8,8 +8,9 @@ The items are the stated query set: they go to the workers in blocks of at most
 a pass of its own over all documents, so any number of items is handled and what is broadcast stays bounded.
 
 Texts and items are compared in lower case with white space turned into one space. Defined cases: null and empty texts
-match nothing; items under ``min_chars`` characters after that are too short to be evidence and are ignored, as are null
-items; equal items are matched once each; repeated documents each get their rows; null doc_ids are kept.
+match nothing; items under ``short`` characters after that must occur without edits and as whole words, as almost any text is
+within an edit or two of them; null items, and items without any character left, match nothing; equal items are matched
+once each; repeated documents each get their rows; null doc_ids are kept; other columns are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -59,13 +60,14 @@ def myers(pattern: str, text: str, limit: int) -> int:
 
 
 class Matcher:
-    """Finds the items of one block in a text."""
+    """Finds the items of one block in a text; those under ``short`` characters as whole words without edits."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int) -> None:
+        self.short = short
         self.items, self.budget, pieces = [t for _, t in items], [], {}
         self.ids = [i for i, _ in items]
         for n, (_, text) in enumerate(items):
-            k = math.floor(rate * len(text))
+            k = math.floor(rate * len(text)) if len(text) >= short else 0
             self.budget.append(k)
             cuts = [j * len(text) // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -86,6 +88,10 @@ class Matcher:
         for end, places in self.automaton.iter(t):
             for n, b in places:  # the piece ends at b in the item, after end in the text
                 k, start = self.budget[n], end + 1 - b
+                if len(self.items[n]) < self.short:
+                    if not (t[start - 1 : start].isalnum() or t[end + 1 : end + 2].isalnum()):
+                        regions[n] = []
+                    continue
                 a, z = max(0, start - k), min(len(t), start + len(self.items[n]) + k)
                 own = regions.setdefault(n, [])
                 if own and a <= own[-1][1] and a >= own[-1][0]:
@@ -104,23 +110,23 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_chars`` characters; each is read by a query of its own."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_chars))
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield sorted(((r.item_id, t) for r in rows if len(t := normalised(r.text)) >= min_chars), key=str)
+        yield sorted(((r.item_id, t) for r in rows if (t := normalised(r.text))), key=str)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance: every document and item that it holds within the item's edit budget."""
     found = None
-    for items in blocks(benchmark, block_chars, min_chars):
+    for items in blocks(benchmark, block_chars):
 
         def batches(it: Iterator[pd.DataFrame], items: list = items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, short)
             for b in it:
                 rows = [(d, i, e) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for i, e in matcher.find(t)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"])
@@ -131,13 +137,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """The documents that hold no item, with all their columns; a narrow pass for each block of items."""
     schema = docs.schema
-    for items in blocks(benchmark, block_chars, min_chars):
+    for items in blocks(benchmark, block_chars):
 
         def batches(it: Iterator[pd.DataFrame], items: list = items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, short)
             for b in it:
                 yield b[[not matcher.find(t) for t in b["text"]]]
 
