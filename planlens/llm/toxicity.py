@@ -6,7 +6,8 @@ document labels are needed; the gradient of the document likelihood finds which
 trained model then names the offending sentences.
 
 The classifier is fitted on at most ``max_docs`` labelled documents with at most ``max_words`` words together, chosen by
-a hash of the text; scoring covers every document and its whole text.
+a hash of the text among those of at most ``max_chars`` characters, so that the sample fits the driver; scoring covers
+every document and its whole text.
 
 Defined cases: null and empty texts, and texts without words, have no sentence and score 0; label rows with a null id or
 label are ignored, of several labels for one id the highest counts; without any usable label everything scores 0;
@@ -108,12 +109,11 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_words: int = 4_000_000, **options) -> NoisyOrModel:
-    """Fit on labelled documents outside the held-out fold. The sample is bounded by ``max_docs`` documents and ``max_words`` words."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_words: int = 4_000_000, max_chars: int = 64_000, **options) -> NoisyOrModel:
+    """Fit on labelled documents outside the held-out fold. The sample is bounded by ``max_docs`` documents, of ``max_chars`` characters each, and ``max_words`` words."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("__id"), "toxic")
-    longest = 8 * max_words // max(1, max_docs)  # words; keeps the sample, not the scoring, in bounds
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").where(F.length("text") <= 8 * longest)
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").where(F.length("text") <= max_chars)
     # only ids are shuffled: a hash picks a tenth more of them than needed, and their texts alone are read by a broadcast join
     usable = rows.select("__id").join(known, "__id")
     share = min(1.0, 1.1 * max_docs / max(1, usable.count()))
