@@ -11,7 +11,8 @@ from planlens.functions import scoring as S
 from planlens.operators import estimate, parity, planner, policy, selection
 from planlens.plans import requests
 from planlens.sources import ingest
-from planlens.sources.records import RECORDS_SQL, records, table
+from planlens.sources.records import LATEST_SQL, RECORDS_SQL, latest, records, table
+from planlens.sources.staging import materialise
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,25 +32,32 @@ def query(sql: str | None = None) -> Callable:
 # ---------------------------------------------------------------- estimation: the same rules once more, as SQL for DuckDB
 
 
-def _single(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = selection.usable(records(spark, sf_dir).withColumn("type_tokens", F.array("festival_type")))
-    latest = rows.agg(F.max("dataset_year").alias("y"))
-    qs = requests.frame(spark, requests.SINGLE).crossJoin(latest).withColumn("first_year", c("y")).withColumn("last_year", c("y")).drop("y")
-    return rows, qs
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records, written out once, as an estimate looks at them several times."""
+    return materialise(records(spark, sf_dir), "records")
 
 
-def _multi(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    qs = policy.resolve(requests.frame(spark, requests.MULTI), policy.status_table(spark)).withColumn("first_year", F.lit(0))
-    return selection.usable(records(spark, sf_dir)), qs
+def _queries(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
+    """The multi-year requests, or with ``rows`` the single-year ones; that year is the latest of all records, usable or not."""
+    if rows is None:
+        return policy.resolve(requests.frame(spark, requests.MULTI), policy.status_table(spark)).withColumn("first_year", F.lit(0))
+    year = rows.agg(F.max("dataset_year").alias("y"))
+    return requests.frame(spark, requests.SINGLE).crossJoin(year).withColumn("first_year", c("y")).withColumn("last_year", c("y")).drop("y")
 
 
 def _scored(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
-    rows, qs = (_single if single else _multi)(spark, sf_dir)
-    return estimate.scored(rows, qs, single)
+    rows = _stored(spark, sf_dir)
+    if single:
+        return estimate.scored(selection.usable(rows.withColumn("type_tokens", F.array("festival_type"))), _queries(spark, rows), True)
+    return estimate.scored(selection.usable(rows), _queries(spark))
+
+
+def _select(kind: str) -> Callable[[DataFrame], DataFrame]:
+    return selection.select_v1 if kind == "v1" else selection.select_v0
 
 
 def _sample(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return estimate.final_sample(_scored(spark, sf_dir, kind == "single"), selection.select_v1 if kind == "v1" else selection.select_v0)
+    return estimate.final_sample(_scored(spark, sf_dir, kind == "single"), _select(kind))
 
 
 def _sql(kind: str, tail: str) -> str:
@@ -57,7 +65,7 @@ def _sql(kind: str, tail: str) -> str:
     single = kind == "single"
     ok = "quality_flag = 'VALID' and region is not null and len(type_tokens) > 0"
     if single:
-        qs = requests.sql(requests.SINGLE) + ", q as (select q0.*, y first_year, y last_year from q0, (select max(dataset_year) y from r))"
+        qs = requests.sql(requests.SINGLE) + ", q as (select q0.*, y first_year, y last_year from q0, (select max(dataset_year) y from records))"
         r = f"r as (select * replace ([festival_type] as type_tokens) from records where quality_flag = 'VALID' and region is not null)"
     else:
         qs = requests.sql(requests.MULTI) + """, q as (select *, 0 first_year, q_planning_year - case when q_policy = 'ALLOW_SAME_YEAR_IF_COMPLETE' and q_planning_year = 1999 then 0 else 1 end last_year from q0)"""
@@ -129,17 +137,17 @@ RESULT_SQL = (
 
 @query(_sql("single", RESULT_SQL))
 def single_year_estimate(spark, sf_dir):
-    return _result(estimate.core_stats(_sample(spark, sf_dir, "single")), _single(spark, sf_dir)[1])
+    return _result(estimate.core_stats(_sample(spark, sf_dir, "single")), requests.frame(spark, requests.SINGLE))
 
 
 @query(_sql("v0", RESULT_SQL))
 def baseline_estimate(spark, sf_dir):
-    return _result(estimate.core_stats(_sample(spark, sf_dir, "v0")), _multi(spark, sf_dir)[1])
+    return _result(estimate.core_stats(_sample(spark, sf_dir, "v0")), _queries(spark))
 
 
 @query(_sql("v1", RESULT_SQL))
 def planning_batch(spark, sf_dir):
-    return _result(estimate.core_stats(_sample(spark, sf_dir, "v1")), _multi(spark, sf_dir)[1])
+    return _result(estimate.core_stats(_sample(spark, sf_dir, "v1")), _queries(spark))
 
 
 TIERS_SQL = "select query_id, cast(tier as integer) tier, count(*) as added, cast(sum(count(*)) over (partition by query_id order by tier) as bigint) cumulative from e group by query_id, tier"
@@ -246,14 +254,14 @@ def training_pool_counts(spark, sf_dir):
 
 @query(_sql("v0", "select q.query_id, q_planning_year - last_year = 0 same_year, last_year, count(id) n, min(dataset_year) earliest, max(dataset_year) latest from q left join r on dataset_year <= last_year group by all"))
 def reference_pool(spark, sf_dir):
-    rows, qs = _multi(spark, sf_dir)
+    rows, qs = selection.usable(_stored(spark, sf_dir)), _queries(spark)
     counts = selection.pool(rows, qs).groupBy("query_id").agg(F.count("*").alias("n"), F.min("dataset_year").alias("earliest"), F.max("dataset_year").alias("latest"))
     return qs.join(counts, "query_id", "left").select("query_id", (c("applied_policy") == policy.SAME_YEAR).alias("same_year"), "last_year", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "earliest", "latest")
 
 
 @query("with " + requests.sql(requests.MULTI) + " select query_id, case when q_policy = 'ALLOW_SAME_YEAR_IF_COMPLETE' and q_planning_year = 1999 then q_policy else 'STRICT_PREVIOUS_YEARS' end applied_policy from q0")
 def policy_resolution(spark, sf_dir):
-    return _multi(spark, sf_dir)[1].select("query_id", "applied_policy")
+    return _queries(spark).select("query_id", "applied_policy")
 
 
 @query(f"with {RECORDS_SQL} select dataset_year, count(*) record_count, case when dataset_year = 1999 then 'PUBLISHED_PLAN_COMPLETE' else 'PARTIAL' end status from records group by dataset_year")
@@ -272,8 +280,13 @@ def publication_status_upsert(spark, sf_dir):
 REGION, KIND, VENUE, DAYS, MONTH = "ASIA", "BUILDING", "1-URGENT", 3, 5
 
 
+def _corpus(spark, sf_dir):
+    """What the planner reads: the records of the latest year."""
+    return latest(records(spark, sf_dir))
+
+
 def _names(spark, sf_dir):
-    rows = records(spark, sf_dir)
+    rows = materialise(_corpus(spark, sf_dir), "corpus")
     terms = planner.removal_terms(["ASIA", "EUROPE"], ["NATION_1"])
     return rows, rows.select("id", "region", planner.tokens(c("festival_name"), terms).alias("tokens"))
 
@@ -284,7 +297,7 @@ def _words(spark, sf_dir):
 
 
 # names of these tables hold nothing to take out, so plain words of 2 to 8 letters are the tokens
-WORDS_SQL = f"""with {RECORDS_SQL}, tk as (select id, unnest(list_distinct(list_filter(string_split(festival_name, ' '), lambda t: length(t) between 2 and 8 and t not in ('with', 'and', 'the', 'in', 'of')))) token from records),
+WORDS_SQL = f"""with {LATEST_SQL}, tk as (select id, unnest(list_distinct(list_filter(string_split(festival_name, ' '), lambda t: length(t) between 2 and 8 and t not in ('with', 'and', 'the', 'in', 'of')))) token from records),
 vocab as (select token, count(*) df, min(id) first_seen from tk group by token having count(*) >= 2), kw as (select id, token as keyword from tk where token in (select token from vocab))"""
 
 
@@ -302,14 +315,14 @@ MONTHS_SQL = f"""mo as (select m.month, count(id) as national, count(id) filter
 from (select unnest(range(1, 13)) as month) m left join records on start_month = m.month group by m.month)"""
 
 
-@query(f"with {RECORDS_SQL}, {MONTHS_SQL} select cast(month as integer) as month, national, regional, same_type, case when same_type >= 6 then 'HIGH' when same_type >= 3 then 'MEDIUM' else 'LOW' end as level from mo")
+@query(f"with {LATEST_SQL}, {MONTHS_SQL} select cast(month as integer) as month, national, regional, same_type, case when same_type >= 6 then 'HIGH' when same_type >= 3 then 'MEDIUM' else 'LOW' end as level from mo")
 def month_distribution(spark, sf_dir):
-    return planner.months(spark, records(spark, sf_dir), REGION, KIND)
+    return planner.months(spark, _corpus(spark, sf_dir), REGION, KIND)
 
 
-@query(f"with {RECORDS_SQL}, {MONTHS_SQL} select cast(month as integer) as month, same_type, national from mo where national > 0 order by same_type, national desc, month limit 3")
+@query(f"with {LATEST_SQL}, {MONTHS_SQL} select cast(month as integer) as month, same_type, national from mo where national > 0 order by same_type, national desc, month limit 3")
 def quiet_months(spark, sf_dir):
-    return planner.quiet_months(planner.months(spark, records(spark, sf_dir), REGION, KIND)).select("month", "same_type", "national")
+    return planner.quiet_months(planner.months(spark, _corpus(spark, sf_dir), REGION, KIND)).select("month", "same_type", "national")
 
 
 SPACE_SQL = WORDS_SQL + f""", s as (select * from records where festival_type = '{KIND}'), ax as (
@@ -339,19 +352,19 @@ COST_SQL = """cost as (select cast(max(n) as bigint) n, cast(floor(quantile_cont
 from (select cpv, row_number() over (order by cpv, id) k, count(*) over () n from cpv) where n < 20 or k > floor(n * 0.05::double) and k <= ceil(n * 0.95::double))"""
 
 
-@query(f"with {RECORDS_SQL}, {COHORT_SQL}, {COST_SQL} select n, med as \"median\", p25, p75 from cost")
+@query(f"with {LATEST_SQL}, {COHORT_SQL}, {COST_SQL} select n, med as \"median\", p25, p75 from cost")
 def cost_per_visitor_summary(spark, sf_dir):
-    return planner.cost_summary(planner.cohort(records(spark, sf_dir), REGION, KIND))
+    return planner.cost_summary(planner.cohort(materialise(_corpus(spark, sf_dir), "corpus"), REGION, KIND))
 
 
-@query(f"with {RECORDS_SQL}, {COHORT_SQL} select id, round(cpv, 6) cpv from cpv where visitors >= (select quantile_cont(visitors, 0.5) from cpv) order by cpv.cpv, id limit 5")
+@query(f"with {LATEST_SQL}, {COHORT_SQL} select id, round(cpv, 6) cpv from cpv where visitors >= (select quantile_cont(visitors, 0.5) from cpv) order by cpv.cpv, id limit 5")
 def top_efficient(spark, sf_dir):
-    return planner.top_efficient(planner.cohort(records(spark, sf_dir), REGION, KIND)).select("id", F.round("cpv", 6).alias("cpv"))
+    return planner.top_efficient(planner.cohort(materialise(_corpus(spark, sf_dir), "corpus"), REGION, KIND)).select("id", F.round("cpv", 6).alias("cpv"))
 
 
-@query(f"with {RECORDS_SQL} select count(*) filter (festival_type = '{KIND}') national_same_type, count(*) filter (region = '{REGION}') region, count(*) filter (festival_type = '{KIND}' and region = '{REGION}') region_same_type, count(*) filter (festival_type = '{KIND}' and region = '{REGION}' and venue_type = '{VENUE}') region_same_type_venue from records")
+@query(f"with {LATEST_SQL} select count(*) filter (festival_type = '{KIND}') national_same_type, count(*) filter (region = '{REGION}') region, count(*) filter (festival_type = '{KIND}' and region = '{REGION}') region_same_type, count(*) filter (festival_type = '{KIND}' and region = '{REGION}' and venue_type = '{VENUE}') region_same_type_venue from records")
 def cohort_summary(spark, sf_dir):
-    return planner.cohort_summary(records(spark, sf_dir), REGION, KIND, VENUE)
+    return planner.cohort_summary(_corpus(spark, sf_dir), REGION, KIND, VENUE)
 
 
 PCT = "cast(floor(least(1, greatest(0, {})) * 100 + 0.5) as integer)"
@@ -382,24 +395,25 @@ def districts_by_region(spark, sf_dir):
 
 @query(f"with {RECORDS_SQL} select region, count(*) n, cast(floor(sum(budget_krw) + 0.5) as bigint) total from records where dataset_year = (select max(dataset_year) from records) and quality_flag = 'VALID' group by region")
 def latest_year_scan(spark, sf_dir):
-    rows = records(spark, sf_dir)
-    latest = rows.agg(F.max("dataset_year").alias("dataset_year"))
-    return rows.join(F.broadcast(latest), "dataset_year").where("quality_flag = 'VALID'").groupBy("region").agg(F.count("*").alias("n"), S.half_up(F.sum("budget_krw")).alias("total"))
+    return latest(records(spark, sf_dir)).where("quality_flag = 'VALID'").groupBy("region").agg(F.count("*").alias("n"), S.half_up(F.sum("budget_krw")).alias("total"))
 
 
 @query(f"""with {RECORDS_SQL}, v as (select *, case when quality_flag = 'VALID' then budget_krw end b from records) select dataset_year, count(*) n, count(*) filter (quality_flag = 'VALID') n_valid, count(*) filter (quality_flag <> 'VALID') n_not_valid,
 count(*) filter (duration_days is null) no_duration, count(*) filter (len(type_tokens) = 0) no_type, count(*) filter (len(type_tokens) = 1) single_type, count(*) filter (len(type_tokens) > 1) multi_type, count(distinct region) regions,
 round(quantile_cont(b, 0.5), 4) as "median", round(quantile_cont(b, 0.25), 4) p25, round(quantile_cont(b, 0.75), 4) p75, round(min(b), 4) as "least", round(max(b), 4) as "most" from v group by dataset_year""")
 def import_profile(spark, sf_dir):
-    got = ingest.profile(records(spark, sf_dir))
+    got = ingest.profile(_stored(spark, sf_dir))
     return got.select(*(F.round(x, 4).alias(x) if x in ("median", "p25", "p75", "least", "most") else x for x in got.columns))
 
 
-@query(f"with {RECORDS_SQL} select 'total' metric, 15000.0::double expected, count(*)::double actual, abs(count(*) - 15000) <= 0.01 ok from records union all select 'years', 7, count(distinct dataset_year), abs(count(distinct dataset_year) - 7) <= 0.01 from records union all select 'gone', 1, null, false")
+@query(f"""with {RECORDS_SQL}, want as (select 'total' metric, count(*)::double expected from orders union all select 'years', count(distinct year(o_orderdate)) from orders union all select 'gone', 1),
+have as (select 'total' metric, count(*)::double actual from records union all select 'years', count(distinct dataset_year) from records)
+select metric, expected, actual, coalesce(abs(expected - actual) <= 0.01, false) ok from want full join have using (metric)""")
 def import_acceptance(spark, sf_dir):
-    rows = records(spark, sf_dir).agg(F.count("*").cast("double").alias("total"), F.countDistinct("dataset_year").cast("double").alias("years"))
-    actual = rows.select(F.explode(F.array(F.struct(F.lit("total").alias("metric"), c("total").alias("value")), F.struct(F.lit("years").alias("metric"), c("years").alias("value"))))).select("col.*")
-    return ingest.acceptance(actual, spark.createDataFrame([("total", 15000.0), ("years", 7.0), ("gone", 1.0)], "metric string, value double"))
+    """The records against what their source holds: one row for each order, and all its years."""
+    metrics = lambda df, total, years: df.agg(F.count(total).alias("total"), F.countDistinct(years).alias("years")).unpivot([], ["total", "years"], "metric", "value").withColumn("value", c("value").cast("double"))
+    expected = metrics(table(spark, sf_dir, "orders"), F.lit(1), F.year("o_orderdate")).union(spark.createDataFrame([("gone", 1.0)], "metric string, value double"))
+    return ingest.acceptance(metrics(records(spark, sf_dir), F.lit(1), "dataset_year"), expected)
 
 
 def _raw(spark, sf_dir):
@@ -408,7 +422,7 @@ def _raw(spark, sf_dir):
     blank = F.lit(None).cast("string")
     fields = {
         "dataset_year": F.when(c("k") == 1, "x").otherwise(F.year("o_orderdate").cast("string")), "source_sheet": F.lit(" s "), "source_row": c("o_orderkey").cast("string"), "source_sha256": F.sha2(c("o_orderkey").cast("string"), 256),
-        "region_raw": F.when(c("k") == 2, "?").otherwise("서울"), "district_raw": F.lit("-"), "festival_name": F.when(c("k") == 3, "  ").otherwise("n"), "festival_type": F.when(c("k") == 4, "A| B |A|Z").otherwise("A"),
+        "region": F.when(c("k") == 2, "?").otherwise("서울"), "region_raw": F.lit("서울시"), "district_raw": F.lit("-"), "festival_name": F.when(c("k") == 3, "  ").otherwise("n"), "festival_type": F.when(c("k") == 4, "A| B |A|Z").otherwise("A"),
         "venue_type": F.when(c("k") == 5, "none").otherwise(blank), "duration_days": F.lit("2.5"), "covid_affected": F.lit("True"), "budget_total_million": F.replace(F.format_number(c("o_totalprice") / 1000, 3), F.lit(","), F.lit("")), "budget_quality_flag": F.when(c("k") == 6, "ODD").otherwise("VALID"),
     }
     return o.select(*(v.alias(k) for k, v in fields.items()))
@@ -445,7 +459,14 @@ def batch_idempotency(spark, sf_dir):
     return ingest.new_batches(new, spark.createDataFrame([(1996, "a", "b", "1"), (1998, "a", "b", "1")], schema))
 
 
-@query()
+_AB = "select query_id, sample_count, reached_tier, estimated from stats"
+
+
+@query(f"""with a as ({_sql('v0', _AB)}), b as ({_sql('v1', _AB)}), f as (
+  select 'sample_count' field, a.sample_count is not distinct from b.sample_count and a.query_id is not null and b.query_id is not null ok from a full join b on a.query_id = b.query_id
+  union all select 'reached_tier', a.reached_tier is not distinct from b.reached_tier and a.query_id is not null and b.query_id is not null from a full join b on a.query_id = b.query_id
+  union all select 'estimated', coalesce(abs(a.estimated - b.estimated) <= 1, false) from a full join b on a.query_id = b.query_id)
+select field, count(*) filter (ok) passed, count(*) filter (not ok) failed from f group by field""")
 def selector_ab(spark, sf_dir):
     """Both selectors side by side: on how many queries their samples agree."""
     keys = [estimate.core_stats(_sample(spark, sf_dir, k)).select("query_id", "sample_count", "reached_tier", "estimated") for k in ("v0", "v1")]
@@ -457,3 +478,6 @@ def day_counts(spark, sf_dir):
     start = ingest.rolled_date(F.lit(1991), F.lit(13), F.lit(1))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.datediff("o_orderdate", start).alias("days"))
     return rows.groupBy(F.when(c("o_orderkey") % 3 == 0, 29).otherwise(1).alias("day")).agg(F.max("days").alias("most"), F.min("days").alias("least"), F.count("*").alias("n"))
+
+
+from planlens import catalogue_import, catalogue_results  # noqa: E402, F401  they add their queries to QUERIES and ORACLES

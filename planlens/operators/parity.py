@@ -23,3 +23,9 @@ def differences(want: DataFrame, got: DataFrame, keys: list[str], exact: list[st
 
 def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("field").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def selector_effects(old: DataFrame, new: DataFrame) -> DataFrame:
+    """solved, unchanged: on how many queries a sample of one year (``distinct_years``) became one of several, and on how many the candidates (``hash``) are the same."""
+    both = old.select("query_id", F.col("distinct_years").alias("a"), F.col("hash").alias("h")).join(new.select("query_id", F.col("distinct_years").alias("b"), F.col("hash").alias("g")), "query_id")
+    return both.agg(F.count_if(F.expr("a = 1 and b > 1")).alias("solved"), F.count_if(F.expr("h = g")).alias("unchanged"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planlens.functions.labels import REGIONS, TYPES, VENUES, label
 from planlens.functions.scoring import UNDECIDED, half_up
+from planlens.operators.quantiles import exact_quantiles
 
 c = F.col
 
@@ -15,8 +17,8 @@ STOP_TOKENS = ("제", "년", "회", "차", "및", "그리고", "with", "and", "t
 VERBAL_ENDINGS = ("하는", "있는", "없는", "되는", "지는", "치는", "리는")
 REGION_SUFFIXES = ("특별자치도", "특별자치시", "특별시", "광역시", "도", "시")
 PAREN = r"[（(\[{][^）)\]}]*[）)\]}]"
-ORDINAL = r"제?\s*[0-9]+\s*(회|주년|차|번째)"
-YEAR = r"(19|20)[0-9]{2}\s*년?"
+ORDINAL = r"(?U)제?\s*[0-9]+\s*(회|주년|차|번째)"
+YEAR = r"(?U)(19|20)[0-9]{2}\s*년?"
 SPLIT = r"(?U)[\s·・,./&\-–—~!?:;\"'「」『』<>＜＞|+*]+"
 
 
@@ -35,7 +37,7 @@ def removal_terms(regions: list[str], districts: list[str]) -> list[str]:
 def tokens(name: Column, removals: list[str]) -> Column:
     """The keyword candidates of a name. Terms are replaced one after the other, as that is not the same as one alternation.
 
-    Names are taken as composed (NFC) text; compose them at ingest if they may not be.
+    Names are taken as composed (NFC) text; ``ingest.composed`` makes them so.
     """
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, PAREN, " "), ORDINAL, " "), YEAR, " ")
     s = F.aggregate(F.array(*map(F.lit, removals)), s, lambda a, t: F.replace(a, t, F.lit(" "))) if removals else s
@@ -113,9 +115,16 @@ def cost_summary(cohort: DataFrame) -> DataFrame:
     The twentieths are cut by rank; ranks come from counts per value range, so only a range's own values are sorted together.
     """
     ranked = with_rank(cost_rows(cohort), "cpv")
-    keep = (c("n") < 20) | (c("rank") > F.floor(c("n") * 0.05)) & (c("rank") <= F.ceil(c("n") * 0.95))
-    q = lambda p, name: half_up(F.percentile("cpv", F.lit(p))).alias(name)
-    return ranked.where(keep).groupBy().agg(F.max("n").alias("n"), q(0.5, "median"), q(0.25, "p25"), q(0.75, "p75")).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    cut = F.when(c("n") < 20, 0).otherwise(F.floor(c("n") * 0.05))
+    left = F.when(c("n") < 20, c("n")).otherwise(F.ceil(c("n") * 0.95)) - cut
+
+    def q(p: float, name: str) -> Column:
+        place = p * (left - 1)
+        low, high = (F.max(F.when(c("rank") == cut + F.floor(place) + 1 + i, c("cpv"))) for i in (0, 1))
+        part = F.max(place - F.floor(place))
+        return half_up(F.when((part == 0) | high.isNull(), low).otherwise((1 - part) * low + part * high)).alias(name)
+
+    return ranked.groupBy().agg(F.max("n").alias("n"), q(0.5, "median"), q(0.25, "p25"), q(0.75, "p75")).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def with_rank(rows: DataFrame, value: str, slices: int = 256) -> DataFrame:
@@ -133,10 +142,18 @@ def with_rank(rows: DataFrame, value: str, slices: int = 256) -> DataFrame:
 
 def top_efficient(cohort: DataFrame, n: int = 5) -> DataFrame:
     rows = cost_rows(cohort)
-    middle = rows.agg(F.percentile("visitors", F.lit(0.5)).alias("middle"))
+    middle = exact_quantiles(rows.withColumn("all", F.lit(0)), ["all"], "visitors", {"middle": 0.5}).drop("all")
     return rows.crossJoin(F.broadcast(middle)).where(c("visitors") >= c("middle")).orderBy("cpv", "id").limit(n)
 
 
+def references(rows: DataFrame, by: list[str], n: int = 4) -> DataFrame:
+    """Of each value of ``by`` the ``n`` records with most visitors, with labels and the cost per visitor; rn is their order, ties by id."""
+    order = Window.partitionBy(*by).orderBy(F.coalesce("visitors", F.lit(0)).desc(), "id")
+    top = rows.withColumn("rn", F.row_number().over(order)).where(c("rn") <= n)
+    cost = F.when((c("visitors") > 0) & c("budget_krw").isNotNull(), half_up(c("budget_krw") / c("visitors"))).alias("cost_per_visitor")
+    return top.select(*by, "rn", "id", "festival_name", label(c("region"), REGIONS).alias("region_label"), "district", label(c("festival_type"), TYPES).alias("type_label"), label(c("venue_type"), VENUES).alias("venue_label"), "start_month", "duration_days", "budget_krw", "visitors", cost)
+
+
 def cohort_summary(records: DataFrame, region: str, kind: str, venue: str) -> DataFrame:
     same, here = c("festival_type") == kind, c("region") == region
     return records.agg(F.count_if(same).alias("national_same_type"), F.count_if(here).alias("region"), F.count_if(same & here).alias("region_same_type"), F.count_if(same & here & (c("venue_type") == venue)).alias("region_same_type_venue"))
@@ -152,22 +169,23 @@ def cohort(records: DataFrame, region: str, kind: str) -> DataFrame:
 def cards(spark: SparkSession, records: DataFrame, words: DataFrame, region: str, kind: str, venue: str, month: int | None, days: int) -> DataFrame:
     """kind, value, partner, score, emitted: the recommendation cards, best first, ties in the order they are emitted."""
     same = records.where(c("festival_type") == kind)
-    space = whitespace(axis_values(same, words), region)
-    best = lambda axis, cond: space.where((c("axis") == axis) & cond).orderBy(c("score").desc(), c("national").desc(), "first_seen", "value").limit(1)
+    bucket = spark.range(1).select(duration_bucket(F.lit(days)).alias("b")).first()["b"]
+    other = lambda axis, own: (c("axis") == axis) & (c("value") != own if own else F.lit(True))
+    wanted = other("venue", venue) | other("duration", bucket) | (c("axis") == "keyword") & (c("regional") == 0)
+    order = Window.partitionBy("axis").orderBy(c("score").desc(), c("national").desc(), "first_seen", "value")
+    best = whitespace(axis_values(same, words), region).where(wanted).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     pct = lambda x: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) * 100 + 0.5).cast("int")
     none = F.lit(None).cast("string")
-    bucket = spark.range(1).select(duration_bucket(F.lit(days)).alias("b")).first()["b"]
-
-    def card(df: DataFrame, name: str, emitted: int, partner: Column = none) -> DataFrame:
-        return df.select(F.lit(name).alias("kind"), "value", partner.alias("partner"), pct(c("score")).alias("score"), F.lit(emitted).alias("emitted"))
+    # the partner of an imported keyword is the region's most frequent one that is another word, so one of the first two
+    local = records.where(c("region") == region).select("id").join(words, "id").groupBy("keyword").agg(F.count("*").alias("k"), F.min("id").alias("f")).orderBy(c("k").desc(), "f", "keyword").limit(2)
+    local = local.agg(F.transform(F.array_sort(F.collect_list(F.struct(-c("k"), "f", "keyword"))), lambda x: x["keyword"]).alias("local"))
+    partner = F.when(c("axis") == "keyword", F.get(F.filter("local", lambda x: x != c("value")), F.lit(0)))
+    turn = F.when(c("axis") == "venue", F.struct(F.lit("VENUE_SHIFT").alias("kind"), F.lit(1).alias("emitted"))).when(c("axis") == "keyword", F.struct(F.lit("KEYWORD_MASHUP").alias("kind"), F.lit(3).alias("emitted"))).otherwise(F.struct(F.lit("DURATION_TUNE").alias("kind"), F.lit(4).alias("emitted")))
+    found = best.crossJoin(F.broadcast(local)).withColumn("turn", turn).select("turn.kind", "value", partner.alias("partner"), pct(c("score")).alias("score"), "turn.emitted")
 
     quiet = quiet_months(months(spark, records, region, kind))
     quiet = quiet.orderBy((c("month") == month) if month else F.lit(False), "same_type", c("national").desc(), "month").limit(1)
     total = same.agg(F.count_if(c("region") == region).alias("total"))
     timing = quiet.crossJoin(F.broadcast(total)).select(F.lit("TIMING_SHIFT"), c("month").cast("string"), none, pct(1 - c("same_type") / F.greatest(F.lit(1), c("total"))), F.lit(2))
-    imported = best("keyword", c("regional") == 0)
-    local = records.where(c("region") == region).select("id").join(words, "id").groupBy("keyword").agg(F.count("*").alias("k"), F.min("id").alias("f"))
-    pair = imported.join(local, c("keyword") != c("value"), "left").orderBy(c("k").desc_nulls_last(), "f", "keyword").limit(1)
     cost = cost_summary(cohort(records, region, kind)).where("n > 0").select(F.lit("BUDGET_EFFICIENCY"), c("median").cast("string"), none, F.lit(0), F.lit(5))
-    out = card(best("venue", c("value") != venue), "VENUE_SHIFT", 1).union(timing).union(card(pair, "KEYWORD_MASHUP", 3, c("keyword")))
-    return out.union(card(best("duration", c("value") != bucket if bucket else F.lit(True)), "DURATION_TUNE", 4)).union(cost).orderBy(c("score").desc(), "emitted")
+    return found.union(timing).union(cost).orderBy(c("score").desc(), "emitted")

@@ -1,9 +1,9 @@
 """Candidate selection: ever wider tiers until enough candidates are found.
 
 Tiers: 1 district, type and venue; 2 region, type and venue; 3 type and venue; 4 region and type; 5 type; 6 all. A record belongs to
-the first tier it matches. Without loops: the tier reached is the first whose running count is enough, from counts per query
-and tier, and the gate against one dominating year is a running sum over (query, tier, year) weights. Only those small
-aggregates meet a window; the records themselves are read once and joined back by query.
+the first tier it matches. Without loops: one pass leaves the number, the weight and the best similarity of each query, tier
+and year (``summary``). From that small table come the tier reached, which is the first whose running count is enough, and
+the base of the gate against one dominating year; a second pass adds up what the gate lets in from wider tiers.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ def tier(single_year: bool) -> Column:
 
 
 def pool(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query with every record of its window; the queries are few and broadcast after their number is checked."""
+    """Every query with every record of its window, met by year; the queries are few and broadcast after their number is checked."""
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} queries at once; split them in calls of at most {MAX_QUERIES}")
-    return records.join(F.broadcast(queries), (c("dataset_year") <= c("last_year")) & (c("dataset_year") >= c("first_year")))
+    years = records.select("dataset_year").distinct()
+    asked = queries.join(F.broadcast(years), c("dataset_year").between(c("first_year"), c("last_year")))
+    return records.join(F.broadcast(asked), "dataset_year")
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -41,18 +43,27 @@ def usable(records: DataFrame) -> DataFrame:
     return records.where("quality_flag = 'VALID' and region is not null and size(type_tokens) > 0")
 
 
+def summary(scored: DataFrame) -> DataFrame:
+    """query_id, tier, dataset_year, n, w, best: at most tiers x years rows for each query."""
+    return scored.groupBy("query_id", "tier", "dataset_year").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("sim").alias("best"))
+
+
 def _max_share(df: DataFrame, keys: list[str]) -> DataFrame:
     years = df.groupBy(*keys, "dataset_year").agg(F.sum("w").alias("w"))
     return years.groupBy(*keys).agg(F.round(F.max("w") / F.sum("w"), 12).alias("share"))
 
 
-def reached_v0(scored: DataFrame) -> DataFrame:
-    """query_id, base_tier, base_count: the first tier whose running count is enough, or 6."""
-    counts = scored.groupBy("query_id", "tier").agg(F.count("*").alias("n"))
+def _base(sums: DataFrame) -> DataFrame:
+    counts = sums.groupBy("query_id", "tier").agg(F.sum("n").alias("n"))
     running = counts.withColumn("cum", F.sum("n").over(Window.partitionBy("query_id").orderBy("tier")))
     return running.groupBy("query_id").agg(F.coalesce(F.min(F.when(c("cum") >= ENOUGH, c("tier"))), F.lit(6)).alias("base_tier"), F.coalesce(F.min(F.when(c("cum") >= ENOUGH, c("cum"))), F.max("cum")).alias("base_count"))
 
 
+def reached_v0(scored: DataFrame) -> DataFrame:
+    """query_id, base_tier, base_count: the first tier whose running count is enough, or 6."""
+    return _base(summary(scored))
+
+
 def select_v0(scored: DataFrame) -> DataFrame:
     """The selected candidates with base_tier, reached_tier, gate (never on) and the floor (none)."""
     found = scored.join(F.broadcast(reached_v0(scored)), "query_id").where("tier <= base_tier")
@@ -65,13 +76,13 @@ def gate_v1(scored: DataFrame) -> DataFrame:
     If one year holds more than half the weight of the base, wider tiers are added, but only records within LOSS of the best
     similarity, until no year does. A base share is a rounded quotient, so two equal years are exactly one half.
     """
-    base_of = reached_v0(scored)
-    # one pass over the records leaves at most tiers x years rows for each query, apart from the floor, which needs the best similarity first
-    best = scored.join(F.broadcast(base_of), "query_id").where("tier <= base_tier").groupBy("query_id").agg(F.max("sim").alias("best"))
-    info = base_of.join(best, "query_id")
-    part = scored.join(F.broadcast(info), "query_id").where((c("tier") <= c("base_tier")) | (c("sim") >= F.round(c("best") - LOSS, 12)))
-    level = F.greatest("tier", "base_tier").alias("level")
-    sums = part.groupBy("query_id", "base_tier", "base_count", "best", level, "dataset_year").agg(F.sum("w").alias("w"))
+    own = summary(scored)
+    inside = own.join(F.broadcast(_base(own)), "query_id").where("tier <= base_tier")
+    info = inside.groupBy("query_id", "base_tier", "base_count").agg(F.max("best").alias("best"))
+    keys = ["query_id", "base_tier", "base_count", "best"]
+    base = inside.drop("best").join(F.broadcast(info.select("query_id", "best")), "query_id").groupBy(*keys, c("base_tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w"))
+    wider = scored.join(F.broadcast(info), "query_id").where((c("tier") > c("base_tier")) & (c("sim") >= F.round(c("best") - LOSS, 12)))
+    sums = base.union(wider.groupBy(*keys, c("tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w")))
     levels = sums.select("query_id", "base_tier", F.explode(F.sequence("base_tier", F.lit(6))).alias("upto")).distinct()
     spread = levels.join(sums.drop("base_tier"), "query_id").where("level <= upto")
     share = _max_share(spread, ["query_id", "base_tier", "base_count", "best", "upto"])
@@ -89,3 +100,17 @@ def gate_v1(scored: DataFrame) -> DataFrame:
 def select_v1(scored: DataFrame) -> DataFrame:
     found = scored.join(F.broadcast(gate_v1(scored)), "query_id")
     return found.where((c("tier") <= c("base_tier")) | c("gate") & (c("tier") <= c("reached_tier")) & (c("sim") >= c("quality_floor")))
+
+
+def breakdown(chosen: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, tier, added, cumulative: what each tier up to the one reached brought, tiers that brought nothing included.
+
+    Tier 1 applies to queries with a district, tiers 1 to 3 to those with a venue. ``chosen`` comes from ``select_v0`` or ``select_v1``.
+    """
+    applies = lambda t: ((t != 1) | c("q_district").isNotNull()) & ((t > 3) | c("q_venue").isNotNull())
+    tiers = queries.select("query_id", F.explode(F.filter(F.sequence(F.lit(1), F.lit(6)), applies)).alias("tier"))
+    counts = chosen.groupBy("query_id", "tier").agg(F.count("*").alias("added"), F.max("reached_tier").alias("reached"))
+    reached = counts.groupBy("query_id").agg(F.max("reached").alias("reached"))
+    listed = tiers.join(reached, "query_id", "left").where(c("tier") <= F.coalesce("reached", F.lit(6))).drop("reached").join(counts.drop("reached"), ["query_id", "tier"], "left")
+    listed = listed.withColumn("added", F.coalesce("added", F.lit(0).cast("long")))
+    return listed.withColumn("cumulative", F.sum("added").over(Window.partitionBy("query_id").orderBy("tier")))

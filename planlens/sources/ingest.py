@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from planlens.operators.quantiles import exact_quantiles
+
 c = F.col
 
 # The header and the code lists of the raw files.
 HEADERS = (
-    "dataset_year source_sheet source_row source_sha256 region_raw region district_raw district festival_name festival_type_raw festival_type venue_raw venue_type_raw venue_type duration_days duration_note_raw "
-    "event_mode event_status covid_affected first_held_year budget_total_raw budget_total_million budget_national_million budget_local_million budget_other_million budget_quality_flag budget_quality_note "
-    "visitor_total_persons period_raw duration_source cycle"
-).split()
+    "dataset_year",
+    "source_sheet",
+    "source_row",
+    "source_sha256",
+    "region_raw",
+    "region",
+    "district_raw",
+    "district",
+    "festival_name",
+    "festival_type_raw",
+    "festival_type",
+    "venue_raw",
+    "venue_type_raw",
+    "venue_type",
+    "period_raw",
+    "duration_days",
+    "duration_source",
+    "duration_note_raw",
+    "cycle",
+    "event_mode",
+    "event_status",
+    "covid_affected",
+    "first_held_year",
+    "budget_total_raw",
+    "budget_total_million",
+    "budget_national_million",
+    "budget_local_million",
+    "budget_other_million",
+    "budget_quality_flag",
+    "budget_quality_note",
+    "visitor_total_persons",
+)
+FATAL_FIELDS = ("dataset_year", "source_sheet", "source_row", "source_sha256", "festival_name", "quality_flag")
 QUALITY_FLAGS = ("VALID", "MISSING_OR_NONPOSITIVE", "UNIT_SCALE_SUSPECT")
 DURATION_SOURCES = ("EXPLICIT_TEXT", "SOURCE_TOTAL_DAYS", "UNPARSED")
 CYCLES = {"매년": "ANNUAL", "격년": "BIENNIAL", "일회성": "ONE_TIME", "최초": "FIRST_TIME"}
+VISITOR_STATUS = {"미집계": "NOT_TALLIED", "최초 개최": "FIRST_TIME_HELD", "최근 미개최": "RECENTLY_NOT_HELD", "모름": "UNKNOWN"}
 #: No districts; only whole values count, so "시" leaves "수원시" alone.
 DISTRICT_PLACEHOLDERS = ("-", "시자체", "본청", "도", "시", "지자체", "도자체", "시 자체", "미기재", "서울시", "울산시", "제주도", "세종시", "제주도 본청", "대구광역시")
 
 
-def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...] | list[str] = tuple(HEADERS)) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...] | list[str] = HEADERS) -> DataFrame:
     """All columns as strings, by header name; raises if the file is empty or lacks a header. A byte-order mark is dropped."""
     head = spark.read.text(path).limit(1).collect()
     if not head or not head[0][0].strip("﻿ \r"):
@@ -40,7 +75,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_file(paths: DataFrame) -> DataFrame:
     """The path with the greatest year in its name, as in ``2026년``."""
-    year = F.regexp_extract("path", r"((?:19|20)[0-9]{2})\s*년", 1)
+    year = F.regexp_extract("path", r"(?U)((?:19|20)[0-9]{2})\s*년", 1)
     return paths.where(year != "").agg(F.max_by("path", F.struct(year, "path")).alias("path"))
 
 
@@ -54,7 +89,7 @@ def dash_to_null(x: Column) -> Column:
 
 
 def strip_prefix(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[0-9]{1,2}\.\s*", "")
+    return F.regexp_replace(x, r"(?U)^[0-9]{1,2}\.\s*", "")
 
 
 def mapped(x: Column, codes: dict[str, str]) -> Column:
@@ -84,6 +119,52 @@ def million_to_krw(x: Column) -> Column:
     return (x.cast("decimal(18,3)") * 1_000_000).cast("bigint")
 
 
+def budget_to_krw(million: Column) -> Column:
+    """Of a number in floating point, as single-year files have it: rounded half up after the product."""
+    return F.when(million.isNotNull(), F.floor(million * 1_000_000 + 0.5).cast("bigint"))
+
+
+def visitors(number: Column, text: Column) -> tuple[Column, Column]:
+    """The count if the cell is a number, else the status that its text names, if any."""
+    return F.when(number.isNotNull(), F.floor(number + 0.5).cast("bigint")), F.when(number.isNull(), mapped(text, VISITOR_STATUS))
+
+
+@F.pandas_udf(StringType())
+def _composed(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
+def composed(x: Column) -> Column:
+    """Names as composed (NFC) text, once at ingest; Spark has no function of its own for it."""
+    return _composed(x)
+
+
+def single_year(raw: DataFrame, regions: dict[str, str], types: dict[str, str], venues: dict[str, str]) -> DataFrame:
+    """The records of a single-year file with ``missing``, the required fields that a row lacks; only rows that lack none are loaded.
+
+    A cell of the file is a text column, and for numbers also a double column of the same name with ``_number`` after it.
+    """
+    code = lambda n, codes: mapped(strip_prefix(c(n)), codes)
+    days, source = duration(F.floor(c("duration_number") + 0.5).cast("int"), rolled_date(c("start_year"), c("start_month"), c("start_day")), rolled_date(c("end_year"), c("end_month"), c("end_day")))
+    seen, status = visitors(c("visitors_number"), trim_to_null(c("visitors")))
+    df = raw.select(
+        "row", trim_to_null(c("festival_name")).alias("festival_name"), code("region", regions).alias("region"), dash_to_null(c("district")).alias("district"), code("festival_type", types).alias("festival_type"), code("venue_type", venues).alias("venue_type"),
+        code("cycle", CYCLES).alias("cycle_type"), days.alias("duration_days"), source.alias("duration_source"), budget_to_krw(c("budget_number")).alias("budget_krw"), budget_status(c("budget_number"), trim_to_null(c("budget"))).alias("budget_status"), seen.alias("visitors"), status.alias("visitors_status"),
+    )
+    required = ("festival_name", "region", "festival_type", "venue_type", "cycle_type")
+    return df.withColumn("missing", F.array_compact(F.array(*(F.when(c(n).isNull(), n) for n in required))))
+
+
+def plan_draft(body: Column) -> Column:
+    """concept, programIdeas, differentiationPoints and cautions of a drafted plan in JSON: what is not a text is empty, lists keep their texts; null if it is no JSON."""
+    v = F.try_parse_json(body)
+    kind = lambda x: F.schema_of_variant(x)
+    concept = F.try_variant_get(v, "$.concept", "variant")
+    strings = lambda n: F.coalesce(F.transform(F.filter(F.try_variant_get(v, f"$.{n}", "array<variant>"), lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>")).alias(n)
+    shape = F.struct(F.when(kind(concept) == "STRING", F.try_variant_get(v, "$.concept", "string")).otherwise("").alias("concept"), *(strings(n) for n in ("programIdeas", "differentiationPoints", "cautions")))
+    return F.when(v.isNotNull(), shape)
+
+
 def budget_status(number: Column, text: Column) -> Column:
     return F.when(number > 0, "CONFIRMED").when(number.isNotNull(), "ZERO").when(text == "미확정", "UNCONFIRMED").otherwise("NO_RESPONSE")
 
@@ -109,8 +190,8 @@ def canonical(raw: DataFrame, regions: dict[str, str], types: list[str], venues:
     million = lambda n: get(n).try_cast("decimal(18,3)").alias(n)
     df = raw.select(
         to_int(get("dataset_year")).cast("int").alias("dataset_year"), get("source_sheet").alias("source_sheet"), to_int(get("source_row")).cast("int").alias("source_row"), get("source_sha256").alias("source_sha256"),
-        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region_raw"), regions).alias("region"), district.alias("district_raw"), F.when(~district.isin(*DISTRICT_PLACEHOLDERS), district).alias("district"), get("festival_name").alias("festival_name"),
-        known.alias("type_tokens"), unknown.alias("unknown_types"), mapped(venue, venues).alias("venue_type"), (venue.isNotNull() & mapped(venue, venues).isNull()).alias("venue_unmapped"),
+        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region"), regions).alias("region"), (own("region").isNotNull() & mapped(get("region"), regions).isNull()).alias("region_unmapped"), district.alias("district_raw"), F.when(~district.isin(*DISTRICT_PLACEHOLDERS), district).alias("district"), get("festival_name").alias("festival_name"),
+        known.alias("type_tokens"), unknown.alias("unknown_types"), mapped(venue, venues).alias("venue_type"), (venue.isNotNull() & mapped(venue, venues).isNull()).alias("venue_unmapped"), (get("festival_type").isNotNull() & (F.size(known) == 0)).alias("no_known_type"),
         to_int(get("duration_days")).cast("int").alias("duration_days"), parse_boolean(get("covid_affected")).alias("covid_affected"), get("budget_total_million").try_cast("decimal(18,3)").alias("budget_total_million"),
         F.when(flag.isin(*QUALITY_FLAGS), flag).alias("quality_flag"),
         *(get(n).alias(n) for n in ("festival_type_raw", "venue_raw", "venue_type_raw", "period_raw", "duration_source", "duration_note_raw", "event_mode", "event_status", "budget_quality_note")),
@@ -118,20 +199,59 @@ def canonical(raw: DataFrame, regions: dict[str, str], types: list[str], venues:
         million("budget_national_million"), million("budget_local_million"), million("budget_other_million"), (source.isNotNull() & ~source.isin(*DURATION_SOURCES)).alias("duration_source_unknown"),
     )
     df = df.withColumn("budget_krw", million_to_krw(c("budget_total_million")))
-    fatal = ["dataset_year", "source_sheet", "source_row", "source_sha256", "festival_name", "quality_flag"]
     issue = lambda cond, field, bad: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(bad).alias("fatal")))
-    found = [issue(c(f).isNull(), f, True) for f in fatal] + [issue(c("region").isNull(), "region", False), issue(c("venue_unmapped"), "venue_type", False), issue(F.size("unknown_types") > 0, "festival_type", False), issue(c("duration_source_unknown"), "duration_source", False)]
+    found = [issue(c(f).isNull(), f, True) for f in FATAL_FIELDS]
+    found += [issue(c("region_unmapped"), "region", False), issue(c("venue_unmapped"), "venue_type", False), issue(F.size("unknown_types") > 0, "festival_type", False), issue(c("no_known_type"), "festival_type", False), issue(c("duration_source_unknown"), "duration_source", False)]
     return df.withColumn("issues", F.array_compact(F.array(*found)))
 
 
+def accepted(rows: DataFrame) -> DataFrame:
+    """Canonical rows without a fatal issue."""
+    return rows.where(~F.exists("issues", lambda i: i["fatal"]))
+
+
+def import_report(rows: DataFrame) -> DataFrame:
+    """metric, key, value: what a load would bring, from canonical rows. Counts are of the rows without a fatal issue, but for those of issues and skipped rows."""
+    good = accepted(rows)
+    valid = F.when(c("quality_flag") == "VALID", c("budget_total_million").cast("double"))
+    n = lambda cond: F.count_if(cond).cast("double")
+    singles = {
+        "total_rows": F.count("*").cast("double"),
+        "missing_venue_type": n(c("venue_type").isNull()),
+        "missing_cycle": n(c("cycle_raw").isNull()),
+        "missing_duration": n(c("duration_days").isNull()),
+        "single_type_rows": n(F.size("type_tokens") == 1),
+        "multi_type_rows": n(F.size("type_tokens") > 1),
+        "unknown_type_rows": n(F.array_contains("type_tokens", "UNKNOWN")),
+        "other_type_rows": n(F.array_contains("type_tokens", "OTHER")),
+        "district_placeholders": n(c("district_raw").isNotNull() & c("district").isNull()),
+        "source_hashes": F.countDistinct("source_sha256").cast("double"),
+        "source_sheets": F.countDistinct("source_sheet").cast("double"),
+        "type_combinations": F.countDistinct(F.when(F.size("type_tokens") > 1, F.array_join(F.array_sort("type_tokens"), "|"))).cast("double"),
+    }
+    one = good.agg(*(v.alias(k) for k, v in singles.items())).unpivot([], list(singles), "metric", "value").select("metric", F.lit("").alias("key"), "value")
+    per = good.groupBy("dataset_year", "quality_flag").agg(F.count("*").cast("double").alias("value"))
+    by_year = per.groupBy("dataset_year").agg(F.sum("value").alias("value")).select(F.lit("rows").alias("metric"), c("dataset_year").cast("string").alias("key"), "value")
+    by_flag = per.groupBy("quality_flag").agg(F.sum("value").alias("value")).select(F.lit("flag").alias("metric"), c("quality_flag").alias("key"), "value")
+    by_both = per.select(F.lit("year_flag").alias("metric"), F.concat_ws(":", c("dataset_year").cast("string"), "quality_flag").alias("key"), "value")
+    issues = rows.agg(F.sum(F.size("issues")).cast("double").alias("issues"), F.count_if(F.exists("issues", lambda i: i["fatal"])).cast("double").alias("fatal_rows"), F.countDistinct(F.when(c("region_unmapped"), c("region_raw"))).cast("double").alias("unmapped_regions"))
+    issues = issues.unpivot([], issues.columns, "metric", "value").select("metric", F.lit("").alias("key"), "value")
+    middle = exact_quantiles(good.select("dataset_year", valid.alias("million")), ["dataset_year"], "million", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    ends = good.where(valid.isNotNull()).groupBy("dataset_year").agg(F.min(valid).alias("least"), F.max(valid).alias("most"), F.count("*").cast("double").alias("n_budgets"))
+    sane = middle.join(ends, "dataset_year").unpivot(["dataset_year"], ["median", "p25", "p75", "least", "most", "n_budgets"], "metric", "value").select("metric", c("dataset_year").cast("string").alias("key"), "value")
+    return one.union(by_year).union(by_flag).union(by_both).union(issues).union(sane)
+
+
 def profile(records: DataFrame) -> DataFrame:
     """Per year: rows, rows by quality flag, missing features, single and multiple types, and the budgets of valid rows."""
     valid = F.when(c("quality_flag") == "VALID", c("budget_krw"))
-    return records.groupBy("dataset_year").agg(
+    counts = records.groupBy("dataset_year").agg(
         F.count("*").alias("n"), F.count_if(c("quality_flag") == "VALID").alias("n_valid"), F.count_if(c("quality_flag") != "VALID").alias("n_not_valid"), F.count_if(c("duration_days").isNull()).alias("no_duration"),
         F.count_if(F.size("type_tokens") == 0).alias("no_type"), F.count_if(F.size("type_tokens") == 1).alias("single_type"), F.count_if(F.size("type_tokens") > 1).alias("multi_type"),
-        F.countDistinct("region").alias("regions"), F.percentile(valid, F.lit(0.5)).alias("median"), F.percentile(valid, F.lit(0.25)).alias("p25"), F.percentile(valid, F.lit(0.75)).alias("p75"), F.min(valid).alias("least"), F.max(valid).alias("most"),
+        F.countDistinct("region").alias("regions"), F.min(valid).alias("least"), F.max(valid).alias("most"),
     )
+    middle = exact_quantiles(records.select("dataset_year", valid.alias("valid")), ["dataset_year"], "valid", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return counts.join(middle, "dataset_year", "left")
 
 
 def acceptance(actual: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -150,6 +270,25 @@ def accept(report: DataFrame) -> None:
 BATCH_KEY = ["dataset_year", "source_sha256", "canonical_sha256", "importer_version"]
 
 
+def batch_headers(rows: DataFrame, file_name: str, canonical_sha256: str, importer_version: str) -> DataFrame:
+    """One header for each year: its key, the file, and how many rows of each quality it brings."""
+    flags = {"valid_rows": "VALID", "missing_rows": "MISSING_OR_NONPOSITIVE", "suspect_rows": "UNIT_SCALE_SUSPECT"}
+    return rows.groupBy("dataset_year").agg(
+        F.min("source_sha256").alias("source_sha256"), F.lit(canonical_sha256).alias("canonical_sha256"), F.lit(importer_version).alias("importer_version"), F.lit(file_name).alias("source_file_name"),
+        F.count("*").alias("total_rows"), *(F.count_if(c("quality_flag") == v).alias(k) for k, v in flags.items()), F.lit("SUCCESS").alias("status"),
+    )
+
+
+def type_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The child rows: ``key`` and one type each; a row without a type has none."""
+    return rows.select(*key, F.explode("type_tokens").alias("type"))
+
+
+def with_batch(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """The rows with the hash of the file that their year's batch came from; a row whose year has no header is not loaded yet."""
+    return rows.join(headers.select("dataset_year", c("source_sha256").alias("batch_sha256")), "dataset_year")
+
+
 def new_batches(batches: DataFrame, existing: DataFrame) -> DataFrame:
     """Those not loaded before; their key is the year, both hashes and the importer's version."""
     return batches.join(existing, BATCH_KEY, "left_anti")

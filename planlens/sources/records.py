@@ -40,6 +40,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """The records of the latest year of all."""
+    return rows.join(F.broadcast(rows.agg(F.max("dataset_year").alias("dataset_year"))), "dataset_year")
+
+
 #: The same table as a DuckDB query, written on its own for the oracles.
 RECORDS_SQL = """
 items as (
@@ -54,3 +59,6 @@ items as (
   from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
   left join items on l_orderkey = o_orderkey
 )"""
+
+#: Of that, the latest year.
+LATEST_SQL = RECORDS_SQL.replace("records as (", "every_year as (") + ", records as (select * from every_year where dataset_year = (select max(dataset_year) from every_year))"

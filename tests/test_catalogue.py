@@ -22,8 +22,6 @@ def shown(x):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, name):
-    if name == "import_acceptance":
-        pytest.skip("its expectations are those of the larger tables")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
