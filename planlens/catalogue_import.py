@@ -81,3 +81,16 @@ DRAFTS = [
 def plan_drafts(spark, sf_dir):
     got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(DRAFTS)], "id int, body string").withColumn("d", ingest.plan_draft(c("body")))
     return got.select("id", "d.concept", F.array_join("d.programIdeas", "|").alias("ideas"), F.array_join("d.differentiationPoints", "|").alias("points"), F.array_join("d.cautions", "|").alias("cautions"))
+
+
+@query(f"with {GOOD_SQL} select y dataset_year, '-' district, array_to_string(['A'], '|') types, count(*) n, sum(cast(m * 1000000 as bigint))::double krw from good group by y")
+def working_rows(spark, sf_dir):
+    got = ingest.loaded(ingest.accepted(_canonical(spark, sf_dir)), ["A", "C"])
+    return got.groupBy("dataset_year", "district", F.array_join("type_tokens", "|").alias("types")).agg(F.count("*").alias("n"), F.sum("budget_krw").alias("krw"))
+
+
+@query("select * from (values ('b.csv', 'h2'), ('c.csv', 'h3')) t(path, sha256)")
+def file_idempotency(spark, sf_dir):
+    """Of four files the two whose content is new; a copy under another name is not."""
+    files = spark.createDataFrame([("a.csv", "h1"), ("a copy.csv", "h1"), ("b.csv", "h2"), ("c.csv", "h3")], "path string, sha256 string")
+    return ingest.new_files(files, spark.createDataFrame([("old.csv", "h1")], files.schema)).select("path", "sha256")

@@ -97,6 +97,18 @@ def month_references(spark, sf_dir):
     return top.groupBy("month").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
+_LISTS = {"region": labels.REGIONS, "festival_type": labels.TYPES, "venue_type": labels.VENUES}
+_LISTED = [(kind, i, code, name) for kind, names in _LISTS.items() for i, (code, name) in enumerate(names.items())]
+
+
+@query(f"""with {LATEST_SQL} select kind, place, code, "label" from (values {', '.join(str(x) for x in _LISTED)}) t(kind, place, code, "label")
+union all select 'dataset_year', 0, cast(max(dataset_year) as varchar), cast(count(*) as varchar) from records""")
+def metadata_listing(spark, sf_dir):
+    """All codes with their labels in order, and the latest year with its number of records."""
+    latest = _corpus(spark, sf_dir).agg(F.max("dataset_year").cast("string").alias("code"), F.count("*").cast("string").alias("label"))
+    return spark.createDataFrame(_LISTED, "kind string, place int, code string, label string").union(latest.select(F.lit("dataset_year"), F.lit(0), "code", "label"))
+
+
 _AB = "select query_id, count(distinct dataset_year) distinct_years, string_agg(cast(id as varchar), ',' order by id) hash from sample group by query_id"
 
 

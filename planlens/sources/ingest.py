@@ -289,6 +289,24 @@ def with_batch(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.join(headers.select("dataset_year", c("source_sha256").alias("batch_sha256")), "dataset_year")
 
 
+def new_files(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """The files (path, sha256) whose content was not loaded before, under whatever name."""
+    return files.join(existing.select("sha256"), "sha256", "left_anti")
+
+
+def loaded(rows: DataFrame, types: list[str]) -> DataFrame:
+    """The working rows that estimates read, from canonical ones: the district as it was given, only ``types`` among the types, and 0 for a missing budget."""
+    known = F.array_intersect("type_tokens", F.array(*map(F.lit, types)))
+    return rows.withColumn("district", trim_to_null(c("district_raw"))).withColumn("type_tokens", known).withColumn("budget_krw", F.coalesce("budget_krw", F.lit(0).cast("long")).cast("double"))
+
+
+def golden(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Expected rows from a CSV file, by header name and cast to ``schema``; an empty cell is null."""
+    fields = StructType.fromDDL(schema)
+    raw = read_csv(spark, path, [f.name for f in fields])
+    return raw.select(*(trim_to_null(c(f.name)).try_cast(f.dataType).alias(f.name) for f in fields))
+
+
 def new_batches(batches: DataFrame, existing: DataFrame) -> DataFrame:
     """Those not loaded before; their key is the year, both hashes and the importer's version."""
     return batches.join(existing, BATCH_KEY, "left_anti")
