@@ -293,7 +293,7 @@ def _names(spark, sf_dir):
 
 def _words(spark, sf_dir):
     rows, names = _names(spark, sf_dir)
-    return rows, planner.keywords(names, planner.vocabulary(names))
+    return rows, materialise(planner.keywords(names, planner.vocabulary(names)), "keywords")
 
 
 # names of these tables hold nothing to take out, so plain words of 2 to 8 letters are the tokens

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlens.functions.scoring import ENOUGH
+from planlens.sources.staging import materialise
 
 c = F.col
 CAP, LOSS = 0.50, 0.05
@@ -29,12 +30,15 @@ def tier(single_year: bool) -> Column:
 
 
 def pool(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query with every record of its window, met by year; the queries are few and broadcast after their number is checked."""
+    """Every query with every record of its window, met by year; the queries are few and broadcast after their number is checked.
+
+    The queries with their years are written out, as every pass over the result meets them again.
+    """
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} queries at once; split them in calls of at most {MAX_QUERIES}")
     years = records.select("dataset_year").distinct()
-    asked = queries.join(F.broadcast(years), c("dataset_year").between(c("first_year"), c("last_year")))
+    asked = materialise(queries.join(F.broadcast(years), c("dataset_year").between(c("first_year"), c("last_year"))), "asked")
     return records.join(F.broadcast(asked), "dataset_year")
 
 
@@ -44,8 +48,8 @@ def usable(records: DataFrame) -> DataFrame:
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    """query_id, tier, dataset_year, n, w, best: at most tiers x years rows for each query."""
-    return scored.groupBy("query_id", "tier", "dataset_year").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("sim").alias("best"))
+    """query_id, tier, dataset_year, n, w, best, written out: at most tiers x years rows for each query."""
+    return materialise(scored.groupBy("query_id", "tier", "dataset_year").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("sim").alias("best")), "tiers")
 
 
 def _max_share(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +86,7 @@ def gate_v1(scored: DataFrame) -> DataFrame:
     keys = ["query_id", "base_tier", "base_count", "best"]
     base = inside.drop("best").join(F.broadcast(info.select("query_id", "best")), "query_id").groupBy(*keys, c("base_tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w"))
     wider = scored.join(F.broadcast(info), "query_id").where((c("tier") > c("base_tier")) & (c("sim") >= F.round(c("best") - LOSS, 12)))
-    sums = base.union(wider.groupBy(*keys, c("tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w")))
+    sums = materialise(base.union(wider.groupBy(*keys, c("tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w"))), "levels")
     levels = sums.select("query_id", "base_tier", F.explode(F.sequence("base_tier", F.lit(6))).alias("upto")).distinct()
     spread = levels.join(sums.drop("base_tier"), "query_id").where("level <= upto")
     share = _max_share(spread, ["query_id", "base_tier", "base_count", "best", "upto"])
