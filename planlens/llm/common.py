@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from planlens.sources.staging import discard, materialise, shared_dir
+
+__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "materialise", "mix", "packed", "read", "runs", "shared_dir", "sliding_argmin", "solid", "unpacked", "windows"]
+
 #: A word: anything but a space or one of the ASCII control blanks U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -22,35 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. ``spark.checkpoint.dir`` names it on a cluster; a temporary one serves local tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = os.path.join(tempfile.gettempdir(), "planlens-shared")
-    os.makedirs(made, exist_ok=True)
-    return made
-
-
-#: Spark removes the shuffle files of a finished write, whose rows are safe in the shared folder, under this setting.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _objects(b: pd.DataFrame) -> pd.DataFrame:
     """String columns as plain objects, nulls as None: string arrays of several chunks can't be sent back to Spark."""
     found = {c: b[c].astype(object).where(b[c].notna(), None) for c in b.columns if isinstance(b[c].dtype, pd.StringDtype)}
@@ -68,6 +40,15 @@ def solid(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]])
     return batches
 
 
+def packed(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: numbers that are mostly small are then long runs of zeros, which shuffle and files compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 # ---------------------------------------------------------------- hashing of word windows
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
