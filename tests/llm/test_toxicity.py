@@ -2,6 +2,8 @@
 
 import math
 import os
+import re
+import zlib
 
 import pytest
 
@@ -45,3 +47,23 @@ def test_held_out_accuracy(spark):
     assert sum(p == y for p, y, _ in held) / len(held) >= 0.9
     bad, good = [s for _, y, s in held if y], [s for _, y, s in held if not y]
     assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good)) >= 0.9
+
+
+def test_the_query_row_by_row(spark):
+    """Every document of the smallest tables: its fold by plain CRC, its score by a plain product over sentences, and the decision."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in registry.op1_toxicity(spark, small).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for d, text in rows:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", text or ""):
+            words = set(re.findall(r"[^\W_]+", sentence.lower()))
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for f in words | {"^" + w[:4] for w in words if len(w) > 4})
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        r = got[d]
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.predicted == int(r.score >= 0.3)
