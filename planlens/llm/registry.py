@@ -23,14 +23,14 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+with c as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
-), p as (
-  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
-), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p)
+), q as (select distinct * from c where vec_id % 50 = 0), p as (
+  select q.vec_id query_id, q.v qv, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
+  from q join c on q.vec_id <> c.vec_id
+), r as (select *, row_number() over (partition by query_id, qv order by score desc, vec_id) rank from p)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 5
 """
 
