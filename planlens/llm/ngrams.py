@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES_RE, materialise, mix, solid
+from .common import WORD_BYTES_RE, materialise, mix, packed, solid, unpacked
 
 #: No word holds a space.
 END = b" "
@@ -113,6 +113,15 @@ def build_filter(pairs: DataFrame) -> LogBloom:
 # ---------------------------------------------------------------- batches of tokens
 
 
+def packed_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, as the gaps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def hashed(text: str | None) -> np.ndarray:
     """The hashes of the words of a text, with A-Z lowered, and of the end token after them."""
     words = WORD_BYTES_RE.findall((text or "").encode("utf-8", "surrogatepass").lower())
@@ -127,9 +136,9 @@ def tokenised(docs: DataFrame, batch_words: int) -> DataFrame:
     """The documents in batches: their distinct words in order of hash, and each document's tokens as places in that list. A null id is 0, not named."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
 
-    def packed(batch: int, ids: list, named: list, held: list, found: list) -> pd.DataFrame:
+    def row(batch: int, ids: list, named: list, held: list, found: list) -> pd.DataFrame:
         words, tokens = np.unique(np.concatenate(found), return_inverse=True)
-        return pd.DataFrame({"batch": [batch], "n": [len(tokens)], "doc_id": [ids], "named": [named], "held_out": [held], "sizes": [list(map(len, found))], "words": [words.tobytes()], "tokens": [tokens.astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"batch": [batch], "n": [len(tokens)], "doc_id": [ids], "named": [named], "held_out": [held], "sizes": [list(map(len, found))], "words": [packed_sorted(words)], "tokens": [packed(tokens.astype(np.uint32))]})
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch, ids, named, held, found, size = TaskContext.get().partitionId() << 36, [], [], [], [], 0
@@ -141,10 +150,10 @@ def tokenised(docs: DataFrame, batch_words: int) -> DataFrame:
                 found.append(hashed(text))
                 size += len(found[-1])
                 if size >= batch_words:
-                    yield packed(batch, ids, named, held, found)
+                    yield row(batch, ids, named, held, found)
                     batch, ids, named, held, found, size = batch + 1, [], [], [], [], 0
         if found:
-            yield packed(batch, ids, named, held, found)
+            yield row(batch, ids, named, held, found)
 
     return materialise(rows.mapInPandas(solid(batches), TOKENS), "tokens")
 
@@ -163,7 +172,7 @@ class Batch:
         sizes = np.asarray(sizes, np.int64)
         follows = np.ones(int(sizes.sum()), bool)
         follows[np.cumsum(sizes) - 1] = False
-        return cls(np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32).astype(np.int64), sizes, np.flatnonzero(follows))
+        return cls(unpacked_sorted(words), unpacked(tokens, np.uint32).astype(np.int64), sizes, np.flatnonzero(follows))
 
     def pairs(self) -> np.ndarray:
         """The hash of each pair of neighbours."""
@@ -187,7 +196,7 @@ def asked(tokens: DataFrame, n_parts: int, training: bool) -> DataFrame:
         cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
         for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if z > a:
-                yield {"part": part, "batch": batch, "kind": kind, "keys": key[a:z].tobytes(), "c": c[a:z].tobytes() if c is not None else b""}
+                yield {"part": part, "batch": batch, "kind": kind, "keys": packed_sorted(key[a:z]), "c": packed(c[a:z]) if c is not None else b""}
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -210,7 +219,8 @@ def asked(tokens: DataFrame, n_parts: int, training: bool) -> DataFrame:
 def _summed(df: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of one kind with the sums of their counts."""
     df = df[df["kind"] == kind]
-    key, c = (np.concatenate([np.frombuffer(x, t) for x in df[name]]) if len(df) else np.zeros(0, t) for name, t in (("keys", np.uint64), ("c", np.uint32)))
+    key = np.concatenate([np.zeros(0, np.uint64), *map(unpacked_sorted, df["keys"])])
+    c = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x, np.uint32) for x in df["c"])])
     key, of = np.unique(key, return_inverse=True)
     return key, np.bincount(of, c, len(key)).astype(np.int64)
 
@@ -237,7 +247,7 @@ def train(tokens: DataFrame, part_words: int = 1_000_000, bits_per_key: int = BI
     def build(df: pd.DataFrame) -> pd.DataFrame:
         words, c = _summed(df, WORD_KEYS)
         bloom = LogBloom.of(*_summed(df, PAIR_KEYS), bits_per_key)
-        return pd.DataFrame({"part": [df["part"].iloc[0]], "n_words": [len(words)], "n": [int(c.sum())], "words": [words.tobytes()], "c": [c.tobytes()], "bits": [bloom.bits.tobytes()], "n_bits": [bloom.n_bits], "top": [bloom.top]})
+        return pd.DataFrame({"part": [df["part"].iloc[0]], "n_words": [len(words)], "n": [int(c.sum())], "words": [packed_sorted(words)], "c": [packed(c)], "bits": [bloom.bits.tobytes()], "n_bits": [bloom.n_bits], "top": [bloom.top]})
 
     n_parts = max(1, math.ceil((tokens.agg(F.sum("n")).first()[0] or 0) / part_words))
     parts = materialise(asked(tokens, n_parts, training=True).groupBy("part").applyInPandas(build, PARTS), "model")
@@ -252,20 +262,19 @@ def answers(tokens: DataFrame, model: Model) -> DataFrame:
         got = []
         if len(left):
             m = right.iloc[0] if len(right) else None
-            words, c = (np.frombuffer(m[x], t) if m is not None else np.zeros(0, t) for x, t in (("words", np.uint64), ("c", np.int64)))
+            words, c = (unpacked_sorted(m["words"]), unpacked(m["c"], np.int64)) if m is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             bloom = LogBloom(np.frombuffer(m["bits"], np.uint8), int(m["n_bits"]), int(m["top"])) if m is not None else LogBloom(np.zeros(8, np.uint8), 64, 0)
-            asks = left[left["kind"] == PAIR_KEYS]["keys"]
-            key, of = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in asks]) if len(asks) else np.zeros(0, np.uint64), return_inverse=True)
+            asks = [unpacked_sorted(x) for x in left["keys"]]
+            key, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, kind in zip(asks, left["kind"], strict=True) if kind == PAIR_KEYS)]), return_inverse=True)
             levels, done = bloom.levels(key)[of], 0
-            for kind, x in zip(left["kind"], left["keys"], strict=True):
+            for kind, h in zip(left["kind"], asks, strict=True):
                 if kind == PAIR_KEYS:
-                    got.append(levels[done : done + len(x) // 8].tobytes())
-                    done += len(x) // 8
+                    got.append(levels[done : done + len(h)].tobytes())
+                    done += len(h)
                 else:
-                    h = np.frombuffer(x, np.uint64)
                     at = np.searchsorted(words, h)
                     known = np.append(words, np.uint64(0))[at] == h
-                    got.append(np.where(known & (at < len(words)), np.append(c, 0)[at], 0).tobytes())
+                    got.append(packed(np.where(known & (at < len(words)), np.append(c, 0)[at], 0)))
         return left[["batch", "kind", "part"]].assign(got=pd.Series(got, index=left.index, dtype=object))
 
     asks = asked(tokens, model.n_parts, training=False).select("part", "batch", "kind", "keys")
@@ -284,7 +293,7 @@ def score(docs: DataFrame, batch_words: int = 1_000_000, part_words: int = 1_000
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["kind", "part"])
-        got = lambda kind, t: np.frombuffer(b"".join(right["got"][right["kind"] == kind]), t)
+        got = lambda kind, t: np.concatenate([np.zeros(0, t), *(unpacked(x, t) for x in right["got"][right["kind"] == kind])])
         row = left.iloc[0]
         batch, c = Batch.of(row["sizes"], row["words"], row["tokens"]), got(WORD_KEYS, np.int64).astype(float)
         at, of, start = batch.at, np.unique(batch.pairs(), return_inverse=True)[1], np.cumsum(batch.sizes) - batch.sizes
