@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, WORD_RE, materialise, runs, sliding_argmin, solid, windows
+from .common import BASES, WORD_RE, discard, materialise, runs, sliding_argmin, solid, windows
 
 SEED = 8
 #: Words held at once by a task while it combines what it finds.
@@ -136,12 +136,15 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
 
     near = rows.join(around, ["k1", "k2"]).select("k1", "k2", "text", "seeds")
     found = materialise(near.mapInPandas(solid(batches), "h1 long, h2 long, k1 long, k2 long, a int, b int"), "windows")
+    discard(picked)
     # a window has at most one row for each task's buffer here, as those combined their own
     same = Window.partitionBy("h1", "h2")
     lone = found.where("h2 >= 0").withColumn("n", F.count("*").over(same)).withColumn("least", F.min("a").over(same))
     lone = lone.where("a >= 0 and (n > 1 or least < 0)").select("k1", "k2", "a", (F.col("a") + length).alias("b"))
     spans = lone.union(found.where("h2 < 0").select("k1", "k2", "a", "b"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    out = materialise(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "repeats")
+    discard(found)
+    return out
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -150,7 +153,7 @@ REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, length: int = 35, keep_text: bool = False) -> DataFrame:
     """One row per document: its number of words, how many of them repeats cover, and the digest of the rest; with ``keep_text`` also ``kept``, the rest joined by single spaces."""
     rows = keyed(docs)
-    found = materialise(repeats(rows, length), "repeats")
+    found = repeats(rows, length)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
