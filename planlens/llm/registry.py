@@ -77,6 +77,19 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+with d as (
+  select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+), places as (select rid, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35),
+windows as (select rid, i, array_to_string(w[i : i + 34], ' ') s from places join d using (rid)),
+repeats as (select rid, i from (select rid, i, count(*) over (partition by s) n from windows) where n > 1),
+gone as (select distinct rid, unnest(range(i, i + 35)) p from repeats),
+words as (select rid, unnest(w) x, unnest(range(1, len(w) + 1)) p from d where len(w) > 0),
+kept as (select rid, count(*) n, string_agg(x, ' ' order by p) k from words anti join gone using (rid, p) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(k, '')) kept_sha256 from d left join kept using (rid)
+"""
+
+
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages"))
 
@@ -110,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_chat": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_chat": OP4_SQL, "op5_substrings": OP5_SQL}
