@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -325,10 +327,13 @@ def all_spans(texts: list[str], model: Field) -> list[tuple[dict[str, list[tuple
     out = []
     for text, extra in zip(texts, field_spans(texts, model), strict=True):
         base = base_spans(text)
+        # of the base spans that start before a span ends, the one that reaches farthest tells whether any meets it
         taken = sorted(s for v in base.values() for s in v)
+        starts, reach = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
         both = {k: list(v) for k, v in base.items()}
         for kind, a, b in extra:
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
                 both[kind].append((a, b))
         out.append((base, {k: sorted(v) for k, v in both.items()}))
     return out

@@ -1,5 +1,6 @@
 """Base spans against the plain patterns; Viterbi against all label sequences; what the field adds and what is redacted."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -72,3 +73,30 @@ def test_training_fits_its_table_and_adds_spans(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs, model).collect()}
     want = text.replace("(216) 555-1810", "<PHONE>").replace("jane@example.org", "<EMAIL>")
     assert got == {1: (want, len(want)), 2: (None, None), 3: ("clean text", 10)}
+
+
+def test_the_query_row_by_row(spark):
+    """Counts and digest of the base spans against the plain patterns on a whole table; all spans hold them, and none that is added meets one."""
+    model = pii.train(pii.labelled_table(spark))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(9001, None), (9002, ""), (None, "4418452524842581 4418452524842581 or a@b.c and 1.2.3.4")], docs.schema))
+    got = {r.doc_id: r for r in pii.find(docs, model).collect()}
+    for d, text in docs.collect():
+        want = plain(text or "")
+        base = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in sorted(want[k]))
+        r = got[d]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1])) and set(base.split(",")) - {""} <= set(r.spans.split(","))
+        kept = [s for v in want.values() for s in v]
+        assert all((a, b) in want[k] or not any(x < b and a < y for x, y in kept) for k, a, b in spans)
+        assert r.n_added == len(spans) - len(kept)
+
+
+def test_many_spans_in_one_text():
+    """The search for spans that meet is not quadratic: 40,000 spans take a moment."""
+    model = pii.fit(pii.labelled_rows(), rounds=20)
+    text = "mail a@b.c or 555-1810 now " * 20_000
+    base, both = pii.all_spans([text], model)[0]
+    assert len(base["email"]) == 20_000 and len(both["email"]) == 20_000
