@@ -25,7 +25,7 @@ def import_report(spark, sf_dir):
     return ingest.import_report(_canonical(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
-@query(f"with {GOOD_SQL} select y dataset_year, min(sha256(cast(o_orderkey as varchar))) source_sha256, 'c' canonical_sha256, '1' importer_version, 'f.csv' source_file_name, count(*) total_rows, count(*) valid_rows, 0 missing_rows, 0 suspect_rows, 'SUCCESS' status from good group by y")
+@query(f"with {GOOD_SQL} select y dataset_year, min(sha256(cast(o_orderkey as varchar))) source_sha256, 'c' canonical_sha256, '1' importer_version, 'f.csv' source_file_name, count(*) total_rows, count(*) valid_rows, cast(0 as bigint) missing_rows, cast(0 as bigint) suspect_rows, 'SUCCESS' status from good group by y")
 def batch_headers(spark, sf_dir):
     return ingest.batch_headers(ingest.accepted(_canonical(spark, sf_dir)), "f.csv", "c", "1")
 
