@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.group import GroupedData
 
 from planlens.sources.staging import discard, materialise, shared_dir
 
-__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "materialise", "mix", "packed", "read", "runs", "shared_dir", "sliding_argmin", "solid", "unpacked", "windows"]
+__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "filtered", "grouped", "mapped", "materialise", "mix", "packed", "read", "runs", "shared_dir", "sliding_argmin", "unpacked", "windows"]
 
 #: A word: anything but a space or one of the ASCII control blanks U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,21 +25,51 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _objects(b: pd.DataFrame) -> pd.DataFrame:
-    """String columns as plain objects, nulls as None: string arrays of several chunks can't be sent back to Spark."""
-    found = {c: b[c].astype(object).where(b[c].notna(), None) for c in b.columns if isinstance(b[c].dtype, pd.StringDtype)}
-    return b.assign(**found) if found else b
+def _frame(table: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """As pandas would have it, but long columns with nulls stay whole numbers (as doubles they lose the digits of ids above 2^53), and strings are plain objects."""
+    out = {}
+    for i, name in enumerate(table.schema.names):
+        column = table.column(i)
+        whole = pa.types.is_integer(column.type) and column.null_count
+        out[name] = column.to_pandas(types_mapper={column.type: NULLABLE[column.type]}.get) if whole else column.to_pandas()
+        if isinstance(out[name].dtype, pd.StringDtype):
+            out[name] = out[name].astype(object).where(out[name].notna(), None)
+    return pd.DataFrame(out)
 
 
-def solid(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """``function`` for mapInPandas with strings as plain objects on both sides, and without empty frames."""
+NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in function(_objects(b) for b in it):
-            if len(b):  # an empty frame has no types to send
-                yield _objects(b)
 
-    return batches
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    return spark.createDataFrame([], schema).toArrow().schema
+
+
+def mapped(rows: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``function`` over the rows in pandas frames, by way of Arrow, so that ids beside a null keep all digits."""
+    kinds = arrow_schema(rows.sparkSession, schema)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in function(map(_frame, it)):
+            if len(b):
+                yield pa.RecordBatch.from_pandas(b, kinds, preserve_index=False)
+
+    return rows.mapInArrow(batches, schema)
+
+
+def grouped(groups: GroupedData, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, spark: SparkSession) -> DataFrame:
+    """``function`` over each group as a pandas frame, by way of Arrow like ``mapped``."""
+    kinds = arrow_schema(spark, schema)
+    return groups.applyInArrow(lambda table: pa.Table.from_pandas(function(_frame(table)), kinds, preserve_index=False), schema)
+
+
+def filtered(rows: DataFrame, keep: Callable[[str | None], bool]) -> DataFrame:
+    """The rows whose text ``keep`` is true of; no other column is touched."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.filter(pa.array([bool(keep(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(batches, rows.schema)
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -10,8 +10,7 @@ a pass of its own over all documents, so any number of items is handled and what
 times that.
 
 Texts and items are compared in lower case with white space turned into one space. Defined cases: null and empty texts
-match nothing; items under ``short`` characters after that must occur without edits and as whole words, as almost any text is
-within an edit or two of them; null items, and items without any character left, match nothing; equal items are matched
+match nothing; items so short that they have no edit (under 1 / rate characters) must occur as whole words; null items, and items without any character left, match nothing; equal items are matched
 once each; repeated documents each get their rows; null doc_ids are kept; other columns are ignored, or kept by ``clean``.
 """
 
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import solid
+from .common import filtered, mapped
 
 
 def normalised(text: str | None) -> str:
@@ -92,13 +91,13 @@ def _rolled(c: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray
 
 
 class Matcher:
-    """Finds the items of one block in a text; those under ``short`` characters as whole words without edits."""
+    """Finds the items of one block in a text; those without an edit as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, short: int) -> None:
-        self.short, self.ids, self.items, self.budget = short, [i for i, _ in items], [t for _, t in items], []
+    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+        self.ids, self.items, self.budget = [i for i, _ in items], [t for _, t in items], []
         pieces: dict[int, list[tuple[int, int]]] = {}  # by length: item, start
         for n, (_, text) in enumerate(items):
-            k = math.floor(rate * len(text)) if len(text) >= short else 0
+            k = math.floor(rate * len(text))
             self.budget.append(k)
             cuts = [j * len(text) // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -145,7 +144,7 @@ class Matcher:
         regions: dict[int, list[list[int]]] = {}
         for end, n, b in self.hits(t):
             k, start = self.budget[n], end - b
-            if len(self.items[n]) < self.short:
+            if not k:
                 if not (t[start - 1 : start].isalnum() or t[end : end + 1].isalnum()):
                     regions[n] = []
                 continue
@@ -177,32 +176,26 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, s
         yield sorted(((r.item_id, t) for r in rows if (t := normalised(r.text))), key=str)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: int = 24, block_chars: int = 32_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 32_000_000) -> DataFrame:
     """doc_id, item_id, distance: every document and item that it holds within the item's edit budget."""
     found = None
     for items in blocks(benchmark, block_chars):
-        matcher = docs.sparkSession.sparkContext.broadcast(Matcher(items, rate, short))
+        matcher = docs.sparkSession.sparkContext.broadcast(Matcher(items, rate))
 
         def batches(it: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
             for b in it:
-                rows = [(d, i, e) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for i, e in matcher.value.find(t)]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                found = [matcher.value.find(t) for t in b["text"]]
+                doc_id = b["doc_id"].astype("Int64").repeat([len(f) for f in found]).reset_index(drop=True)
+                yield pd.DataFrame({"doc_id": doc_id, "item_id": pd.array([i for f in found for i, _ in f], "Int64"), "distance": [e for f in found for _, e in f]})
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(solid(batches), "doc_id long, item_id long, distance int")
+        part = mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, item_id long, distance int")
         found = part if found is None else found.union(part)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: int = 24, block_chars: int = 32_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 32_000_000) -> DataFrame:
     """The documents that hold no item, with all their columns; a narrow pass for each block of items."""
-    schema = docs.schema
     for items in blocks(benchmark, block_chars):
-        matcher = docs.sparkSession.sparkContext.broadcast(Matcher(items, rate, short))
-
-        def batches(it: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
-            for b in it:
-                yield b[[not matcher.value.find(t) for t in b["text"]]]
-
-        docs = docs.mapInPandas(solid(batches), schema)
+        matcher = docs.sparkSession.sparkContext.broadcast(Matcher(items, rate))
+        docs = filtered(docs, lambda t, matcher=matcher: not matcher.value.find(t))
     return docs

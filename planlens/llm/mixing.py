@@ -12,6 +12,10 @@ there but for one residual; the residuals are dealt into chunks of ``fan_in`` ag
 draw rounds. A source with a third of all rows is so many chunks more, never one group. Draws are seeded by the chunk's
 name and rows are sorted, so reruns agree.
 
+Rows equal in doc_id, source and size (all those without an id, say) are one row with their number m: m * p rounded down of
+them get one copy more for certain, and only the fraction left takes part in the tree. They are numbered by counts per input
+partition, so no task holds them together.
+
 Defined cases: a null text has size 0; a document of size 0 takes 0 words; null is a source of its own, the last in order;
 rows repeated in all columns are separate documents (which of the equal rows is taken more often is immaterial);
 an empty table gives an empty result.
@@ -19,13 +23,15 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, grouped, materialise
 
 WEIGHTS = (5, 2, 1)
 
@@ -79,7 +85,7 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> int:
     return held
 
 
-LEVEL = "doc_id long, source string, size long, source_size long, target double, p double, chunk long, n_chunks long, extra int"
+LEVEL = "doc_id long, source string, size long, source_size long, target double, copies long, sure long, m long, p double, chunk long, n_chunks long, extra int"
 
 
 def _resolve(level: int, seed: int):
@@ -101,26 +107,36 @@ def _resolve(level: int, seed: int):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, fan_in: int = 8192, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target (of its source), copies and taken, the words the mix takes of the document."""
-    sizes = materialise(sized(docs), "sizes")
+    sizes = materialise(sized(docs).withColumn("part", F.spark_partition_id()), "sizes")
     goal = materialise(targets(sizes, weights, share, most), "targets")
-    joined = sizes.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    joined = joined.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    fixed = joined.where("p = 0 or size = 0").select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
-    open_ = joined.where("p > 0 and size > 0").withColumn("n_chunks", F.ceil(F.col("n") / fan_in))
+    runs = sizes.groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("c"))
+    equal = Window.partitionBy("doc_id", "source", "size")
+    before = F.sum("c").over(equal.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("m", F.sum("c").over(equal)).withColumn("first", F.coalesce(before, F.lit(0)))
+    joined = runs.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    joined = joined.withColumn("copies", F.floor(rate)).withColumn("mass", F.col("m") * (rate - F.floor(rate)))
+    joined = materialise(joined.withColumn("sure", F.floor("mass")).withColumn("p", F.col("mass") - F.floor("mass")).drop("mass", "part"), "runs")
+    open_ = joined.where("p > 0 and first = 0").withColumn("n_chunks", F.ceil(F.col("n") / fan_in))
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("n_chunks")))
-    done, level = [fixed.withColumn("extra", F.lit(0))], 0
+    done, level = [], 0
     deepest = goal.agg(F.max("n")).first()[0] or 0
-    floor_of = F.floor(F.least(F.lit(most), F.col("target") / F.col("source_size"))).alias("copies")
     while True:
-        out = materialise(open_.selectExpr("doc_id", "source", "size", "source_size", "target", "p", "chunk", "n_chunks", "0 extra").groupBy("source", "chunk").applyInPandas(_resolve(level, seed), LEVEL), "level")
-        done.append(out.where("extra >= 0").select("doc_id", "source", "size", "source_size", "target", floor_of, "extra"))
+        rows = open_.selectExpr("doc_id", "source", "size", "source_size", "target", "copies", "sure", "m", "p", "chunk", "n_chunks", "0 extra")
+        out = materialise(grouped(rows.groupBy("source", "chunk"), _resolve(level, seed), LEVEL, docs.sparkSession), "level")
+        done.append(out.where("extra >= 0").selectExpr("doc_id", "source", "size", "source_size", "target", "copies", "sure + extra as more", "m"))
         level, deepest = level + 1, -(-deepest // fan_in)
         if deepest <= 1:
             break
         open_ = out.where("extra < 0").withColumn("n_chunks", F.ceil(F.col("n_chunks") / fan_in)).withColumn("chunk", F.floor(F.col("chunk") / fan_in))
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    every = every.withColumn("copies", (F.col("copies") + F.col("extra")).cast("int")).drop("extra")
+    rounded = reduce(DataFrame.unionByName, done)
+    # a row that has no equal is its own result; the others get theirs by number
+    lone = rounded.where("m = 1").withColumn("copies", F.col("copies") + F.col("more"))
+    fixed = joined.where("p = 0").withColumn("more", F.col("sure"))
+    drawn = rounded.where("m > 1").selectExpr("doc_id as d", "source as s", "size as z", "more")
+    several = joined.where("p > 0 and m > 1").join(drawn, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    several = several.select(*fixed.columns).union(fixed).withColumn("i", F.explode(F.sequence("first", F.col("first") + F.col("c") - 1)))
+    several = several.withColumn("copies", F.col("copies") + (F.col("i") < F.col("more")).cast("long"))
+    columns = ["doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies")]
+    every = lone.select(*columns).union(several.select(*columns))
     return every.withColumn("taken", F.col("copies") * F.col("size"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES_RE, materialise, mix, packed, solid, unpacked
+from .common import WORD_BYTES_RE, mapped, materialise, mix, packed, unpacked
 
 #: No word holds a space.
 END = b" "
@@ -155,7 +155,7 @@ def tokenised(docs: DataFrame, batch_words: int) -> DataFrame:
         if found:
             yield row(batch, ids, named, held, found)
 
-    return materialise(rows.mapInPandas(solid(batches), TOKENS), "tokens")
+    return materialise(mapped(rows, batches, TOKENS), "tokens")
 
 
 @dataclass
@@ -190,13 +190,13 @@ def asked(tokens: DataFrame, n_parts: int, training: bool) -> DataFrame:
 
     ``training``: only the hashes that occur in those; else all of them, without counts.
     """
-    edges = np.array([-(-(i << 64) // n_parts) for i in range(1, n_parts)], np.uint64)
 
     def rows(batch: int, kind: int, key: np.ndarray, c: np.ndarray | None) -> Iterator[dict]:
-        cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
-        for part, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if z > a:
-                yield {"part": part, "batch": batch, "kind": kind, "keys": packed_sorted(key[a:z]), "c": packed(c[a:z]) if c is not None else b""}
+        # only the parts that the batch has keys of are met, so the work of a batch does not grow with the number of parts
+        part = ((key >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
+            yield {"part": int(part[a]), "batch": batch, "kind": kind, "keys": packed_sorted(key[a:z]), "c": packed(c[a:z]) if c is not None else b""}
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -213,7 +213,7 @@ def asked(tokens: DataFrame, n_parts: int, training: bool) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out)
 
-    return tokens.select("batch", "held_out", "sizes", "words", "tokens").mapInPandas(solid(batches), ASKED)
+    return mapped(tokens.select("batch", "held_out", "sizes", "words", "tokens"), batches, ASKED)
 
 
 def _summed(df: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,9 +22,10 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD_RE, solid
+from .common import WORD_RE, mapped
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -101,7 +102,7 @@ def word_class(word: str) -> str:
 def shape(word: str) -> str:
     """Letters become a, digits 9; runs are cut at 4; other marks stay."""
     s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", word.strip(TRIM)))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s[:64])
+    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)
 
 
 @lru_cache(maxsize=200_000)
@@ -359,7 +360,7 @@ def find(docs: DataFrame, model: Field) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
             yield out
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(solid(batches), FOUND)
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), batches, FOUND)
 
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
@@ -367,22 +368,25 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
 
     Spans that overlap are replaced as one, named by the one that starts first.
     """
-    schema = docs.schema
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = [t or "" for t in b["text"]]
+            old = b.column("text").to_pylist()
+            texts = [t or "" for t in old]
             new = []
-            for text, given, (_, both) in zip(texts, b["text"], all_spans(texts, model), strict=True):
+            for text, given, (_, both) in zip(texts, old, all_spans(texts, model), strict=True):
                 parts, at = [], 0
                 for a, z, kind in sorted((a, z, k) for k, v in both.items() for a, z in v):
                     if a >= at:
                         parts += [text[at:a], f"<{kind.upper()}>"]
                     at = max(at, z)
                 new.append("".join([*parts, text[at:]]) if parts else given)
-            b = b.assign(text=new)
-            if "n_chars" in b:
-                b["n_chars"] = [len(t) if t is not None else n for t, n in zip(new, b["n_chars"], strict=True)]
+            changed = {"text": new}
+            if "n_chars" in b.schema.names:
+                changed["n_chars"] = [len(t) if t is not None else n for t, n in zip(new, b.column("n_chars").to_pylist(), strict=True)]
+            for name, values in changed.items():
+                at = b.schema.get_field_index(name)
+                b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
             yield b
 
-    return docs.mapInPandas(solid(batches), schema)
+    return docs.mapInArrow(batches, docs.schema)

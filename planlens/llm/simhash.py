@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES_RE, materialise, solid
+from .common import WORD_BYTES_RE, mapped, materialise
 from .components import connected_components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(solid(batches), "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, fp long")
 
 
 def variants(prints: DataFrame) -> DataFrame:

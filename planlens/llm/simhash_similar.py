@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES_RE, discard, materialise, solid
+from .common import WORD_BYTES_RE, discard, mapped, materialise
 from .components import connected_components
 from .simhash import SEED
 
@@ -86,7 +86,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
             sh, c = np.unique(np.concatenate([shingle_set(t, shingle) for t in b["text"]]), return_counts=True)
             yield pd.DataFrame({"sh": sh, "c": c.astype(np.int64)})
 
-    found = some.mapInPandas(solid(batches), "sh long, c long").groupBy("sh").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).select("sh").toArrow()
+    found = mapped(some, batches, "sh long, c long").groupBy("sh").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).select("sh").toArrow()
     return np.sort(found["sh"].to_numpy())
 
 
@@ -114,7 +114,7 @@ def sets_of(docs: DataFrame, shingle: int, similarity: float, common) -> DataFra
             yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "txt": b["txt"], "node": np.array(node, np.uint64).view(np.int64), "n": n, "map": maps, "wide": wide, "prefix": prefix})
 
     rows = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("txt"))
-    return rows.mapInPandas(solid(batches), "key long, doc_id long, txt long, node long, n int, map array<bigint>, wide binary, prefix array<bigint>")
+    return mapped(rows, batches, "key long, doc_id long, txt long, node long, n int, map array<bigint>, wide binary, prefix array<bigint>")
 
 
 def shared_prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             yield b.loc[keep, ["a", "b", "ta", "tb"]]
 
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "na", "nb", "wa", "wb")
-    pairs = materialise(pairs.mapInPandas(solid(near), "a long, b long, ta long, tb long"), "candidates")
+    pairs = materialise(mapped(pairs, near, "a long, b long, ta long, tb long"), "candidates")
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
     asked = pairs.select(F.col("ta").alias("txt")).union(pairs.select(F.col("tb").alias("txt"))).distinct()
     texts = docs.select(F.xxhash64("text").alias("txt"), "text").join(asked, "txt", "left_semi").dropDuplicates(["txt"])
-    texts = materialise(texts.mapInPandas(solid(sets), "txt long, sh array<bigint>"), "shingle-sets")
+    texts = materialise(mapped(texts, sets, "txt long, sh array<bigint>"), "shingle-sets")
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             yield b.loc[keep, ["a", "b"]]
 
     joined = pairs.join(texts.select(F.col("txt").alias("ta"), F.col("sh").alias("x")), "ta").join(texts.select(F.col("txt").alias("tb"), F.col("sh").alias("y")), "tb")
-    links = materialise(joined.select("a", "b", "x", "y").mapInPandas(solid(verify), "a long, b long"), "links")
+    links = materialise(mapped(joined.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
     discard(pairs, texts)
     return links
 
@@ -198,7 +198,7 @@ def apart_pairs(listed: DataFrame, nodes: DataFrame, found: DataFrame, similarit
                     right.append(np.maximum(node[y][ok], node[x]))
             yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
-    return met.mapInPandas(solid(batches), "a long, b long").distinct()
+    return mapped(met, batches, "a long, b long").distinct()
 
 
 def classes_of(docs: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, WORD_RE, discard, materialise, runs, sliding_argmin, solid, windows
+from .common import BASES, WORD_RE, discard, mapped, materialise, runs, sliding_argmin, windows
 
 SEED = 8
 #: Words held at once by a task while it combines what it finds.
@@ -89,7 +89,7 @@ def seeds(rows: DataFrame, length: int) -> DataFrame:
             out = pd.DataFrame({"seed": flat.view(np.int64), "k1": np.repeat(b["k1"].to_numpy(), sizes), "k2": np.repeat(b["k2"].to_numpy(), sizes), "n": np.minimum(counts[where], 2).astype(np.int32)})
             yield out.drop_duplicates()
 
-    return rows.select("k1", "k2", "text").mapInPandas(solid(batches), "seed long, k1 long, k2 long, n int")
+    return mapped(rows.select("k1", "k2", "text"), batches, "seed long, k1 long, k2 long, n int")
 
 
 def repeats(rows: DataFrame, length: int) -> DataFrame:
@@ -135,7 +135,7 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
                 yield m.assign(h1=0, h2=-1).astype({"a": "int32", "b": "int32"})[["h1", "h2", "k1", "k2", "a", "b"]]
 
     near = rows.join(around, ["k1", "k2"]).select("k1", "k2", "text", "seeds")
-    found = materialise(near.mapInPandas(solid(batches), "h1 long, h2 long, k1 long, k2 long, a int, b int"), "windows")
+    found = materialise(mapped(near, batches, "h1 long, h2 long, k1 long, k2 long, a int, b int"), "windows")
     discard(picked)
     # a window has at most one row for each task's buffer here, as those combined their own
     same = Window.partitionBy("h1", "h2")
@@ -171,4 +171,4 @@ def remove_repeats(docs: DataFrame, length: int = 35, keep_text: bool = False) -
             got.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
             yield got if keep_text else got.drop(columns="kept")
 
-    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInPandas(solid(batches), REMOVED + (", kept string" if keep_text else ""))
+    return mapped(rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans"), batches, REMOVED + (", kept string" if keep_text else ""))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, packed, solid, unpacked
+from .common import discard, mapped, materialise, packed, unpacked
 
 #: Products of larger components might not be exact in double arithmetic; they are computed in 64-bit integers.
 EXACT = 1 << 20
@@ -178,7 +178,7 @@ def dealt(rows: DataFrame, cells: Cells, dim: int, shard: int) -> DataFrame:
         for b in it:
             yield b.assign(cell=cells.cell(_matrix(b["v"], dim)))
 
-    placed = materialise(rows.mapInPandas(solid(cell_of), "vec_id long, v array<bigint>, cell long"), "cells")
+    placed = materialise(mapped(rows, cell_of, "vec_id long, v array<bigint>, cell long"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard).alias("parts"))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
     return placed.join(F.broadcast(sizes), "cell").select("vec_id", "v", (F.col("cell") * SPLIT + part).alias("shard"))
@@ -237,7 +237,7 @@ def reachable(asks: DataFrame, grown: DataFrame, dim: int, boxes: int) -> DataFr
                 q, s = np.nonzero((most >= b["floor"].to_numpy(np.int64)[:, None]) & (shards[None, :] != b["shard"].to_numpy(np.int64)[:, None]))
                 yield b.iloc[q].assign(shard=shards[s])
 
-        found = asks.mapInPandas(solid(batches), "query_id long, ask long, v array<bigint>, floor long, shard long")
+        found = mapped(asks, batches, "query_id long, ask long, v array<bigint>, floor long, shard long")
         out = found if out is None else out.union(found)
     return out if out is not None else asks
 

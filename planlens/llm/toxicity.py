@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import solid
+from .common import filtered, mapped
 
 SENTENCE_RE = re.compile(r"[^.!?\n]+")
 TOKEN_RE = re.compile(r"[^\W_]+")
@@ -149,15 +149,9 @@ def score(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.3, sentence
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(solid(batches), "doc_id long, " + SCORED)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, " + SCORED)
 
 
 def reject(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.3) -> DataFrame:
     """The documents that score under ``threshold``, with all their columns, one pass and no join."""
-    schema = docs.schema
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            yield b[[model.score(model.sentence_logits(t)[0]) < threshold for t in b["text"]]]
-
-    return docs.mapInPandas(solid(batches), schema)
+    return filtered(docs, lambda t: model.score(model.sentence_logits(t)[0]) < threshold)

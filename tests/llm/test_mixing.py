@@ -56,3 +56,23 @@ def test_pivot_keeps_expectations():
         assert all(x in (0.0, 1.0) for j, x in enumerate(p) if j != left)
         total += p
     assert total / 4000 == pytest.approx(p0, abs=0.04)
+
+
+def test_rows_equal_in_all_are_one_row_of_the_tree(spark, monkeypatch):
+    """20,000 rows without an id and of one size: no group of the rounding holds more than one row of them, and the words come near the target."""
+    docs = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'a b c' text", "'s' source").union(spark.range(300).selectExpr("id doc_id", "'d e' text", "'t' source"))
+    seen = []
+
+    def watched(groups, function, schema, session, real=mixing.grouped):
+        out = real(groups, function, schema, session)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(mixing, "grouped", watched)
+    rows = mixing.mix(docs, fan_in=64).collect()
+    assert len(rows) == 20_300
+    assert max(r["n"] for r in seen[0].where("doc_id is null").groupBy("source", "chunk").count().withColumnRenamed("count", "n").collect()) == 1
+    for source, target in {(r.source, r.target) for r in rows}:
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in mine) - target) <= 3
+        assert {r.copies for r in mine} <= {1, 2}
