@@ -11,8 +11,8 @@ from planlens.functions import scoring as S
 from planlens.operators import estimate, parity, planner, policy, selection
 from planlens.plans import requests
 from planlens.sources import ingest
-from planlens.sources.records import LATEST_SQL, RECORDS_SQL, latest, records, table
-from planlens.sources.staging import materialise
+from planlens.sources.records import COLUMNS, FEATURES, LATEST_SQL, RECORDS_SQL, records, table
+from planlens.sources.staging import materialise, staged
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,13 +32,17 @@ def query(sql: str | None = None) -> Callable:
 # ---------------------------------------------------------------- estimation: the same rules once more, as SQL for DuckDB
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records, written out once, as an estimate looks at them several times."""
-    return materialise(records(spark, sf_dir), "records")
+SOURCES = ("orders", "customer", "nation", "region", "lineitem", "part")
+
+
+def _stored(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = FEATURES, only_latest: bool = False) -> DataFrame:
+    """The records with the columns in use, written out once for all queries, as an estimate looks at them several times."""
+    made_with = f"{','.join(columns)} {only_latest}"
+    return staged(spark, "records", [f"{sf_dir}/{t}.parquet" for t in SOURCES], made_with, lambda: records(spark, sf_dir, columns, only_latest))
 
 
 def _queries(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
-    """The multi-year requests, or with ``rows`` the single-year ones; that year is the latest of all records, usable or not."""
+    """The multi-year requests, or with ``rows``, the records of the latest year, the single-year ones; that year is the latest of all records, usable or not."""
     if rows is None:
         return policy.resolve(requests.frame(spark, requests.MULTI), policy.status_table(spark)).withColumn("first_year", F.lit(0))
     year = rows.agg(F.max("dataset_year").alias("y"))
@@ -46,10 +50,10 @@ def _queries(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
-    rows = _stored(spark, sf_dir)
     if single:
+        rows = _stored(spark, sf_dir, tuple("festival_type" if n == "type_tokens" else n for n in FEATURES), True)
         return estimate.scored(selection.usable(rows.withColumn("type_tokens", F.array("festival_type"))), _queries(spark, rows), True)
-    return estimate.scored(selection.usable(rows), _queries(spark))
+    return estimate.scored(selection.usable(_stored(spark, sf_dir)), _queries(spark))
 
 
 def _select(kind: str) -> Callable[[DataFrame], DataFrame]:
@@ -68,7 +72,7 @@ def _sql(kind: str, tail: str) -> str:
         qs = requests.sql(requests.SINGLE) + ", q as (select q0.*, y first_year, y last_year from q0, (select max(dataset_year) y from records))"
         r = f"r as (select * replace ([festival_type] as type_tokens) from records where quality_flag = 'VALID' and region is not null)"
     else:
-        qs = requests.sql(requests.MULTI) + """, q as (select *, 0 first_year, q_planning_year - case when q_policy = 'ALLOW_SAME_YEAR_IF_COMPLETE' and q_planning_year = 1999 then 0 else 1 end last_year from q0)"""
+        qs = requests.sql(requests.MULTI) + """, q as (select *, 0 first_year, q_planning_year - case when q_policy = 'INCLUDE_PUBLISHED_SAME_YEAR' and q_planning_year = 1999 then 0 else 1 end last_year from q0)"""
         r = f"r as (select * from records where {ok})"
     t, v, d = ("(case when list_has_any(q_types, type_tokens) then 1.0 else 0.1 end)", "(case when q_venue = venue_type then 1.0 when q_venue = '4-NOT SPECIFIED' or venue_type = '4-NOT SPECIFIED' then 0.45 else 0.25 end)", "exp(-abs(ln((q_duration + 1.0::double) / (duration_days + 1.0::double))))")
     g = "(case when q_district = district then 1.0 when q_region = region then 0.8 else 0.3 end)"
@@ -247,7 +251,7 @@ def confidence_versions(spark, sf_dir):
 @query(f"with {RECORDS_SQL} select target, count(*) filter (quality_flag <> 'VALID') low_quality, count(*) filter (quality_flag = 'VALID' and len(type_tokens) = 0) missing_feature, count(*) filter (quality_flag = 'VALID' and len(type_tokens) > 0) pool from records join (select unnest([1996, 1998, 2000]) target) on dataset_year < target group by target")
 def training_pool_counts(spark, sf_dir):
     targets = F.explode(F.filter(F.array(*map(F.lit, (1996, 1998, 2000))), lambda t: t > c("dataset_year"))).alias("target")
-    rows = records(spark, sf_dir).select("quality_flag", "type_tokens", targets)
+    rows = records(spark, sf_dir, ("dataset_year", "quality_flag", "type_tokens")).select("quality_flag", "type_tokens", targets)
     low, untyped = c("quality_flag") != "VALID", F.size("type_tokens") == 0
     return rows.groupBy("target").agg(F.count_if(low).alias("low_quality"), F.count_if(~low & untyped).alias("missing_feature"), F.count_if(~low & ~untyped).alias("pool"))
 
@@ -259,14 +263,14 @@ def reference_pool(spark, sf_dir):
     return qs.join(counts, "query_id", "left").select("query_id", (c("applied_policy") == policy.SAME_YEAR).alias("same_year"), "last_year", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "earliest", "latest")
 
 
-@query("with " + requests.sql(requests.MULTI) + " select query_id, case when q_policy = 'ALLOW_SAME_YEAR_IF_COMPLETE' and q_planning_year = 1999 then q_policy else 'STRICT_PREVIOUS_YEARS' end applied_policy from q0")
+@query("with " + requests.sql(requests.MULTI) + " select query_id, case when q_policy = 'INCLUDE_PUBLISHED_SAME_YEAR' and q_planning_year = 1999 then q_policy else 'HISTORICAL_ONLY' end applied_policy from q0")
 def policy_resolution(spark, sf_dir):
     return _queries(spark).select("query_id", "applied_policy")
 
 
 @query(f"with {RECORDS_SQL} select dataset_year, count(*) record_count, case when dataset_year = 1999 then 'PUBLISHED_PLAN_COMPLETE' else 'PARTIAL' end status from records group by dataset_year")
 def publication_status_list(spark, sf_dir):
-    return policy.status_by_year(records(spark, sf_dir), policy.status_table(spark)).drop("published_at")
+    return policy.status_by_year(records(spark, sf_dir, ("dataset_year",)), policy.status_table(spark)).drop("published_at")
 
 
 @query("select * from (values (1998, 'PUBLISHED_PLAN_COMPLETE', true), (1999, 'PARTIAL', false), (2000, 'PARTIAL', false)) t(dataset_year, status, published)")
@@ -280,13 +284,13 @@ def publication_status_upsert(spark, sf_dir):
 REGION, KIND, VENUE, DAYS, MONTH = "ASIA", "BUILDING", "1-URGENT", 3, 5
 
 
-def _corpus(spark, sf_dir):
-    """What the planner reads: the records of the latest year."""
-    return latest(records(spark, sf_dir))
+def _corpus(spark, sf_dir, *columns):
+    """What the planner reads: the records of the latest year, with ``columns`` or all."""
+    return records(spark, sf_dir, columns or COLUMNS, only_latest=True)
 
 
 def _names(spark, sf_dir):
-    rows = materialise(_corpus(spark, sf_dir), "corpus")
+    rows = _stored(spark, sf_dir, COLUMNS, True)
     terms = planner.removal_terms(["ASIA", "EUROPE"], ["NATION_1"])
     return rows, rows.select("id", "region", planner.tokens(c("festival_name"), terms).alias("tokens"))
 
@@ -317,12 +321,12 @@ from (select unnest(range(1, 13)) as month) m left join records on start_month =
 
 @query(f"with {LATEST_SQL}, {MONTHS_SQL} select cast(month as integer) as month, national, regional, same_type, case when same_type >= 6 then 'HIGH' when same_type >= 3 then 'MEDIUM' else 'LOW' end as level from mo")
 def month_distribution(spark, sf_dir):
-    return planner.months(spark, _corpus(spark, sf_dir), REGION, KIND)
+    return planner.months(spark, _corpus(spark, sf_dir, "start_month", "region", "festival_type"), REGION, KIND)
 
 
 @query(f"with {LATEST_SQL}, {MONTHS_SQL} select cast(month as integer) as month, same_type, national from mo where national > 0 order by same_type, national desc, month limit 3")
 def quiet_months(spark, sf_dir):
-    return planner.quiet_months(planner.months(spark, _corpus(spark, sf_dir), REGION, KIND)).select("month", "same_type", "national")
+    return planner.quiet_months(planner.months(spark, _corpus(spark, sf_dir, "start_month", "region", "festival_type"), REGION, KIND)).select("month", "same_type", "national")
 
 
 SPACE_SQL = WORDS_SQL + f""", s as (select * from records where festival_type = '{KIND}'), ax as (
@@ -354,17 +358,17 @@ from (select cpv, row_number() over (order by cpv, id) k, count(*) over () n fro
 
 @query(f"with {LATEST_SQL}, {COHORT_SQL}, {COST_SQL} select n, med as \"median\", p25, p75 from cost")
 def cost_per_visitor_summary(spark, sf_dir):
-    return planner.cost_summary(planner.cohort(materialise(_corpus(spark, sf_dir), "corpus"), REGION, KIND))
+    return planner.cost_summary(planner.cohort(_corpus(spark, sf_dir, "id", "region", "festival_type", "budget_krw", "visitors"), REGION, KIND))
 
 
 @query(f"with {LATEST_SQL}, {COHORT_SQL} select id, round(cpv, 6) cpv from cpv where visitors >= (select quantile_cont(visitors, 0.5) from cpv) order by cpv.cpv, id limit 5")
 def top_efficient(spark, sf_dir):
-    return planner.top_efficient(planner.cohort(materialise(_corpus(spark, sf_dir), "corpus"), REGION, KIND)).select("id", F.round("cpv", 6).alias("cpv"))
+    return planner.top_efficient(planner.cohort(_corpus(spark, sf_dir, "id", "region", "festival_type", "budget_krw", "visitors"), REGION, KIND)).select("id", F.round("cpv", 6).alias("cpv"))
 
 
 @query(f"with {LATEST_SQL} select count(*) filter (festival_type = '{KIND}') national_same_type, count(*) filter (region = '{REGION}') region, count(*) filter (festival_type = '{KIND}' and region = '{REGION}') region_same_type, count(*) filter (festival_type = '{KIND}' and region = '{REGION}' and venue_type = '{VENUE}') region_same_type_venue from records")
 def cohort_summary(spark, sf_dir):
-    return planner.cohort_summary(_corpus(spark, sf_dir), REGION, KIND, VENUE)
+    return planner.cohort_summary(_corpus(spark, sf_dir, "region", "festival_type", "venue_type"), REGION, KIND, VENUE)
 
 
 PCT = "cast(floor(least(1, greatest(0, {})) * 100 + 0.5) as integer)"
@@ -387,33 +391,32 @@ def recommendation_cards(spark, sf_dir):
 # ---------------------------------------------------------------- sources and data quality
 
 
-@query("select r_name region, list_sort(list(distinct n_name)) districts from nation join region on n_regionkey = r_regionkey group by r_name")
+@query(f"with {LATEST_SQL} select region, list_sort(list(distinct district)) districts from records where district <> '' group by region")
 def districts_by_region(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-    return rows.groupBy(c("r_name").alias("region")).agg(F.sort_array(F.collect_set("n_name")).alias("districts"))
+    return planner.districts_by_region(_corpus(spark, sf_dir, "region", "district"))
 
 
 @query(f"with {RECORDS_SQL} select region, count(*) n, cast(floor(sum(budget_krw) + 0.5) as bigint) total from records where dataset_year = (select max(dataset_year) from records) and quality_flag = 'VALID' group by region")
 def latest_year_scan(spark, sf_dir):
-    return latest(records(spark, sf_dir)).where("quality_flag = 'VALID'").groupBy("region").agg(F.count("*").alias("n"), S.half_up(F.sum("budget_krw")).alias("total"))
+    return _corpus(spark, sf_dir, "region", "quality_flag", "budget_krw").where("quality_flag = 'VALID'").groupBy("region").agg(F.count("*").alias("n"), S.half_up(F.sum("budget_krw")).alias("total"))
 
 
 @query(f"""with {RECORDS_SQL}, v as (select *, case when quality_flag = 'VALID' then budget_krw end b from records) select dataset_year, count(*) n, count(*) filter (quality_flag = 'VALID') n_valid, count(*) filter (quality_flag <> 'VALID') n_not_valid,
 count(*) filter (duration_days is null) no_duration, count(*) filter (len(type_tokens) = 0) no_type, count(*) filter (len(type_tokens) = 1) single_type, count(*) filter (len(type_tokens) > 1) multi_type, count(distinct region) regions,
 round(quantile_cont(b, 0.5), 4) as "median", round(quantile_cont(b, 0.25), 4) p25, round(quantile_cont(b, 0.75), 4) p75, round(min(b), 4) as "least", round(max(b), 4) as "most" from v group by dataset_year""")
 def import_profile(spark, sf_dir):
-    got = ingest.profile(_stored(spark, sf_dir))
+    got = ingest.profile(records(spark, sf_dir, ("dataset_year", "region", "type_tokens", "duration_days", "budget_krw", "quality_flag")))
     return got.select(*(F.round(x, 4).alias(x) if x in ("median", "p25", "p75", "least", "most") else x for x in got.columns))
 
 
 @query(f"""with {RECORDS_SQL}, want as (select 'total' metric, count(*)::double expected from orders union all select 'years', count(distinct year(o_orderdate)) from orders union all select 'gone', 1),
 have as (select 'total' metric, count(*)::double actual from records union all select 'years', count(distinct dataset_year) from records)
-select metric, expected, actual, coalesce(abs(expected - actual) <= 0.01, false) ok from want full join have using (metric)""")
+select metric, expected, actual, coalesce(abs(expected - actual) < 0.01, false) ok from want full join have using (metric)""")
 def import_acceptance(spark, sf_dir):
     """The records against what their source holds: one row for each order, and all its years."""
     metrics = lambda df, total, years: df.agg(F.count(total).alias("total"), F.countDistinct(years).alias("years")).unpivot([], ["total", "years"], "metric", "value").withColumn("value", c("value").cast("double"))
     expected = metrics(table(spark, sf_dir, "orders"), F.lit(1), F.year("o_orderdate")).union(spark.createDataFrame([("gone", 1.0)], "metric string, value double"))
-    return ingest.acceptance(metrics(records(spark, sf_dir), F.lit(1), "dataset_year"), expected)
+    return ingest.acceptance(metrics(records(spark, sf_dir, ("dataset_year",)), F.lit(1), "dataset_year"), expected)
 
 
 def _raw(spark, sf_dir):
@@ -432,7 +435,7 @@ def _canonical(spark, sf_dir):
     return ingest.canonical(_raw(spark, sf_dir), {"서울": "SEOUL"}, ["A", "B"], {"v": "V"})
 
 
-@query("select field, fatal, count(*) n from (select unnest(case o_orderkey % 10 when 1 then [{'field': 'dataset_year', 'fatal': true}] when 2 then [{'field': 'region', 'fatal': false}] when 3 then [{'field': 'festival_name', 'fatal': true}] when 4 then [{'field': 'festival_type', 'fatal': false}] when 5 then [{'field': 'venue_type', 'fatal': false}] when 6 then [{'field': 'quality_flag', 'fatal': true}] else [] end, recursive := true) from orders) group by all")
+@query("select field, fatal, count(*) n from (select unnest(case o_orderkey % 10 when 1 then [{'field': 'dataset_year', 'fatal': true}] when 2 then [{'field': 'region', 'fatal': false}] when 3 then [{'field': 'festival_name', 'fatal': true}] when 4 then [{'field': 'festival_type', 'fatal': false}] when 5 then [{'field': 'venue_type', 'fatal': false}] when 6 then [{'field': 'budget_quality_flag', 'fatal': true}] else [] end, recursive := true) from orders) group by all")
 def row_issues(spark, sf_dir):
     return _canonical(spark, sf_dir).select(F.explode("issues").alias("i")).groupBy("i.field", "i.fatal").agg(F.count("*").alias("n"))
 

@@ -38,8 +38,8 @@ YEARS_SQL = """yr as (select query_id, dataset_year, count(*) n, sum(w) / sum(su
 ye as (select query_id, 1 / sum(s * s) effective_years, string_agg(printf('%d:%d:%.6f', dataset_year, n, s), '|' order by dataset_year) breakdown from yr group by query_id),
 pl as (select query_id, min(dataset_year) pool_earliest, max(dataset_year) pool_latest from e group by query_id), tp as (select query_id, string_agg(cast(id as varchar), ',' order by rn) top_ids from sample where rn <= 10 group by query_id)"""
 _MONEY = ("estimated", "weighted_average", "recommended", "p25", "p50", "p60", "p75")
-PLAN_SQL = f""", {YEARS_SQL} select q.query_id, q_planning_year planning_year, q_policy requested_policy, case when last_year = q_planning_year then q_policy else 'STRICT_PREVIOUS_YEARS' end applied_policy, coalesce(pool_earliest, q_planning_year) year_from, last_year year_to, pool_earliest, pool_latest,
-coalesce(sample_count, 0) sample_count, coalesce(distinct_years, 0) distinct_years, coalesce(round(effective_years, 6), 0) effective_years, coalesce(round(ess, 4), 0) ess, coalesce(round(similarity_avg, 6), 0) similarity_avg, coalesce(round(data_quality, 4), 0) data_quality,
+PLAN_SQL = f""", {YEARS_SQL} select q.query_id, q_planning_year planning_year, q_policy requested_policy, case when last_year = q_planning_year then q_policy else 'HISTORICAL_ONLY' end applied_policy, coalesce(pool_earliest, q_planning_year) year_from, last_year year_to, pool_earliest, pool_latest,
+coalesce(sample_count, 0) sample_count, coalesce(distinct_years, 0) distinct_years, earliest_source_year, latest_source_year, coalesce(round(effective_years, 6), 0) effective_years, coalesce(round(ess, 4), 0) ess, coalesce(round(similarity_avg, 6), 0) similarity_avg, coalesce(round(data_quality, 4), 0) data_quality,
 {', '.join(f'coalesce(cast(floor({x} + 0.5) as bigint), 0) {x}' for x in _MONEY)}, coalesce(reached_tier, 0) reached_tier, coalesce(breakdown, '') breakdown, coalesce(top_ids, '') top_ids
 from q left join stats using (query_id) left join ye using (query_id) left join pl using (query_id) left join tp using (query_id)"""
 

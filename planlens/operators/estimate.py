@@ -128,6 +128,6 @@ def planning_result(sample: DataFrame, queries: DataFrame, years: DataFrame) ->
     zero = lambda n, digits: F.coalesce(F.round(n, digits), F.lit(0.0)).alias(n)
     return out.select(
         "query_id", c("q_planning_year").alias("planning_year"), c("q_policy").alias("requested_policy"), "applied_policy", F.coalesce("pool_earliest", "q_planning_year").alias("year_from"), c("last_year").alias("year_to"), "pool_earliest", "pool_latest",
-        F.coalesce("sample_count", F.lit(0).cast("long")).alias("sample_count"), F.coalesce("distinct_years", F.lit(0).cast("long")).alias("distinct_years"), zero("effective_years", 6), zero("ess", 4), zero("similarity_avg", 6), zero("data_quality", 4),
+        F.coalesce("sample_count", F.lit(0).cast("long")).alias("sample_count"), F.coalesce("distinct_years", F.lit(0).cast("long")).alias("distinct_years"), "earliest_source_year", "latest_source_year", zero("effective_years", 6), zero("ess", 4), zero("similarity_avg", 6), zero("data_quality", 4),
         *(F.coalesce(S.half_up(c(n)), F.lit(0).cast("long")).alias(n) for n in ("estimated", "weighted_average", "recommended", "p25", "p50", "p60", "p75")), F.coalesce("reached_tier", F.lit(0)).alias("reached_tier"), F.coalesce("breakdown", F.lit("")).alias("breakdown"), F.coalesce("top_ids", F.lit("")).alias("top_ids"),
     )

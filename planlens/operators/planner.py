@@ -46,6 +46,11 @@ def tokens(name: Column, removals: list[str]) -> Column:
     return F.filter(parts, keep)
 
 
+def districts_by_region(records: DataFrame) -> DataFrame:
+    """region, districts: the names of each region in order; records without one, or with an empty one, don't count."""
+    return records.where("district <> ''").groupBy("region").agg(F.sort_array(F.collect_set("district")).alias("districts"))
+
+
 def vocabulary(names: DataFrame, least: int = 2) -> DataFrame:
     """token, df, first_seen: tokens of at least ``least`` names, each name counted once; first_seen is the smallest id."""
     each = names.select("id", F.explode(F.array_distinct("tokens")).alias("token"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTIAL, COMPLETE = "PARTIAL", "PUBLISHED_PLAN_COMPLETE"
-STRICT, SAME_YEAR = "STRICT_PREVIOUS_YEARS", "ALLOW_SAME_YEAR_IF_COMPLETE"
+STRICT, SAME_YEAR = "HISTORICAL_ONLY", "INCLUDE_PUBLISHED_SAME_YEAR"
 
 
 def status_table(spark: SparkSession) -> DataFrame:

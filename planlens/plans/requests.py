@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STRICT, ALLOW = "STRICT_PREVIOUS_YEARS", "ALLOW_SAME_YEAR_IF_COMPLETE"
+STRICT, ALLOW = "HISTORICAL_ONLY", "INCLUDE_PUBLISHED_SAME_YEAR"
 COLUMNS = "query_id int, q_region string, q_district string, q_types array<string>, q_venue string, q_duration int, q_planning_year int, q_policy string"
 
 MULTI = [
