@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from planlens.catalogue import KIND, REGION, _corpus, _queries, _scored, _select, _sql, _stored, query
 from planlens.functions import labels
-from planlens.operators import estimate, parity, planner, selection
+from planlens.operators import estimate, parity, planner, policy, selection
 from planlens.plans import requests, validation
-from planlens.sources.records import LATEST_SQL
+from planlens.sources.records import LATEST_SQL, RECORDS_SQL, records
 from planlens.sources.staging import materialise
 
 c = F.col
@@ -122,55 +122,101 @@ def selector_effects(spark, sf_dir):
 
 # ---------------------------------------------------------------- requests
 
-REGIONS, TYPES, VENUES = ["ASIA", "EUROPE"], ["BUILDING", "ECONOMY"], ["1-URGENT", "4-NOT SPECIFIED"]
-# body, then what the single-year, the planner's and the multi-year check say of it
-BODIES = [
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING", "ECONOMY"], "venueType": "1-URGENT", "durationDays": 3, "planningYear": 2001, "startMonth": 5}', None, None, None),
-    ("no json", "json", "json", "json"),
-    ("[1, 2]", "json", "json", "json"),
-    ('{"regionCode": "", "festivalType": "BUILDING", "festivalTypes": [], "venueType": "1-URGENT", "durationDays": 3}', "required", "required", "required"),
-    ('{"regionCode": "MARS", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 3, "planningYear": 2001}', "regionCode", "regionCode", "regionCode"),
-    ('{"regionCode": "ASIA", "festivalType": "X", "festivalTypes": ["BUILDING", "X"], "venueType": "1-URGENT", "durationDays": 3, "planningYear": 2001}', "festivalType", "festivalType", "festivalTypes"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "Y", "durationDays": 3, "planningYear": 2001}', "venueType", "venueType", "venueType"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 1, "planningYear": 2001}', "durationDays", None, "durationDays"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": "3", "planningYear": 2001.5}', "durationDays", "durationDays", "durationDays"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 0, "planningYear": 2001}', "required", "required", "durationDays"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 4.5, "planningYear": 1999.5, "startMonth": 13}', None, "startMonth", "planningYear"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "4-NOT SPECIFIED", "durationDays": 4, "planningYear": 1999, "startMonth": 12, "referenceDataPolicy": "LATER"}', None, "planningYear", "referenceDataPolicy"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 2, "planningYear": 1800, "referenceDataPolicy": ""}', None, "planningYear", "no data"),
-    ('{"regionCode": "ASIA", "festivalType": "BUILDING", "festivalTypes": ["BUILDING"], "venueType": "1-URGENT", "durationDays": 2, "planningYear": 2010, "referenceDataPolicy": "INCLUDE_PUBLISHED_SAME_YEAR"}', None, None, None),
+REGIONS, TYPES, VENUES = ["ASIA", "EUROPE"], ["BUILDING", "ECONOMY"], ["1-URGENT", "4-NOT SPECIFIED", "5-LOW"]
+_WHOLE = '"regionCode": "@region", "festivalType": "@type", "festivalTypes": ["@type"], "venueType": "@venue"'
+#: Bodies of requests; each order makes one of these with its own region, type, venue and year.
+TEMPLATES = [
+    "{" + _WHOLE + ', "durationDays": 3, "planningYear": @year, "startMonth": @month}',
+    "{" + _WHOLE + ', "durationDays": 2, "planningYear": @year, "referenceDataPolicy": "INCLUDE_PUBLISHED_SAME_YEAR"}',
+    "{" + _WHOLE + ', "durationDays": 4.5, "planningYear": @year, "startMonth": null, "referenceDataPolicy": null}',
+    "{" + _WHOLE + ', "durationDays": 1, "planningYear": @year, "referenceDataPolicy": ""}',
+    "{" + _WHOLE + ', "durationDays": 0, "planningYear": @year}',
+    "{" + _WHOLE + ', "durationDays": "3", "planningYear": @year, "startMonth": "5"}',
+    "{" + _WHOLE + ', "durationDays": 3, "planningYear": @year.5, "startMonth": 13}',
+    "{" + _WHOLE + ', "durationDays": 3, "planningYear": "@year"}',
+    "{" + _WHOLE + ', "durationDays": 3, "planningYear": @year, "referenceDataPolicy": "LATER", "startMonth": 0}',
+    "{" + _WHOLE + ', "durationDays": 3, "planningYear": 1800, "referenceDataPolicy": "HISTORICAL_ONLY"}',
+    '{"regionCode": "@region", "festivalType": ["@type"], "festivalTypes": ["@type", 1], "venueType": "@venue", "durationDays": 5, "planningYear": @year}',
+    '{"regionCode": "@region", "festivalType": "@type", "festivalTypes": "@type", "venueType": "", "durationDays": 5, "planningYear": @year}',
+    '{"regionCode": 7, "festivalType": "@type", "festivalTypes": [], "venueType": "@venue", "durationDays": 5, "planningYear": @year}',
+    '{"festivalType": "@type", "festivalTypes": ["@type", "BUILDING"], "venueType": true, "durationDays": 5}',
+    '["@region", "@type"]',
+    "no json of @region",
 ]
 
 
-def _want(column: int, empty: int) -> str:
-    rows = ", ".join(f"({i}, {repr(r[column]) if r[column] else 'null'})" for i, r in enumerate(BODIES))
-    return f"select request_id, case when problem is null then 200 when problem = 'no data' then {empty} else 400 end status, problem from (values {rows}) t(request_id, problem)"
+def _bodies(spark, sf_dir):
+    """A request for each order."""
+    o = records(spark, sf_dir, ("id", "region", "festival_type", "venue_type", "dataset_year", "start_month"))
+    body = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.pmod("id", F.lit(len(TEMPLATES))) + 1).cast("int"))
+    for mark, column in {"@region": "region", "@type": "festival_type", "@venue": "venue_type", "@year": "dataset_year", "@month": "start_month"}.items():
+        body = F.replace(body, F.lit(mark), c(column).cast("string"))
+    return o.select(c("id").alias("request_id"), body.alias("body"))
 
 
-def _bodies(spark):
-    return spark.createDataFrame([(i, r[0]) for i, r in enumerate(BODIES)], "request_id int, body string")
+def _rules_sql(rules: list[tuple[str, str]]) -> str:
+    """The rules once more, by DuckDB's own JSON functions over the same bodies."""
+    listed = ", ".join("'" + t.replace("'", "''") + "'" for t in TEMPLATES)
+    chain = " ".join(f"when not coalesce({holds}, false) then '{name}'" for name, holds in rules)
+    return f"""{RECORDS_SQL}, bodies as (select id request_id, replace(replace(replace(replace(replace([{listed}][id % {len(TEMPLATES)} + 1], '@region', region), '@type', festival_type), '@venue', venue_type), '@year', cast(dataset_year as varchar)), '@month', cast(start_month as varchar)) b from records),
+    objects as (select request_id, case when json_valid(b) then case when json_type(b) = 'OBJECT' then b end end b from bodies),
+    found as (select request_id, b, case when b is null then 'json' {chain} end problem from objects)"""
 
 
-@query(_want(1, 503))
+def _given(n: str) -> str:
+    t, v = f"json_type(b, '$.{n}')", f"json_extract_string(b, '$.{n}')"
+    return f"case {t} when 'VARCHAR' then {v} <> '' when 'BOOLEAN' then {v} = 'true' when 'NULL' then false when 'ARRAY' then true when 'OBJECT' then true else try_cast({v} as double) <> 0 end"
+
+
+def _number(n: str) -> str:
+    return f"case when json_type(b, '$.{n}') in ('BIGINT', 'UBIGINT', 'DOUBLE') then cast(json_extract_string(b, '$.{n}') as double) end"
+
+
+def _one_of(n: str, codes: list[str]) -> str:
+    return f"json_type(b, '$.{n}') = 'VARCHAR' and json_extract_string(b, '$.{n}') in ({', '.join(repr(x) for x in codes)})"
+
+
+_COMMON_SQL = [("required", " and ".join(_given(n) for n in ("regionCode", "festivalType", "venueType", "durationDays"))), ("regionCode", _one_of("regionCode", REGIONS)), ("festivalType", _one_of("festivalType", TYPES)), ("venueType", _one_of("venueType", VENUES))]
+_MONTH_SQL = f"json_type(b, '$.startMonth') is null or {_number('startMonth')} between 1 and 12"
+_EMPTY_SQL = " select request_id, case when problem is not null then 400 when not (select count(*) > 0 from records) then 503 else 200 end status, case when problem is null and not (select count(*) > 0 from records) then 'no data' else problem end problem from found"
+
+
+def _answered(found, spark, sf_dir):
+    """Right requests are refused if there is no record at all."""
+    any_ = _corpus(spark, sf_dir, "dataset_year").agg(F.count("*").alias("n"))
+    return validation.without_data(found, found.select("request_id").crossJoin(F.broadcast(any_)), 503).select("request_id", "status", "problem")
+
+
+@query("with " + _rules_sql([*_COMMON_SQL, ("durationDays", f"{_number('durationDays')} >= 2")]) + _EMPTY_SQL)
 def checked_single_year(spark, sf_dir):
-    n = spark.range(1).crossJoin(_corpus(spark, sf_dir).agg(F.count("*").alias("n")))
-    found = validation.single_year(_bodies(spark), REGIONS, TYPES, VENUES)
-    return validation.without_data(found, found.select("request_id").crossJoin(n.select("n")), 503).drop("body")
+    return _answered(validation.single_year(_bodies(spark, sf_dir), REGIONS, TYPES, VENUES), spark, sf_dir)
 
 
-@query(_want(2, 503))
+@query("with " + _rules_sql([*_COMMON_SQL, ("durationDays", f"{_number('durationDays')} >= 1"), ("startMonth", _MONTH_SQL), ("planningYear", f"{_number('planningYear')} >= 2000")]) + _EMPTY_SQL)
 def checked_planner(spark, sf_dir):
-    n = _corpus(spark, sf_dir).agg(F.count("*").alias("n"))
-    found = validation.planner(_bodies(spark), REGIONS, TYPES, VENUES)
-    return validation.without_data(found, found.select("request_id").crossJoin(F.broadcast(n)), 503).drop("body")
+    return _answered(validation.planner(_bodies(spark, sf_dir), REGIONS, TYPES, VENUES), spark, sf_dir)
+
+
+_TOKENS_SQL = f"len(list_filter(json_extract(b, '$.festivalTypes[*]'), lambda t: json_type(t) <> 'VARCHAR' or json_extract_string(t, '$') not in ({', '.join(repr(x) for x in TYPES)}))) = 0"
+_MULTI_SQL = [
+    ("required", f"{_given('regionCode')} and json_type(b, '$.festivalTypes') = 'ARRAY' and json_array_length(b, '$.festivalTypes') > 0 and {_given('venueType')} and json_type(b, '$.durationDays') is not null and json_type(b, '$.planningYear') is not null"),
+    ("regionCode", _one_of("regionCode", REGIONS)),
+    ("festivalTypes", _TOKENS_SQL),
+    ("venueType", _one_of("venueType", VENUES)),
+    ("durationDays", f"{_number('durationDays')} >= 2"),
+    ("planningYear", f"{_number('planningYear')} = floor({_number('planningYear')})"),
+    ("referenceDataPolicy", f"coalesce(json_type(b, '$.referenceDataPolicy'), 'NULL') = 'NULL' or json_extract_string(b, '$.referenceDataPolicy') in ('', 'HISTORICAL_ONLY', 'INCLUDE_PUBLISHED_SAME_YEAR') and json_type(b, '$.referenceDataPolicy') = 'VARCHAR'"),
+]
 
 
-@query(_want(3, 422))
+@query("with " + _rules_sql(_MULTI_SQL) + f""", asked as (select request_id, problem, case when problem is null then cast({_number('planningYear')} as integer) end y, json_extract_string(b, '$.referenceDataPolicy') pol from found),
+ends as (select *, case when pol = 'INCLUDE_PUBLISHED_SAME_YEAR' and y = 1999 then y else y - 1 end last_year from asked),
+first as (select min(dataset_year) f from records where quality_flag = 'VALID' and region is not null and len(type_tokens) > 0)
+select request_id, case when problem is not null then 400 when coalesce(last_year >= f, false) then 200 else 422 end status, case when problem is null and not coalesce(last_year >= f, false) then 'no data' else problem end problem from ends, first""")
 def checked_multi_year(spark, sf_dir):
-    """A right request is refused if, under the policy that applies, no usable record is in its window."""
-    found = validation.multi_year(_bodies(spark), REGIONS, TYPES, VENUES)
-    years = selection.usable(_stored(spark, sf_dir)).groupBy("dataset_year").agg(F.count("*").alias("k"))
-    last = c("planning_year") - F.when(c("policy") == validation.POLICIES[1], 0).otherwise(1)
-    asked = found.where("status = 200").select("request_id", last.alias("last"))
-    pools = asked.join(F.broadcast(years), c("dataset_year") <= c("last")).groupBy("request_id").agg(F.sum("k").alias("n"))
-    return validation.without_data(found, pools, 422).select("request_id", "status", "problem")
+    """A right request is refused if, under the policy that applies, no usable record is in its window.
+
+    A window has no lower end, so it holds a record if it reaches the earliest year of all.
+    """
+    found = validation.multi_year(_bodies(spark, sf_dir), REGIONS, TYPES, VENUES)
+    return validation.with_window(found, selection.usable(_stored(spark, sf_dir)), policy.status_table(spark)).select("request_id", "status", "problem")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.operators import policy
+
 c = F.col
-POLICIES = ("HISTORICAL_ONLY", "INCLUDE_PUBLISHED_SAME_YEAR")
+POLICIES = (policy.STRICT, policy.SAME_YEAR)
 
 
 def field(name: str) -> Column:
@@ -66,7 +68,8 @@ def single_year(bodies: DataFrame, regions: list[str], types: list[str], venues:
 
 
 def planner(bodies: DataFrame, regions: list[str], types: list[str], venues: list[str]) -> DataFrame:
-    month = kind("startMonth").isNull() | F.coalesce(number("startMonth").between(1, 12), F.lit(False))
+    # only a missing field passes: a null is given, and no number
+    month = field("startMonth").isNull() | F.coalesce(number("startMonth").between(1, 12), F.lit(False))
     return checked(bodies, [*_common(regions, types, venues), ("durationDays", at_least("durationDays", 1)), ("startMonth", month), ("planningYear", at_least("planningYear", 2000))])
 
 
@@ -78,10 +81,10 @@ def multi_year(bodies: DataFrame, regions: list[str], types: list[str], venues:
     known = F.forall(tokens, lambda t: F.coalesce((F.schema_of_variant(t) == "STRING") & F.try_variant_get(t, "$", "string").isin(*types), F.lit(False)))
     year = F.coalesce(number("planningYear") == F.floor(number("planningYear")), F.lit(False))
     asked = kind("referenceDataPolicy").isNotNull() & ~((kind("referenceDataPolicy") == "STRING") & (text("referenceDataPolicy") == ""))
-    policy = F.when(~asked, POLICIES[0]).when(one_of("referenceDataPolicy", list(POLICIES)), text("referenceDataPolicy"))
-    rules = [("required", required), ("regionCode", one_of("regionCode", regions)), ("festivalTypes", known), ("venueType", one_of("venueType", venues)), ("durationDays", at_least("durationDays", 2)), ("planningYear", year), ("referenceDataPolicy", policy.isNotNull())]
+    wanted = F.when(~asked, POLICIES[0]).when(one_of("referenceDataPolicy", list(POLICIES)), text("referenceDataPolicy"))
+    rules = [("required", required), ("regionCode", one_of("regionCode", regions)), ("festivalTypes", known), ("venueType", one_of("venueType", venues)), ("durationDays", at_least("durationDays", 2)), ("planningYear", year), ("referenceDataPolicy", wanted.isNotNull())]
     found = checked(bodies, rules)
-    return found.withColumn("v", F.try_parse_json("body")).withColumn("policy", F.when(c("status") == 200, policy)).withColumn("planning_year", F.when(c("status") == 200, number("planningYear").cast("int"))).drop("v")
+    return found.withColumn("v", F.try_parse_json("body")).withColumn("policy", F.when(c("status") == 200, wanted)).withColumn("planning_year", F.when(c("status") == 200, number("planningYear").cast("int"))).drop("v")
 
 
 def without_data(found: DataFrame, pools: DataFrame, status: int) -> DataFrame:
@@ -89,3 +92,15 @@ def without_data(found: DataFrame, pools: DataFrame, status: int) -> DataFrame:
     empty = (c("status") == 200) & (F.coalesce("n", F.lit(0)) == 0)
     both = found.join(pools, "request_id", "left")
     return both.withColumn("problem", F.when(empty, "no data").otherwise(c("problem"))).withColumn("status", F.when(empty, status).otherwise(c("status"))).drop("n")
+
+
+def with_window(found: DataFrame, usable: DataFrame, status: DataFrame) -> DataFrame:
+    """Multi-year requests that are right but whose window, under the policy that applies, holds no usable record get status 422.
+
+    The policy that applies is not the one asked for, unless the year is complete. Windows have no lower end, so the earliest
+    year of all is enough to know: one row, whatever the number of records.
+    """
+    asked = found.where("status = 200").select("request_id", c("planning_year").alias("q_planning_year"), c("policy").alias("q_policy"))
+    first = usable.agg(F.min("dataset_year").alias("first"))
+    pools = policy.resolve(asked, status).crossJoin(F.broadcast(first)).where(c("first") <= c("last_year")).select("request_id", F.lit(1).alias("n"))
+    return without_data(found, pools, 422)
