@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planlens.functions import scoring as S
 from planlens.operators import estimate, parity, planner, policy, selection
+from planlens.operators.tierindex import TierIndex
 from planlens.plans import requests
 from planlens.sources import ingest
 from planlens.sources.records import COLUMNS, FEATURES, LATEST_SQL, RECORDS_SQL, records, table
@@ -49,19 +50,26 @@ def _queries(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
     return requests.frame(spark, requests.SINGLE).crossJoin(year).withColumn("first_year", c("y")).withColumn("last_year", c("y")).drop("y")
 
 
-def _scored(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str, single: bool = False) -> tuple[TierIndex, DataFrame]:
+    """The index of the usable records, shared by all queries of the session, and the requests."""
     if single:
         rows = _stored(spark, sf_dir, tuple("festival_type" if n == "type_tokens" else n for n in FEATURES), True)
-        return estimate.scored(selection.usable(rows.withColumn("type_tokens", F.array("festival_type"))), _queries(spark, rows), True)
-    return estimate.scored(selection.usable(_stored(spark, sf_dir)), _queries(spark))
+        usable, queries = selection.usable(rows.withColumn("type_tokens", F.array("festival_type"))), _queries(spark, rows)
+    else:
+        usable, queries = selection.usable(_stored(spark, sf_dir)), _queries(spark)
+    inputs = [f"{sf_dir}/{t}.parquet" for t in SOURCES]
+    return TierIndex.of(usable, lambda name, build: staged(spark, name, inputs, f"single {single}", build), single), selection.local(queries)
 
 
-def _select(kind: str) -> Callable[[DataFrame], DataFrame]:
-    return selection.select_v1 if kind == "v1" else selection.select_v0
+def _scored(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
+    """All cells of each request's window."""
+    index, queries = _index(spark, sf_dir, single)
+    return index.scored(queries)
 
 
 def _sample(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return estimate.final_sample(_scored(spark, sf_dir, kind == "single"), _select(kind))
+    index, queries = _index(spark, sf_dir, kind == "single")
+    return estimate.final_sample(index, queries, "v1" if kind == "v1" else "v0")
 
 
 def _sql(kind: str, tail: str) -> str:
@@ -158,7 +166,7 @@ TIERS_SQL = "select query_id, cast(tier as integer) tier, count(*) as added, cas
 
 
 def _tiers(every):
-    return every.groupBy("query_id", "tier").agg(F.count("*").alias("added")).withColumn("cumulative", F.sum("added").over(Window.partitionBy("query_id").orderBy("tier")))
+    return every.groupBy("query_id", "tier").agg(F.sum("n").alias("added")).withColumn("cumulative", F.sum("added").over(Window.partitionBy("query_id").orderBy("tier")))
 
 
 @query(_sql("single", TIERS_SQL))
@@ -173,12 +181,32 @@ def multi_year_tiers(spark, sf_dir):
 
 @query(_sql("v0", "select query_id, tier, round(sim, 6) sim, count(*) n from e group by all"))
 def similarity_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("query_id", "tier", F.round("sim", 6).alias("sim")).agg(F.count("*").alias("n"))
+    return _scored(spark, sf_dir).groupBy("query_id", "tier", F.round("sim", 6).alias("sim")).agg(F.sum("n").alias("n"))
 
 
 @query(_sql("v0", "select query_id, round(lo, 6) lo, round(hi, 6) hi from bounds"))
 def winsor_bounds(spark, sf_dir):
-    return estimate.winsor_bounds(_scored(spark, sf_dir)).select("query_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    index, queries = _index(spark, sf_dir)
+    return index.winsor(queries).select("query_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query(_sql("v0", "select query_id, base_tier, cast(base_count as bigint) base_count, count(*) window_rows, count(distinct case when tier <= base_tier then hash(dataset_year, region, district, type_tokens, venue_type, duration_days) end) scored_cells from e join base using (query_id) group by all"))
+def tier_index_reads(spark, sf_dir):
+    """What each request reads by the index: the cells that it scores, beside the records of its window."""
+    index, queries = _index(spark, sf_dir)
+    windows = selection.by_year(queries, *index.years).join(index.levels.where("kind = 'a'").select("dataset_year", "n"), "dataset_year").groupBy("query_id").agg(F.sum("n").alias("window_rows"))
+    base = index.base(queries).groupBy("query_id", "base_tier", "base_count").agg(F.count("*").alias("scored_cells"))
+    return base.join(windows, "query_id").select("query_id", "base_tier", "base_count", "window_rows", "scored_cells")
+
+
+@query(f"""with {RECORDS_SQL}, r as (select * from records where quality_flag = 'VALID' and region is not null and len(type_tokens) > 0)
+select kind, district, region, venue_type, dataset_year, array_to_string(type_tokens, '|') types, n from (
+  select 'drv' kind, district, region, venue_type, dataset_year, type_tokens, count(*) n from r group by all union all select 'dv', district, '', venue_type, dataset_year, type_tokens, count(*) from r group by all
+  union all select 'rv', '', region, venue_type, dataset_year, type_tokens, count(*) from r group by all union all select 'v', '', '', venue_type, dataset_year, type_tokens, count(*) from r group by all
+  union all select 'r', '', region, '', dataset_year, type_tokens, count(*) from r group by all union all select 't', '', '', '', dataset_year, type_tokens, count(*) from r group by all union all select 'a', '', '', '', dataset_year, null, count(*) from r group by all)""")
+def tier_index_levels(spark, sf_dir):
+    levels = _index(spark, sf_dir)[0].levels
+    return levels.select("kind", "district", "region", "venue_type", "dataset_year", F.when(c("kind") != "a", F.array_join("type_tokens", "|")).alias("types"), "n")
 
 
 CANDIDATE_SQL = "select query_id, cast(rn as integer) rn, id, tier, round(sim, 6) sim, cast(floor(adjusted + 0.5) as bigint) adjusted, cast(floor(value + 0.5) as bigint) as value, array_to_string(type_tokens, '|') types from sample"
@@ -205,7 +233,8 @@ def similar_top5(spark, sf_dir):
 
 @query(_sql("v1", "select query_id, base_tier, cast(base_count as bigint) base_count, round(base_share, 6) base_share, round(best, 6) best, gate, round(quality_floor, 6) quality_floor, reached_tier from gate"))
 def v1_gate_diagnostics(spark, sf_dir):
-    got = selection.gate_v1(_scored(spark, sf_dir))
+    index, queries = _index(spark, sf_dir)
+    got = selection.gate(materialise(index.base(queries), "base"), index.wider(queries))[0]
     return got.select("query_id", "base_tier", "base_count", F.round("base_share", 6).alias("base_share"), F.round("best", 6).alias("best"), "gate", F.round("quality_floor", 6).alias("quality_floor"), "reached_tier")
 
 
@@ -258,8 +287,8 @@ def training_pool_counts(spark, sf_dir):
 
 @query(_sql("v0", "select q.query_id, q_planning_year - last_year = 0 same_year, last_year, count(id) n, min(dataset_year) earliest, max(dataset_year) latest from q left join r on dataset_year <= last_year group by all"))
 def reference_pool(spark, sf_dir):
-    rows, qs = selection.usable(_stored(spark, sf_dir)), _queries(spark)
-    counts = selection.pool(rows, qs).groupBy("query_id").agg(F.count("*").alias("n"), F.min("dataset_year").alias("earliest"), F.max("dataset_year").alias("latest"))
+    index, qs = _index(spark, sf_dir)
+    counts = index.scored(qs).groupBy("query_id").agg(F.sum("n").alias("n"), F.min("dataset_year").alias("earliest"), F.max("dataset_year").alias("latest"))
     return qs.join(counts, "query_id", "left").select("query_id", (c("applied_policy") == policy.SAME_YEAR).alias("same_year"), "last_year", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "earliest", "latest")
 
 

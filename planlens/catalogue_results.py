@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planlens.catalogue import KIND, REGION, _corpus, _queries, _scored, _select, _sql, _stored, query
+from planlens.catalogue import KIND, REGION, _corpus, _index, _sample, _sql, _stored, query
 from planlens.functions import labels
 from planlens.operators import estimate, parity, planner, policy, selection
 from planlens.plans import requests, validation
@@ -21,17 +21,19 @@ left join (select query_id, tier, count(*) added from chosen group by all) k on
 
 @query(_sql("v0", BREAKDOWN_SQL))
 def tier_breakdown_v0(spark, sf_dir):
-    return selection.breakdown(selection.select_v0(_scored(spark, sf_dir)), _queries(spark))
+    index, queries = _index(spark, sf_dir)
+    return selection.breakdown(estimate.chosen_cells(index, queries, "v0"), queries)
 
 
 @query(_sql("v1", BREAKDOWN_SQL))
 def tier_breakdown_v1(spark, sf_dir):
-    return selection.breakdown(selection.select_v1(_scored(spark, sf_dir)), _queries(spark))
+    index, queries = _index(spark, sf_dir)
+    return selection.breakdown(estimate.chosen_cells(index, queries, "v1"), queries)
 
 
 def _samples(spark, sf_dir, kind):
     """The samples, at most 50 rows for each query, written out, as several results are taken from them."""
-    return materialise(estimate.final_sample(_scored(spark, sf_dir, kind == "single"), _select(kind)), "sample")
+    return materialise(_sample(spark, sf_dir, kind), "sample")
 
 
 YEARS_SQL = """yr as (select query_id, dataset_year, count(*) n, sum(w) / sum(sum(w)) over (partition by query_id) s from sample group by query_id, dataset_year),
@@ -45,10 +47,11 @@ from q left join stats using (query_id) left join ye using (query_id) left join
 
 
 def _planned(spark, sf_dir):
-    rows, qs = selection.usable(_stored(spark, sf_dir)), _queries(spark)
-    years = selection.pool(rows, qs).groupBy("query_id").agg(F.min("dataset_year").alias("pool_earliest"), F.max("dataset_year").alias("pool_latest"))
-    sample = materialise(estimate.final_sample(estimate.scored(rows, qs), selection.select_v1), "sample")
-    return estimate.planning_result(sample, qs, years)
+    index, queries = _index(spark, sf_dir)
+    years = selection.by_year(queries, *index.years).join(index.levels.where("kind = 'a'").select("dataset_year").distinct(), "dataset_year")
+    years = years.groupBy("query_id").agg(F.min("dataset_year").alias("pool_earliest"), F.max("dataset_year").alias("pool_latest"))
+    sample = materialise(estimate.final_sample(index, queries), "sample")
+    return estimate.planning_result(sample, queries, years)
 
 
 @query(_sql("v1", PLAN_SQL))
@@ -115,8 +118,7 @@ _AB = "select query_id, count(distinct dataset_year) distinct_years, string_agg(
 @query(f"with a as ({_sql('v0', _AB)}), b as ({_sql('v1', _AB)}) select count(*) filter (a.distinct_years = 1 and b.distinct_years > 1) solved, count(*) filter (a.hash = b.hash) unchanged from a join b using (query_id)")
 def selector_effects(spark, sf_dir):
     """On how many requests the gate turned a sample of one year into one of several, and on how many it changed nothing."""
-    every = _scored(spark, sf_dir)
-    sides = [estimate.final_sample(every, _select(k)).groupBy("query_id").agg(F.size(F.collect_set("dataset_year")).alias("distinct_years"), parity.key_set_hash(c("id")).alias("hash")) for k in ("v0", "v1")]
+    sides = [_sample(spark, sf_dir, k).groupBy("query_id").agg(F.size(F.collect_set("dataset_year")).alias("distinct_years"), parity.key_set_hash(c("id")).alias("hash")) for k in ("v0", "v1")]
     return parity.selector_effects(*sides)
 
 

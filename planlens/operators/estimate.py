@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlens.functions import scoring as S
-from planlens.operators.quantiles import exact_quantiles
-from planlens.operators.selection import pool, tier
+from planlens.operators import selection
+from planlens.operators.tierindex import TierIndex
+from planlens.sources.staging import materialise
 
 c = F.col
 
 
-def scored(records: DataFrame, queries: DataFrame, single_year: bool = False) -> DataFrame:
-    """Every record of each query's window with its tier, similarity ``sim`` and weight ``w`` = sim squared."""
-    sim = S.single_year_similarity() if single_year else S.multi_year_similarity()
-    return pool(records, queries).withColumn("tier", tier(single_year)).withColumn("sim", sim).withColumn("w", c("sim") * c("sim"))
+def budgets(top: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The best records with adjusted budgets, and winsorised by ``bounds`` (query_id, lo, hi)."""
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    top = top.join(F.broadcast(bounds), "query_id", "left").withColumn("lo", F.coalesce("lo", low)).withColumn("hi", F.coalesce("hi", high))
+    return top.withColumn("adjusted", S.adjusted_budget()).withColumn("value", S.winsorised_budget())
 
 
-def winsor_bounds(every: DataFrame) -> DataFrame:
-    """query_id, lo, hi: the 5 % and 95 % quantiles of the log budgets of all records with a type of the query."""
-    same = every.where(F.arrays_overlap("q_types", "type_tokens") & (c("budget_krw") > 0))
-    return exact_quantiles(same.select("query_id", F.ln("budget_krw").alias("log")), ["query_id"], "log", {"lo": 0.05, "hi": 0.95})
+def final_sample(index: TierIndex, queries: DataFrame, select: str = "v1") -> DataFrame:
+    """The best 50 selected candidates of each query that are similar enough, with adjusted and winsorised budgets; ``select``: v0 or v1."""
+    chosen = chosen_cells(index, queries, select).where(c("sim") >= S.MIN_SIMILARITY)
+    return budgets(index.best(chosen, S.MAX_SAMPLE), index.winsor(queries))
 
 
-def final_sample(every: DataFrame, select: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The best 50 selected candidates of each query that are similar enough, with adjusted and winsorised budgets."""
-    bounds = winsor_bounds(every)
-    chosen = select(every).where(c("sim") >= S.MIN_SIMILARITY)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(c("sim").desc(), "tier", "id"))
-    top = chosen.withColumn("rn", rank).where(c("rn") <= S.MAX_SAMPLE).join(F.broadcast(bounds), "query_id", "left")
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-    top = top.withColumn("lo", F.coalesce("lo", low)).withColumn("hi", F.coalesce("hi", high))
-    return top.withColumn("adjusted", S.adjusted_budget()).withColumn("value", S.winsorised_budget())
+def chosen_cells(index: TierIndex, queries: DataFrame, select: str = "v1") -> DataFrame:
+    base = materialise(index.base(queries), "base")
+    return selection.chosen_v0(base) if select == "v0" else selection.chosen_v1(base, index.wider(queries))
 
 
 def _hazen(sample: DataFrame, by: str) -> DataFrame:

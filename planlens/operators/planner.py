@@ -117,37 +117,18 @@ def cost_rows(cohort: DataFrame) -> DataFrame:
 def cost_summary(cohort: DataFrame) -> DataFrame:
     """n, median, p25, p75 of cpv, from 20 records on without the lowest and highest twentieth.
 
-    The twentieths are cut by rank; ranks come from counts per value range, so only a range's own values are sorted together.
+    Which slices of the value range hold the ranks that are left is known from counts; only their values are sorted. A slice is
+    a hundredth wide whatever the extremes, so an outlier moves nothing, and equal values are one row with their number.
     """
-    ranked = with_rank(cost_rows(cohort), "cpv")
-    cut = F.when(c("n") < 20, 0).otherwise(F.floor(c("n") * 0.05))
-    left = F.when(c("n") < 20, c("n")).otherwise(F.ceil(c("n") * 0.95)) - cut
-
-    def q(p: float, name: str) -> Column:
-        place = p * (left - 1)
-        low, high = (F.max(F.when(c("rank") == cut + F.floor(place) + 1 + i, c("cpv"))) for i in (0, 1))
-        part = F.max(place - F.floor(place))
-        return half_up(F.when((part == 0) | high.isNull(), low).otherwise((1 - part) * low + part * high)).alias(name)
-
-    return ranked.groupBy().agg(F.max("n").alias("n"), q(0.5, "median"), q(0.25, "p25"), q(0.75, "p75")).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-
-
-def with_rank(rows: DataFrame, value: str, slices: int = 256) -> DataFrame:
-    """Adds rank (from 1, by ``value`` and id) and n without one global sort: values are sliced evenly between their extremes on
-    a log scale, a slice's offset is the count of all before it, and ranks are numbered within slices."""
-    ends = rows.agg(F.min(F.ln(value)).alias("lo"), F.max(F.ln(value)).alias("hi"))
-    at = F.when(c("hi") > c("lo"), F.least(F.floor((F.ln(value) - c("lo")) / (c("hi") - c("lo")) * slices), F.lit(slices - 1))).otherwise(0)
-    sliced = rows.crossJoin(F.broadcast(ends)).withColumn("slice", at).drop("lo", "hi")
-    counts = sliced.groupBy("slice").agg(F.count("*").alias("k"))
-    before = F.sum("k").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("slice", F.coalesce(before, F.lit(0)).alias("offset"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    own = F.row_number().over(Window.partitionBy("slice").orderBy(value, "id"))
-    return sliced.join(F.broadcast(offsets), "slice").withColumn("rank", c("offset") + own).drop("slice", "offset")
+    trimmed = lambda n: F.when(n < 20, 0).otherwise(F.floor(n * 0.05))
+    ps = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    found = exact_quantiles(cost_rows(cohort).withColumn("all", F.lit(0)), ["all"], "cpv", ps, trimmed)
+    return found.groupBy().agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), *(half_up(F.max(n)).alias(n) for n in ps))
 
 
 def top_efficient(cohort: DataFrame, n: int = 5) -> DataFrame:
     rows = cost_rows(cohort)
-    middle = exact_quantiles(rows.withColumn("all", F.lit(0)), ["all"], "visitors", {"middle": 0.5}).drop("all")
+    middle = exact_quantiles(rows.withColumn("all", F.lit(0)), ["all"], "visitors", {"middle": 0.5}).select("middle")
     return rows.crossJoin(F.broadcast(middle)).where(c("visitors") >= c("middle")).orderBy("cpv", "id").limit(n)
 
 

@@ -1,13 +1,16 @@
 """Candidate selection: ever wider tiers until enough candidates are found.
 
 Tiers: 1 district, type and venue; 2 region, type and venue; 3 type and venue; 4 region and type; 5 type; 6 all. A record belongs to
-the first tier it matches. Without loops: one pass leaves the number, the weight and the best similarity of each query, tier
-and year (``summary``). From that small table come the tier reached, which is the first whose running count is enough, and
-the base of the gate against one dominating year; a second pass adds up what the gate lets in from wider tiers.
+the first tier it matches. Without loops: the tier reached, the *base*, is the first whose running count is enough; the weights of
+its years tell for which queries one year dominates, and for these alone wider tiers are looked at. Rows may be records, or
+cells of equal records with their number n. ``tierindex`` finds the base without scoring anything; the functions here that
+take all scored rows of a window (``select_v0``, ``gate_v1``, ``select_v1``) find it by their tiers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +32,24 @@ def tier(single_year: bool) -> Column:
     return chain.when(typed & (c("q_region") == c("region")), 4).when(typed, 5).otherwise(6)
 
 
-def pool(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query with every record of its window, met by year; the queries are few and broadcast after their number is checked.
+def local(queries: DataFrame) -> DataFrame:
+    """The queries as a relation of the driver's: they are what is asked, at most MAX_QUERIES, and every plan below holds them as they are."""
+    found = queries.limit(MAX_QUERIES + 1).toArrow()
+    if len(found) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries at once; split them in calls of at most {MAX_QUERIES}")
+    return queries.sparkSession.createDataFrame(found, queries.schema)
 
-    The queries with their years are written out, as every pass over the result meets them again.
-    """
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries at once; split them in calls of at most {MAX_QUERIES}")
-    years = records.select("dataset_year").distinct()
-    asked = materialise(queries.join(F.broadcast(years), c("dataset_year").between(c("first_year"), c("last_year"))), "asked")
+
+def by_year(queries: DataFrame, first: int, last: int) -> DataFrame:
+    """A row for each year of a query's window, as far as there are records."""
+    return queries.where((c("first_year") <= last) & (c("last_year") >= first)).withColumn("dataset_year", F.explode(F.sequence(F.greatest("first_year", F.lit(first)), F.least("last_year", F.lit(last)))))
+
+
+def pool(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query with every record of its window, met by year; the queries are few and broadcast after their number is checked."""
+    asked = local(queries)
+    ends = records.agg(F.min("dataset_year").alias("a"), F.max("dataset_year").alias("z")).first()
+    asked = by_year(asked, ends["a"], ends["z"]) if ends["a"] is not None else asked.where("false").withColumn("dataset_year", F.lit(0))
     return records.join(F.broadcast(asked), "dataset_year")
 
 
@@ -47,14 +58,15 @@ def usable(records: DataFrame) -> DataFrame:
     return records.where("quality_flag = 'VALID' and region is not null and size(type_tokens) > 0")
 
 
-def summary(scored: DataFrame) -> DataFrame:
-    """query_id, tier, dataset_year, n, w, best, written out: at most tiers x years rows for each query."""
-    return materialise(scored.groupBy("query_id", "tier", "dataset_year").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("sim").alias("best")), "tiers")
+def times(scored: DataFrame) -> Column:
+    """How many records a scored row stands for: the n of a cell of equal records, or one."""
+    return c("n") if "n" in scored.columns else F.lit(1).cast("long")
 
 
-def _max_share(df: DataFrame, keys: list[str]) -> DataFrame:
-    years = df.groupBy(*keys, "dataset_year").agg(F.sum("w").alias("w"))
-    return years.groupBy(*keys).agg(F.round(F.max("w") / F.sum("w"), 12).alias("share"))
+def summary(scored: DataFrame) -> DataFrame:
+    """query_id, tier, dataset_year, n, w, best, written out: at most tiers x years rows for each query."""
+    n = times(scored)
+    return materialise(scored.groupBy("query_id", "tier", "dataset_year").agg(F.sum(n).alias("n"), F.sum(c("w") * n).alias("w"), F.max("sim").alias("best")), "tiers")
 
 
 def _base(sums: DataFrame) -> DataFrame:
@@ -68,42 +80,71 @@ def reached_v0(scored: DataFrame) -> DataFrame:
     return _base(summary(scored))
 
 
+def base_of(scored: DataFrame) -> DataFrame:
+    """The scored rows of the base, with base_tier and base_count."""
+    return scored.join(F.broadcast(local(reached_v0(scored))), "query_id").where("tier <= base_tier")
+
+
+def chosen_v0(base: DataFrame) -> DataFrame:
+    """The base with reached_tier, gate (never on) and the floor (none)."""
+    return base.withColumn("reached_tier", c("base_tier")).withColumn("gate", F.lit(False)).withColumn("quality_floor", F.lit(None).cast("double"))
+
+
 def select_v0(scored: DataFrame) -> DataFrame:
-    """The selected candidates with base_tier, reached_tier, gate (never on) and the floor (none)."""
-    found = scored.join(F.broadcast(reached_v0(scored)), "query_id").where("tier <= base_tier")
-    return found.withColumn("reached_tier", c("base_tier")).withColumn("gate", F.lit(False)).withColumn("quality_floor", F.lit(None).cast("double"))
+    """The selected candidates of all scored rows."""
+    return chosen_v0(base_of(scored))
 
 
-def gate_v1(scored: DataFrame) -> DataFrame:
-    """query_id, base_tier, base_count, base_share, best, gate, quality_floor, reached_tier, reached_share.
+def gate(base: DataFrame, wider: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """query_id, base_tier, base_count, base_share, best, gate, quality_floor, reached_tier, reached_share; and the rows that the gate may let in.
 
     If one year holds more than half the weight of the base, wider tiers are added, but only records within LOSS of the best
-    similarity, until no year does. A base share is a rounded quotient, so two equal years are exactly one half.
+    similarity, until no year does. A base share is a rounded quotient, so two equal years are exactly one half. ``wider``
+    gives the scored rows beyond the base for queries with a gate, which are all that it is called with.
     """
-    own = summary(scored)
-    inside = own.join(F.broadcast(_base(own)), "query_id").where("tier <= base_tier")
-    info = inside.groupBy("query_id", "base_tier", "base_count").agg(F.max("best").alias("best"))
-    keys = ["query_id", "base_tier", "base_count", "best"]
-    base = inside.drop("best").join(F.broadcast(info.select("query_id", "best")), "query_id").groupBy(*keys, c("base_tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w"))
-    wider = scored.join(F.broadcast(info), "query_id").where((c("tier") > c("base_tier")) & (c("sim") >= F.round(c("best") - LOSS, 12)))
-    sums = materialise(base.union(wider.groupBy(*keys, c("tier").alias("level"), "dataset_year").agg(F.sum("w").alias("w"))), "levels")
-    levels = sums.select("query_id", "base_tier", F.explode(F.sequence("base_tier", F.lit(6))).alias("upto")).distinct()
-    spread = levels.join(sums.drop("base_tier"), "query_id").where("level <= upto")
-    share = _max_share(spread, ["query_id", "base_tier", "base_count", "best", "upto"])
-    per = share.groupBy("query_id", "base_tier", "base_count", "best").agg(
-        F.max(F.when(c("upto") == c("base_tier"), c("share"))).alias("base_share"),
-        F.min(F.when((c("upto") > c("base_tier")) & (c("share") <= CAP), c("upto"))).alias("solved"),
-    )
-    gate = (c("base_count") >= ENOUGH) & (c("base_share") > CAP)
-    per = per.withColumn("gate", gate).withColumn("quality_floor", F.when(c("gate"), F.round(c("best") - LOSS, 12)))
-    per = per.withColumn("reached_tier", F.when(c("gate"), F.coalesce("solved", F.lit(6))).otherwise(c("base_tier")))
-    last = share.select("query_id", c("upto").alias("reached_tier"), c("share").alias("reached_share"))
-    return per.drop("solved").join(last, ["query_id", "reached_tier"])
+    own = base.groupBy("query_id", "base_tier", "base_count", "dataset_year").agg(F.sum(c("w") * times(base)).alias("w"), F.max("sim").alias("best"))
+    info = own.groupBy("query_id", "base_tier", "base_count").agg(F.max("best").alias("best"), F.round(F.max("w") / F.sum("w"), 12).alias("base_share"), F.collect_list(F.struct("dataset_year", "w")).alias("years"))
+    on = (c("base_count") >= ENOUGH) & (c("base_share") > CAP)
+    info = local(info.withColumn("gate", on).withColumn("quality_floor", F.when(on, F.round(c("best") - LOSS, 12))))
+    gated = info.where("gate").select("query_id", "base_tier", "base_count", "quality_floor", "years")
+    plain = info.where("not gate").drop("years").withColumn("reached_tier", c("base_tier")).withColumn("reached_share", c("base_share"))
+    if gated.isEmpty():
+        return plain, None
+    more = materialise(wider(gated.drop("years")).where("tier > base_tier and sim >= quality_floor"), "wider")
+    sums = more.groupBy("query_id", c("tier").alias("level"), "dataset_year").agg(F.sum(c("w") * times(more)).alias("w"))
+    sums = sums.union(gated.select("query_id", c("base_tier").alias("level"), F.explode("years").alias("y")).select("query_id", "level", "y.dataset_year", "y.w"))
+    levels = gated.select("query_id", F.explode(F.sequence("base_tier", F.lit(6))).alias("upto"))
+    years = sums.join(F.broadcast(levels), "query_id").where("level <= upto").groupBy("query_id", "upto", "dataset_year").agg(F.sum("w").alias("w"))
+    share = local(years.groupBy("query_id").agg(F.collect_list(F.struct("upto", "dataset_year", "w")).alias("y")))
+    share = share.select("query_id", F.explode("y").alias("y")).groupBy("query_id", "y.upto").agg(F.round(F.max("y.w") / F.sum("y.w"), 12).alias("share"))
+    solved = share.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("upto", "share"))).alias("shares"))
+    found = info.where("gate").drop("years").join(solved, "query_id")
+    lowest = F.array_min(F.filter(F.map_keys("shares"), lambda u: (u > c("base_tier")) & (F.element_at("shares", u) <= CAP)))
+    found = found.withColumn("reached_tier", F.coalesce(lowest, F.lit(6))).withColumn("reached_share", F.element_at("shares", c("reached_tier"))).drop("shares")
+    return plain.unionByName(found), more
+
+
+def chosen_v1(base: DataFrame, wider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The base, and for queries with a gate what it lets in from wider tiers."""
+    gates, more = gate(base, wider)
+    gates = F.broadcast(local(gates).drop("base_tier", "base_count"))
+    found = base.join(gates, "query_id")
+    if more is None:
+        return found
+    return found.unionByName(more.drop("quality_floor").join(gates, "query_id").where("tier <= reached_tier"))
+
+
+def _within(scored: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda gated: scored.join(F.broadcast(gated), "query_id")
+
+
+def gate_v1(scored: DataFrame) -> DataFrame:
+    """The gate of each query over all scored rows."""
+    return gate(base_of(scored), _within(scored))[0]
 
 
 def select_v1(scored: DataFrame) -> DataFrame:
-    found = scored.join(F.broadcast(gate_v1(scored)), "query_id")
-    return found.where((c("tier") <= c("base_tier")) | c("gate") & (c("tier") <= c("reached_tier")) & (c("sim") >= c("quality_floor")))
+    return chosen_v1(base_of(scored), _within(scored))
 
 
 def breakdown(chosen: DataFrame, queries: DataFrame) -> DataFrame:
@@ -113,7 +154,7 @@ def breakdown(chosen: DataFrame, queries: DataFrame) -> DataFrame:
     """
     applies = lambda t: ((t != 1) | c("q_district").isNotNull()) & ((t > 3) | c("q_venue").isNotNull())
     tiers = queries.select("query_id", F.explode(F.filter(F.sequence(F.lit(1), F.lit(6)), applies)).alias("tier"))
-    counts = chosen.groupBy("query_id", "tier").agg(F.count("*").alias("added"), F.max("reached_tier").alias("reached"))
+    counts = chosen.groupBy("query_id", "tier").agg(F.sum(times(chosen)).alias("added"), F.max("reached_tier").alias("reached"))
     reached = counts.groupBy("query_id").agg(F.max("reached").alias("reached"))
     listed = tiers.join(reached, "query_id", "left").where(c("tier") <= F.coalesce("reached", F.lit(6))).drop("reached").join(counts.drop("reached"), ["query_id", "tier"], "left")
     listed = listed.withColumn("added", F.coalesce("added", F.lit(0).cast("long")))

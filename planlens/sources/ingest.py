@@ -250,7 +250,7 @@ def profile(records: DataFrame) -> DataFrame:
         F.count_if(F.size("type_tokens") == 0).alias("no_type"), F.count_if(F.size("type_tokens") == 1).alias("single_type"), F.count_if(F.size("type_tokens") > 1).alias("multi_type"),
         F.countDistinct("region").alias("regions"), F.min(valid).alias("least"), F.max(valid).alias("most"),
     )
-    middle = exact_quantiles(records.select("dataset_year", valid.alias("valid")), ["dataset_year"], "valid", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    middle = exact_quantiles(records.select("dataset_year", valid.alias("valid")), ["dataset_year"], "valid", {"median": 0.5, "p25": 0.25, "p75": 0.75}).drop("n")
     return counts.join(middle, "dataset_year", "left")
 
 
