@@ -37,9 +37,9 @@ def wanted_slices(counts: DataFrame, by: list[str], ps: dict[str, float], trim:
     return counts.where(F.exists(ranks, lambda r: (r >= c("before")) & (r < c("before") + c("k")))).drop("k")
 
 
-def quantiles_of(values: DataFrame, by: list[str], ps: dict[str, float], trim: Callable[[Column], Column] = lambda n: 0 * n) -> DataFrame:
-    """The quantiles from the values v of the wanted slices, each with its group, slice, before and n."""
-    values = values.groupBy(*by, "slice", "before", "n", "v").agg(F.count("*").alias("m"))
+def quantiles_of(values: DataFrame, by: list[str], ps: dict[str, float], trim: Callable[[Column], Column] = lambda n: 0 * n, number: Column | None = None) -> DataFrame:
+    """The quantiles from the values v of the wanted slices, each with its group, slice, before and n; ``number`` adds up how often a value is there, if not once a row."""
+    values = values.groupBy(*by, "slice", "before", "n", "v").agg((F.count("*") if number is None else number).alias("m"))
     last = c("before") + F.sum("m").over(Window.partitionBy(*by, "slice").orderBy("v")) - 1
     values = values.withColumn("last", last).withColumn("first", c("last") - c("m") + 1)
     out = []

@@ -7,9 +7,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
-from planlens.operators.quantiles import exact_quantiles
+from planlens.operators.quantiles import exact_quantiles, quantiles_of, slice_of, wanted_slices
+from planlens.sources import csvfiles
+from planlens.sources.staging import materialise
 
 c = F.col
 
@@ -56,16 +58,9 @@ VISITOR_STATUS = {"미집계": "NOT_TALLIED", "최초 개최": "FIRST_TIME_HELD"
 DISTRICT_PLACEHOLDERS = ("-", "시자체", "본청", "도", "시", "지자체", "도자체", "시 자체", "미기재", "서울시", "울산시", "제주도", "세종시", "제주도 본청", "대구광역시")
 
 
-def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...] | list[str] = HEADERS) -> DataFrame:
-    """All columns as strings, by header name; raises if the file is empty or lacks a header. A byte-order mark is dropped."""
-    head = spark.read.text(path).limit(1).collect()
-    if not head or not head[0][0].strip("﻿ \r"):
-        raise ValueError(f"{path} is empty")
-    names = [h.strip().strip('"') for h in head[0][0].lstrip("﻿").rstrip("\r").split(",")]
-    if missing := [h for h in headers if h not in names]:
-        raise ValueError(f"{path} lacks the headers {', '.join(missing)}")
-    schema = StructType([StructField(n, StringType()) for n in names])
-    return spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...] | list[str] = HEADERS, corrupt: str | None = None) -> DataFrame:
+    """All columns as strings, by the header names of each file; see ``csvfiles``."""
+    return csvfiles.read_csv(spark, path, headers, corrupt)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +185,7 @@ def canonical(raw: DataFrame, regions: dict[str, str], types: list[str], venues:
     million = lambda n: get(n).try_cast("decimal(18,3)").alias(n)
     df = raw.select(
         to_int(get("dataset_year")).cast("int").alias("dataset_year"), get("source_sheet").alias("source_sheet"), to_int(get("source_row")).cast("int").alias("source_row"), get("source_sha256").alias("source_sha256"),
-        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region"), regions).alias("region"), (own("region").isNotNull() & mapped(get("region"), regions).isNull()).alias("region_unmapped"), district.alias("district_raw"), F.when(~district.isin(*DISTRICT_PLACEHOLDERS), district).alias("district"), composed(get("festival_name")).alias("festival_name"),
+        F.coalesce(get("region_raw"), F.lit("")).alias("region_raw"), mapped(get("region"), regions).alias("region"), own("region").alias("region_value"), own("venue_type").alias("venue_value"), (own("region").isNotNull() & mapped(get("region"), regions).isNull()).alias("region_unmapped"), district.alias("district_raw"), F.when(~district.isin(*DISTRICT_PLACEHOLDERS), district).alias("district"), composed(get("festival_name")).alias("festival_name"),
         known.alias("type_tokens"), unknown.alias("unknown_types"), mapped(venue, venues).alias("venue_type"), (venue.isNotNull() & mapped(venue, venues).isNull()).alias("venue_unmapped"), (get("festival_type").isNotNull() & (F.size(known) == 0)).alias("no_known_type"),
         to_int(get("duration_days")).cast("int").alias("duration_days"), parse_boolean(get("covid_affected")).alias("covid_affected"), get("budget_total_million").try_cast("decimal(18,3)").alias("budget_total_million"),
         F.when(flag.isin(*QUALITY_FLAGS), flag).alias("quality_flag"),
@@ -207,39 +202,100 @@ def canonical(raw: DataFrame, regions: dict[str, str], types: list[str], venues:
 
 def accepted(rows: DataFrame) -> DataFrame:
     """Canonical rows without a fatal issue."""
-    return rows.where(~F.exists("issues", lambda i: i["fatal"]))
+    return rows.where(~_fatal())
+
+
+#: What the rows of a load are counted by, each in a grouping set of its own.
+COUNTED = ("year_flag", "million", "source_sha256", "source_sheet", "type_combination", "region_value", "venue_value", "unmapped_region", "unmapped_venue")
+
+
+def _fatal() -> Column:
+    return F.exists("issues", lambda i: i["fatal"])
+
+
+def _row_counts() -> dict[str, Column]:
+    return {
+        "missing_venue_type": c("venue_type").isNull(), "missing_cycle": c("cycle_raw").isNull(), "missing_duration": c("duration_days").isNull(), "single_type_rows": F.size("type_tokens") == 1, "multi_type_rows": F.size("type_tokens") > 1,
+        "unknown_type_rows": F.array_contains("type_tokens", "UNKNOWN"), "other_type_rows": F.array_contains("type_tokens", "OTHER"), "district_placeholders": c("district_raw").isNotNull() & c("district").isNull(), "issues": F.size("issues"),
+    }
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """good, by, dataset_year, key, number, k and the sums of ``_row_counts``: all that a report is made of, in one pass over canonical rows.
+
+    Each of COUNTED is a grouping set beside good (no fatal issue). Values are combined where the rows are, so what is shuffled are
+    distinct values; budgets (number) are counted by year and value.
+    """
+    valid = F.when(~_fatal() & (c("quality_flag") == "VALID"), c("budget_total_million").cast("double"))
+    entry = lambda year=None, key=None, number=None: F.struct((F.lit(None).cast("int") if year is None else year).alias("dataset_year"), (F.lit(None).cast("string") if key is None else key).alias("key"), (F.lit(None).cast("double") if number is None else number).alias("number"))
+    keys = {"year_flag": entry(c("dataset_year"), c("quality_flag")), "million": F.when(valid.isNotNull(), entry(c("dataset_year"), F.lit(""), valid))}
+    combination = F.when(F.size("type_tokens") > 1, F.array_join(F.array_sort("type_tokens"), "|"))
+    texts = {"source_sha256": c("source_sha256"), "source_sheet": c("source_sheet"), "type_combination": combination, "region_value": c("region_value"), "venue_value": c("venue_value"), "unmapped_region": F.when(c("region_unmapped"), c("region_value")), "unmapped_venue": F.when(c("venue_unmapped"), c("venue_value"))}
+    keys |= {n: F.when(v.isNotNull(), entry(key=v)) for n, v in texts.items()}
+    counts, names = _row_counts(), [f"by_{n}" for n in COUNTED]
+    marked = rows.select((~_fatal()).alias("good"), *(keys[n].alias(f"by_{n}") for n in COUNTED), *(v.cast("long").alias(n) for n, v in counts.items()))
+    found = marked.groupingSets([["good", n] for n in names], "good", *names).agg(F.count("*").alias("k"), *(F.sum(n).alias(n) for n in counts), F.grouping_id().alias("g"))
+    # a set's id has a bit for each column but good and its own, the first column's highest
+    ids = {(1 << len(names)) - 1 - (1 << (len(names) - 1 - i)): n for i, n in enumerate(COUNTED)}
+    by = F.element_at(F.create_map(*(F.lit(x) for pair in ids.items() for x in pair)), c("g").cast("int"))
+    return found.withColumn("by", by).withColumn("x", F.coalesce(*names)).where("x is not null").select("good", "by", "x.dataset_year", "x.key", "x.number", "k", *counts)
 
 
 def import_report(rows: DataFrame) -> DataFrame:
-    """metric, key, value: what a load would bring, from canonical rows. Counts are of the rows without a fatal issue, but for those of issues and skipped rows."""
-    good = accepted(rows)
-    valid = F.when(c("quality_flag") == "VALID", c("budget_total_million").cast("double"))
-    n = lambda cond: F.count_if(cond).cast("double")
-    singles = {
-        "total_rows": F.count("*").cast("double"),
-        "missing_venue_type": n(c("venue_type").isNull()),
-        "missing_cycle": n(c("cycle_raw").isNull()),
-        "missing_duration": n(c("duration_days").isNull()),
-        "single_type_rows": n(F.size("type_tokens") == 1),
-        "multi_type_rows": n(F.size("type_tokens") > 1),
-        "unknown_type_rows": n(F.array_contains("type_tokens", "UNKNOWN")),
-        "other_type_rows": n(F.array_contains("type_tokens", "OTHER")),
-        "district_placeholders": n(c("district_raw").isNotNull() & c("district").isNull()),
-        "source_hashes": F.countDistinct("source_sha256").cast("double"),
-        "source_sheets": F.countDistinct("source_sheet").cast("double"),
-        "type_combinations": F.countDistinct(F.when(F.size("type_tokens") > 1, F.array_join(F.array_sort("type_tokens"), "|"))).cast("double"),
-    }
-    one = good.agg(*(v.alias(k) for k, v in singles.items())).unpivot([], list(singles), "metric", "value").select("metric", F.lit("").alias("key"), "value")
-    per = good.groupBy("dataset_year", "quality_flag").agg(F.count("*").cast("double").alias("value"))
-    by_year = per.groupBy("dataset_year").agg(F.sum("value").alias("value")).select(F.lit("rows").alias("metric"), c("dataset_year").cast("string").alias("key"), "value")
-    by_flag = per.groupBy("quality_flag").agg(F.sum("value").alias("value")).select(F.lit("flag").alias("metric"), c("quality_flag").alias("key"), "value")
-    by_both = per.select(F.lit("year_flag").alias("metric"), F.concat_ws(":", c("dataset_year").cast("string"), "quality_flag").alias("key"), "value")
-    issues = rows.agg(F.sum(F.size("issues")).cast("double").alias("issues"), F.count_if(F.exists("issues", lambda i: i["fatal"])).cast("double").alias("fatal_rows"), F.countDistinct(F.when(c("region_unmapped"), c("region_raw"))).cast("double").alias("unmapped_regions"))
-    issues = issues.unpivot([], issues.columns, "metric", "value").select("metric", F.lit("").alias("key"), "value")
-    middle = exact_quantiles(good.select("dataset_year", valid.alias("million")), ["dataset_year"], "million", {"median": 0.5, "p25": 0.25, "p75": 0.75})
-    ends = good.where(valid.isNotNull()).groupBy("dataset_year").agg(F.min(valid).alias("least"), F.max(valid).alias("most"), F.count("*").cast("double").alias("n_budgets"))
-    sane = middle.join(ends, "dataset_year").unpivot(["dataset_year"], ["median", "p25", "p75", "least", "most", "n_budgets"], "metric", "value").select("metric", c("dataset_year").cast("string").alias("key"), "value")
-    return one.union(by_year).union(by_flag).union(by_both).union(issues).union(sane)
+    """metric, key, value: what a load would bring, from one pass over canonical rows. Counts are of the rows without a fatal issue, but for
+    those of issues, skipped rows, and values as they were read (region_value, venue_value, and what no code is known for)."""
+    table = materialise(counted(rows), "counted")
+    good, flags = table.where("good"), table.where("by = 'year_flag'")
+    flat = lambda metric, key, value: (F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    none = F.lit("")
+    kinds = {"source_hashes": "source_sha256", "source_sheets": "source_sheet", "type_combinations": "type_combination"}
+    ones = {"total_rows": F.sum(F.when(c("good"), c("k"))), "fatal_rows": F.sum(F.when(~c("good"), c("k"))), "issues": F.sum("issues")} | {n: F.sum(F.when(c("good"), c(n))) for n in _row_counts() if n != "issues"}
+    ones |= {"year_first": F.min(F.when(c("good"), c("dataset_year"))), "year_last": F.max(F.when(c("good"), c("dataset_year")))}
+    zero = lambda n, v: (v if n.startswith("year_") else F.coalesce(v, F.lit(0))).cast("double").alias(n)
+    one = flags.agg(*(zero(n, v) for n, v in ones.items())).unpivot([], list(ones), "metric", "value").select("metric", none.alias("key"), "value").where("value is not null")
+    distinct = table.agg(*(F.count_if(c("good") & (c("by") == v)).cast("double").alias(n) for n, v in kinds.items()), *(F.size(F.collect_set(F.when(c("by") == v, c("key")))).cast("double").alias(n) for n, v in {"unmapped_regions": "unmapped_region", "unmapped_venues": "unmapped_venue"}.items()))
+    distinct = distinct.unpivot([], distinct.columns, "metric", "value").select("metric", none.alias("key"), "value")
+    years = good.where("by = 'year_flag'")
+    by_year = years.groupBy("dataset_year").agg(F.sum("k").alias("k")).select(*flat("rows", c("dataset_year"), c("k")))
+    by_flag = years.groupBy("key").agg(F.sum("k").alias("k")).select(*flat("flag", c("key"), c("k")))
+    by_both = years.select(*flat("year_flag", F.concat_ws(":", c("dataset_year").cast("string"), "key"), c("k")))
+    values = table.where(c("by").isin("region_value", "venue_value", "unmapped_region", "unmapped_venue")).groupBy("by", "key").agg(F.sum("k").alias("k")).select(c("by").alias("metric"), "key", c("k").cast("double").alias("value"))
+    money = good.where("by = 'million'").select("dataset_year", c("number").alias("v"), "k").withColumn("slice", slice_of(c("v")))
+    ps = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    wanted = wanted_slices(money.groupBy("dataset_year", "slice").agg(F.sum("k").alias("k")), ["dataset_year"], ps)
+    middle = quantiles_of(money.join(wanted, ["dataset_year", "slice"]), ["dataset_year"], ps, number=F.sum("k"))
+    ends = money.groupBy("dataset_year").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("k").cast("double").alias("n_budgets"))
+    sane = middle.drop("n").join(ends, "dataset_year").unpivot(["dataset_year"], [*ps, "least", "most", "n_budgets"], "metric", "value").select("metric", c("dataset_year").cast("string").alias("key"), "value")
+    return one.union(distinct).union(by_year).union(by_flag).union(by_both).union(values).union(sane)
+
+
+# What the data set of 2017 to 2026 holds.
+EXPECTED_ROWS = {2017: 733, 2018: 886, 2019: 884, 2020: 968, 2021: 1004, 2022: 944, 2023: 1129, 2024: 1170, 2025: 1214, 2026: 1266}
+EXPECTED_MEDIANS = {2017: 200, 2018: 200, 2019: 200, 2020: 198, 2021: 166.4, 2022: 170, 2023: 196, 2024: 200, 2025: 200, 2026: 204.5}
+EXPECTED_FLAGS = {"VALID": 9930, "MISSING_OR_NONPOSITIVE": 258, "UNIT_SCALE_SUSPECT": 10}
+EXPECTED_ONES = {"total_rows": 10198, "multi_type_rows": 152, "source_hashes": 10, "unmapped_regions": 0, "issues": 0, "fatal_rows": 0}
+
+
+def expectations(spark: SparkSession) -> DataFrame:
+    """metric, key, value: all that the data set of 2017 to 2026 must have."""
+    rows = [(m, "", float(v)) for m, v in EXPECTED_ONES.items()] + [("flag", k, float(v)) for k, v in EXPECTED_FLAGS.items()]
+    rows += [(m, str(y), float(v)) for m, of in (("rows", EXPECTED_ROWS), ("median", EXPECTED_MEDIANS)) for y, v in of.items()]
+    return spark.createDataFrame(rows, "metric string, key string, value double")
+
+
+def accepted_report(report: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """metric, key, expected, actual, ok for each expectation: counts must be equal, and are 0 where the report has none; medians must be there and less than ``tolerance`` apart."""
+    both = expected.withColumnRenamed("value", "expected").join(report.withColumnRenamed("value", "actual"), ["metric", "key"], "left")
+    median = c("metric") == "median"
+    both = both.withColumn("actual", F.when(median, c("actual")).otherwise(F.coalesce("actual", F.lit(0.0))))
+    return both.withColumn("ok", F.when(median, F.coalesce(F.abs(c("expected") - c("actual")) < tolerance, F.lit(False))).otherwise(c("expected") == c("actual")))
+
+
+def issue_sample(rows: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` issues in the order of the rows."""
+    listed = rows.select("dataset_year", "source_sheet", "source_row", F.posexplode("issues").alias("place", "issue"))
+    order = [c(x).asc_nulls_first() for x in ("dataset_year", "source_sheet", "source_row", "place")]
+    return listed.orderBy(*order).limit(n).select("dataset_year", "source_sheet", "source_row", "issue.field", "issue.fatal")
 
 
 def profile(records: DataFrame) -> DataFrame:

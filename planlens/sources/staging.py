@@ -39,12 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and later plans read only the columns they need."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the session."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)
     _SESSIONS[spark.sparkContext.applicationId] = spark
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and later plans read only the columns they need."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
