@@ -72,15 +72,15 @@ def _sample(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return estimate.final_sample(index, queries, "v1" if kind == "v1" else "v0")
 
 
-def _sql(kind: str, tail: str) -> str:
-    """The chain from records to statistics for ``kind`` single, v0 or v1; ``tail`` selects from it."""
+def _sql(kind: str, tail: str, asked: str | None = None) -> str:
+    """The chain from records to statistics for ``kind`` single, v0 or v1; ``tail`` selects from it. ``asked``: SQL of the requests q0, if not the sample ones."""
     single = kind == "single"
     ok = "quality_flag = 'VALID' and region is not null and len(type_tokens) > 0"
     if single:
         qs = requests.sql(requests.SINGLE) + ", q as (select q0.*, y first_year, y last_year from q0, (select max(dataset_year) y from records))"
         r = f"r as (select * replace ([festival_type] as type_tokens) from records where quality_flag = 'VALID' and region is not null)"
     else:
-        qs = requests.sql(requests.MULTI) + """, q as (select *, 0 first_year, q_planning_year - case when q_policy = 'INCLUDE_PUBLISHED_SAME_YEAR' and q_planning_year = 1999 then 0 else 1 end last_year from q0)"""
+        qs = (asked or requests.sql(requests.MULTI)) + """, q as (select *, 0 first_year, q_planning_year - case when q_policy = 'INCLUDE_PUBLISHED_SAME_YEAR' and q_planning_year = 1999 then 0 else 1 end last_year from q0)"""
         r = f"r as (select * from records where {ok})"
     t, v, d = ("(case when list_has_any(q_types, type_tokens) then 1.0 else 0.1 end)", "(case when q_venue = venue_type then 1.0 when q_venue = '4-NOT SPECIFIED' or venue_type = '4-NOT SPECIFIED' then 0.45 else 0.25 end)", "exp(-abs(ln((q_duration + 1.0::double) / (duration_days + 1.0::double))))")
     g = "(case when q_district = district then 1.0 when q_region = region then 0.8 else 0.3 end)"
@@ -320,8 +320,7 @@ def _corpus(spark, sf_dir, *columns):
 
 def _names(spark, sf_dir):
     rows = _stored(spark, sf_dir, COLUMNS, True)
-    terms = planner.removal_terms(["ASIA", "EUROPE"], ["NATION_1"])
-    return rows, rows.select("id", "region", planner.tokens(c("festival_name"), terms).alias("tokens"))
+    return rows, rows.select("id", "region", planner.tokens(c("festival_name"), planner.corpus_terms(rows)).alias("tokens"))
 
 
 def _words(spark, sf_dir):
@@ -344,6 +343,15 @@ def keyword_extract(spark, sf_dir):
     return _words(spark, sf_dir)[1].groupBy("keyword").agg(F.count("*").alias("n"))
 
 
+@query(f"""with {LATEST_SQL}, tk as (select id, list_filter(string_split(festival_name, ' '), lambda t: length(t) between 2 and 8 and t not in ('with', 'and', 'the', 'in', 'of')) t from records)
+select array_to_string(t, ' ') tokens, count(*) n from tk group by all""")
+def keyword_removals(spark, sf_dir):
+    """Names with the record's own district and region, a number, a year and generic terms around and inside them: the tokens are those of the bare name."""
+    rows = _stored(spark, sf_dir, COLUMNS, True)
+    name = F.concat(c("district"), F.lit("제3회 "), c("region"), F.lit("특별시축제 "), F.replace("festival_name", F.lit(" "), F.concat(F.lit(" "), c("district"), F.lit(" "))), F.lit(" 대축제(2024) 2024년"), c("region"), F.lit("도"))
+    return rows.groupBy(F.array_join(planner.tokens(name, planner.corpus_terms(rows)), " ").alias("tokens")).agg(F.count("*").alias("n"))
+
+
 MONTHS_SQL = f"""mo as (select m.month, count(id) as national, count(id) filter (region = '{REGION}') regional, count(id) filter (region = '{REGION}' and festival_type = '{KIND}') same_type
 from (select unnest(range(1, 13)) as month) m left join records on start_month = m.month group by m.month)"""
 
@@ -474,6 +482,21 @@ def natural_key_hash(spark, sf_dir):
     return records(spark, sf_dir).where(c("festival_type") == KIND).groupBy("region").agg(parity.key_set_hash(F.concat_ws(":", "dataset_year", "id")).alias("digest"))
 
 
+@query(f"with {RECORDS_SQL} select region, count(*) n, cast(sum(h) as decimal(38, 0)) total from (select region, cast('0x' || substr(sha256(dataset_year || ':' || id), 1, 15) as bigint) h from records) group by region")
+def key_set_digest(spark, sf_dir):
+    """The keys of every region as sums of hashes, of all records."""
+    return parity.set_digest(records(spark, sf_dir, ("id", "dataset_year", "region")), ["region"], F.concat_ws(":", "dataset_year", "id")).drop("mixed")
+
+
+@query(f"with {RECORDS_SQL} select id, dataset_year, cast(1 as bigint) want, cast(case when id % 5000 = 17 then 0 else 1 end as bigint) got from records where id % 5000 = 17 or id % 7000 = 23 and id % 5000 <> 17 union all select -1, 1990, 0, 1")
+def key_set_drilldown(spark, sf_dir):
+    """The records against a copy of them that lacks some, has another budget in others, and one more: these are named, the others never compared."""
+    rows = records(spark, sf_dir, ("id", "dataset_year", "budget_krw"))
+    other = rows.where("id % 5000 <> 17").withColumn("budget_krw", F.when(c("id") % 7000 == 23, c("budget_krw") + 1).otherwise(c("budget_krw")))
+    other = other.union(spark.createDataFrame([(-1, 1990, 0.0)], other.schema))
+    return parity.set_differences(rows, other, ["id", "dataset_year"], ["budget_krw"])
+
+
 @query("select * from (values (1997, 'a', 'b', '1'), (1998, 'a', 'b', '2')) t(dataset_year, source_sha256, canonical_sha256, importer_version)")
 def batch_idempotency(spark, sf_dir):
     schema = "dataset_year int, source_sha256 string, canonical_sha256 string, importer_version string"

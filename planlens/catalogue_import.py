@@ -139,6 +139,13 @@ def _cells(spark, sf_dir):
     )
 
 
+@query("with s as (select *, case when o_orderkey % 6007 <> 6006 then o_totalprice end serial from orders where o_orderkey >= 8), e as (select min(o_orderkey) e from s where serial is null) select year(o_orderdate) y, count(*) n, max(o_orderkey) last_row, cast(round(sum(serial), 2) as decimal(18, 2))::double serials from s, e where e is null or o_orderkey < e group by all")
+def sheet_until_empty(spark, sf_dir):
+    """Orders as the rows of a sheet in the order of their keys, whose data ends at the first row without a serial."""
+    cells = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("row"), F.year("o_orderdate").alias("y"), F.when(c("o_orderkey") % 6007 != 6006, c("o_totalprice")).alias("serial"))
+    return ingest.until_empty(cells, "row", "serial").groupBy("y").agg(F.count("*").alias("n"), F.max("row").alias("last_row"), F.round(F.sum("serial"), 2).alias("serials"))
+
+
 @query("""select array_to_string(case k when 1 then ['festival_name'] when 2 then ['region'] else [] end, ',') missing, case when k <> 3 then 'x' end district, case when k = 0 then 3 when k > 2 then k - 2 end duration_days, case when k = 0 then 'REPORTED' when k > 2 then 'CALCULATED' else 'UNKNOWN' end duration_source,
 case when k < 6 then 'CONFIRMED' when k = 6 then 'ZERO' when k = 7 then 'UNCONFIRMED' else 'NO_RESPONSE' end budget_status, case when k = 5 then 'FIRST_TIME_HELD' end visitors_status, count(*) n, sum(case when k < 7 then case when k = 6 then 0 else cast(floor(o_totalprice / 1000 * 1000000 + 0.5) as bigint) end end)::bigint krw, sum(case when k < 5 then cast(floor(o_totalprice + 0.5) as bigint) end)::bigint visitors
 from (select *, cast(o_orderkey % 10 as integer) k from orders) group by all""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planlens.catalogue import KIND, REGION, _corpus, _index, _sample, _sql, _stored, query
 from planlens.functions import labels
 from planlens.operators import estimate, parity, planner, policy, selection
-from planlens.plans import requests, validation
+from planlens.plans import answers, requests, validation
 from planlens.sources.records import LATEST_SQL, RECORDS_SQL, records
 from planlens.sources.staging import materialise
 
@@ -48,10 +48,7 @@ from q left join stats using (query_id) left join ye using (query_id) left join
 
 def _planned(spark, sf_dir):
     index, queries = _index(spark, sf_dir)
-    years = selection.by_year(queries, *index.years).join(index.levels.where("kind = 'a'").select("dataset_year").distinct(), "dataset_year")
-    years = years.groupBy("query_id").agg(F.min("dataset_year").alias("pool_earliest"), F.max("dataset_year").alias("pool_latest"))
-    sample = materialise(estimate.final_sample(index, queries), "sample")
-    return estimate.planning_result(sample, queries, years)
+    return answers.planned(index, queries)
 
 
 @query(_sql("v1", PLAN_SQL))
@@ -222,3 +219,22 @@ def checked_multi_year(spark, sf_dir):
     """
     found = validation.multi_year(_bodies(spark, sf_dir), REGIONS, TYPES, VENUES)
     return validation.with_window(found, selection.usable(_stored(spark, sf_dir)), policy.status_table(spark)).select("request_id", "status", "problem")
+
+
+_ASKED_SQL = ", ".join(_rules_sql(_MULTI_SQL).split(", bodies as", 1)[1:])
+_ANSWER_SQL = f"""bodies as{_ASKED_SQL}, asked as (select request_id, problem, json_extract_string(b, '$.regionCode') q_region, cast(null as varchar) q_district, list_distinct(list_transform(json_extract(b, '$.festivalTypes[*]'), lambda t: json_extract_string(t, '$'))) q_types, json_extract_string(b, '$.venueType') q_venue,
+  case when problem is null then {_number('durationDays')} end q_duration, case when problem is null then cast({_number('planningYear')} as integer) end q_planning_year, case when json_extract_string(b, '$.referenceDataPolicy') = 'INCLUDE_PUBLISHED_SAME_YEAR' then 'INCLUDE_PUBLISHED_SAME_YEAR' else 'HISTORICAL_ONLY' end q_policy from found),
+q0 as (select row_number() over () query_id, * from (select distinct q_region, q_district, q_types, q_venue, q_duration, q_planning_year, q_policy from asked where problem is null))"""
+
+
+@query(_sql("v1", PLAN_SQL.replace("select q.query_id,", ", pr as (select q.query_id,").replace(", " + YEARS_SQL, ", " + YEARS_SQL, 1) + """), first as (select min(dataset_year) f from r)
+select request_id, case when problem is not null then 400 when coalesce(year_to >= f, false) then 200 else 422 end status, case when problem is null and not coalesce(year_to >= f, false) then 'no data' else problem end problem,
+  case when year_to >= f then applied_policy end applied_policy, case when year_to >= f then sample_count end sample_count, case when year_to >= f then recommended end recommended, case when year_to >= f then p50 end p50, case when year_to >= f then reached_tier end reached_tier, case when year_to >= f then top_ids end top_ids
+from asked left join q0 on asked.problem is null and q0.q_region = asked.q_region and q0.q_types = asked.q_types and q0.q_venue = asked.q_venue and q0.q_duration = asked.q_duration and q0.q_planning_year = asked.q_planning_year and q0.q_policy = asked.q_policy
+left join pr on pr.query_id = q0.query_id, first""", _ANSWER_SQL))
+def answered_requests(spark, sf_dir):
+    """The bodies of all orders answered end to end, and what their JSON answers say."""
+    index, _ = _index(spark, sf_dir)
+    found = answers.multi_year(_bodies(spark, sf_dir), index, policy.status_table(spark), REGIONS, TYPES, VENUES)
+    said = F.from_json("answer", "applied_policy string, sample_count long, recommended long, p50 long, reached_tier int, top_ids string")
+    return found.select("request_id", "status", "problem", said.alias("a")).select("request_id", "status", "problem", "a.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from planlens.functions.labels import REGIONS, TYPES, VENUES, label
 from planlens.functions.scoring import UNDECIDED, half_up
@@ -19,6 +21,8 @@ REGION_SUFFIXES = ("특별자치도", "특별자치시", "특별시", "광역시
 PAREN = r"[（(\[{][^）)\]}]*[）)\]}]"
 ORDINAL = r"(?U)제?\s*[0-9]+\s*(회|주년|차|번째)"
 YEAR = r"(?U)(19|20)[0-9]{2}\s*년?"
+#: Names of places that may be taken out of names.
+MAX_TERMS = 100_000
 SPLIT = r"(?U)[\s·・,./&\-–—~!?:;\"'「」『』<>＜＞|+*]+"
 
 
@@ -34,13 +38,60 @@ def removal_terms(regions: list[str], districts: list[str]) -> list[str]:
     return sorted([*out, *GENERIC_TERMS], key=len, reverse=True)
 
 
+def corpus_terms(records: DataFrame, regions: list[str] | None = None) -> list[str]:
+    """``removal_terms`` of the districts that the records name, and of ``regions`` or those that they name.
+
+    Names of places are few whatever the number of records; more than MAX_TERMS are refused, as every task holds them.
+    """
+    found = records.select(F.explode(F.array(F.struct(F.lit("d").alias("k"), c("district").alias("v")), F.struct(F.lit("r").alias("k"), c("region").alias("v")))).alias("x")).select("x.*").where("v <> ''").distinct().limit(MAX_TERMS + 1).collect()
+    if len(found) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} names of places")
+    districts, own = (sorted(r["v"] for r in found if r["k"] == k) for k in "dr")
+    return removal_terms(own if regions is None else regions, districts)
+
+
+def removed(name: str, places: dict[str, int], lengths: list[int], late: list[str]) -> str:
+    """What replacing each term by a space, one after the other in their order, leaves of a name, in one walk over it.
+
+    All places where a term stands are found by looking substrings up; they are taken in the order of the terms, then from the
+    left, unless a letter is taken already. ``late`` are terms with a blank and all after them: these could match a blank that a
+    removal leaves, and are replaced one by one.
+    """
+    found = sorted((rank, i, n) for n in lengths for i in range(len(name) - n + 1) if (rank := places.get(name[i : i + n])) is not None)
+    if found:
+        taken = bytearray(len(name))
+        starts = set()
+        for _, i, n in found:
+            if not any(taken[i : i + n]):
+                taken[i : i + n] = b"\x01" * n
+                starts.add(i)
+        name = "".join(" " if i in starts else "" if taken[i] else ch for i, ch in enumerate(name))
+    for t in late:
+        name = name.replace(t, " ")
+    return name
+
+
+def without_terms(name: Column, removals: list[str]) -> Column:
+    """A name without the terms. However many there are, a name is walked once."""
+    terms = list(dict.fromkeys(removals))
+    cut = next((i for i, t in enumerate(terms) if " " in t), len(terms))
+    places = {t: i for i, t in enumerate(terms[:cut])}
+    lengths, late = sorted(set(map(len, places))), terms[cut:]
+
+    @F.pandas_udf(StringType())
+    def walk(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: removed(s, places, lengths, late), na_action="ignore")
+
+    return walk(name)
+
+
 def tokens(name: Column, removals: list[str]) -> Column:
-    """The keyword candidates of a name. Terms are replaced one after the other, as that is not the same as one alternation.
+    """The keyword candidates of a name. Terms are taken out in their order, as that is not the same as one alternation.
 
     Names are taken as composed (NFC) text; ``ingest.composed`` makes them so.
     """
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, PAREN, " "), ORDINAL, " "), YEAR, " ")
-    s = F.aggregate(F.array(*map(F.lit, removals)), s, lambda a, t: F.replace(a, t, F.lit(" "))) if removals else s
+    s = without_terms(s, removals) if removals else s
     parts = F.transform(F.split(s, SPLIT), lambda t: F.when((F.length(t) >= 3) & t.endswith("제"), F.regexp_replace(t, "제$", "")).otherwise(t))
     keep = lambda t: (F.length(t) >= 2) & (F.length(t) <= 8) & t.rlike("[가-힣a-zA-Z0-9]") & ~t.isin(*STOP_TOKENS) & ~t.rlike(f"({'|'.join(VERBAL_ENDINGS)})$") & ~t.rlike("^[0-9]+$")
     return F.filter(parts, keep)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STRICT, ALLOW = "HISTORICAL_ONLY", "INCLUDE_PUBLISHED_SAME_YEAR"
 COLUMNS = "query_id int, q_region string, q_district string, q_types array<string>, q_venue string, q_duration int, q_planning_year int, q_policy string"
@@ -24,6 +25,21 @@ SINGLE = [
 ]
 
 
+def of_bodies(found: DataFrame) -> DataFrame:
+    """The distinct requests of checked bodies (``validation.multi_year``) that are right, in the columns of a query; query_id numbers them by content.
+
+    Requests that differ in nothing are answered once, so their number is that of what can be asked, not of who asks.
+    """
+    v = F.try_parse_json("body")
+    text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
+    district = F.nullif(F.trim(text("district")), F.lit(""))
+    asked = found.where("status = 200").select(
+        text("regionCode").alias("q_region"), district.alias("q_district"), F.array_distinct(F.try_variant_get(v, "$.festivalTypes", "array<string>")).alias("q_types"), text("venueType").alias("q_venue"),
+        F.try_variant_get(v, "$.durationDays", "double").alias("q_duration"), F.col("planning_year").alias("q_planning_year"), F.col("policy").alias("q_policy"), "request_id",
+    )
+    return asked.withColumn("query_id", F.xxhash64("q_region", "q_district", "q_types", "q_venue", "q_duration", "q_planning_year", "q_policy"))
+
+
 def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, COLUMNS)
 

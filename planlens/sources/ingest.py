@@ -134,6 +134,16 @@ def composed(x: Column) -> Column:
     return _composed(x)
 
 
+def until_empty(cells: DataFrame, row: str, serial: str, first: int = 8) -> DataFrame:
+    """The rows of a sheet from ``first`` up to the first one without a serial number, where the data ends whatever follows.
+
+    That row is the least of all that lack one, a minimum that is combined where the rows are; no task sees the sheet in order.
+    """
+    data = cells.where(c(row) >= first)
+    end = data.where(c(serial).isNull()).agg(F.min(row).alias("__end"))
+    return data.crossJoin(F.broadcast(end)).where(c("__end").isNull() | (c(row) < c("__end"))).drop("__end")
+
+
 def single_year(raw: DataFrame, regions: dict[str, str], types: dict[str, str], venues: dict[str, str]) -> DataFrame:
     """The records of a single-year file with ``missing``, the required fields that a row lacks; only rows that lack none are loaded.
 

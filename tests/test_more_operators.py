@@ -110,3 +110,58 @@ def test_staged_tables_come_and_go(spark):
     staging.discard(df)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
         spark.read.parquet(df.stored).count()
+
+
+def test_terms_of_the_corpus_in_one_walk(spark):
+    """Against replacing each term after the other, on names of few letters so that terms overlap and touch."""
+    rng = random.Random(7)
+    word = lambda a, b: "".join(rng.choice("abc ") if rng.random() < 0.95 else "시" for _ in range(rng.randint(a, b)))
+    for n in range(60):
+        terms = sorted({word(1, 5).strip() or "a" for _ in range(rng.randint(1, 14))}, key=len, reverse=True)
+        if n % 2:
+            terms = [t.replace(" ", "b") for t in terms]
+        rng.shuffle(terms) if n % 5 == 0 else None
+        cut = next((i for i, t in enumerate(terms) if " " in t), len(terms))
+        places = {}
+        for i, t in enumerate(terms[:cut]):
+            places.setdefault(t, i)
+        for name in (word(0, 30) for _ in range(100)):
+            want = name
+            for t in terms:
+                want = want.replace(t, " ")
+            assert planner.removed(name, places, sorted(set(map(len, places))), terms[cut:]) == want
+    records = spark.createDataFrame([("서울", "고성군"), ("서울", None), ("", "포항시"), (None, "")], "region string, district string")
+    assert planner.corpus_terms(records) == planner.removal_terms(["서울"], ["고성군", "포항시"])
+
+
+def test_set_differences_name_the_keys(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(3000), rng.choice(["x", None]), rng.randrange(3)) for _ in range(4000)]
+    other = [r if i % 500 else (r[0], r[1], r[2] + 9) for i, r in enumerate(rows)][5:] + [(-1, None, 0), rows[77]]
+    df = lambda r: spark.createDataFrame(r, "k int, s string, v int")
+
+    def by_hand(a, b):
+        from collections import Counter
+
+        ca, cb, out = Counter(a), Counter(b), {}
+        for r in ca.keys() | cb.keys():
+            if ca[r] != cb[r]:
+                w, g = out.get(r[:2], (0, 0))
+                out[r[:2]] = (w + ca[r], g + cb[r])
+        return out
+
+    got = {(r.k, r.s): (r.want, r.got) for r in parity.set_differences(df(rows), df(other), ["k", "s"], ["v"]).collect()}
+    assert got == by_hand(rows, other) and got
+    assert parity.set_differences(df(rows), df(rows[::-1]), ["k", "s"], ["v"]).count() == 0
+    digest = lambda r: parity.set_digest(df(r), [], F.concat_ws(":", "k", "s", "v")).first()
+    assert digest(rows) == digest(rows[::-1]) != digest(other)
+    none = digest(rows[:0])
+    assert none.n == 0
+
+
+def test_a_sheet_ends_at_the_first_empty_serial(spark):
+    cells = spark.createDataFrame([(i, None if i in (3, 20, 25) else float(i)) for i in range(40)], "row int, serial double").repartition(4)
+    got = sorted(r.row for r in ingest.until_empty(cells, "row", "serial").collect())
+    assert got == list(range(8, 20))
+    assert ingest.until_empty(cells.where("serial is not null"), "row", "serial").count() == 40 - 8 - 2
+    assert ingest.until_empty(cells.where("false"), "row", "serial").count() == 0
