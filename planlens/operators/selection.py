@@ -34,10 +34,14 @@ def tier(single_year: bool) -> Column:
 
 def local(queries: DataFrame) -> DataFrame:
     """The queries as a relation of the driver's: they are what is asked, at most MAX_QUERIES, and every plan below holds them as they are."""
+    if getattr(queries, "is_local", False):
+        return queries
     found = queries.limit(MAX_QUERIES + 1).toArrow()
     if len(found) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries at once; split them in calls of at most {MAX_QUERIES}")
-    return queries.sparkSession.createDataFrame(found, queries.schema)
+    out = queries.sparkSession.createDataFrame(found, queries.schema)
+    out.is_local = True
+    return out
 
 
 def by_year(queries: DataFrame, first: int, last: int) -> DataFrame:
@@ -106,9 +110,9 @@ def gate(base: DataFrame, wider: Callable[[DataFrame], DataFrame]) -> tuple[Data
     info = own.groupBy("query_id", "base_tier", "base_count").agg(F.max("best").alias("best"), F.round(F.max("w") / F.sum("w"), 12).alias("base_share"), F.collect_list(F.struct("dataset_year", "w")).alias("years"))
     on = (c("base_count") >= ENOUGH) & (c("base_share") > CAP)
     info = local(info.withColumn("gate", on).withColumn("quality_floor", F.when(on, F.round(c("best") - LOSS, 12))))
-    gated = info.where("gate").select("query_id", "base_tier", "base_count", "quality_floor", "years")
+    gated = info.where("gate").select("query_id", "base_tier", "base_count", "quality_floor", "years")  # of a local relation, as all that is made of it here
     plain = info.where("not gate").drop("years").withColumn("reached_tier", c("base_tier")).withColumn("reached_share", c("base_share"))
-    if gated.isEmpty():
+    if not any(r["gate"] for r in info.select("gate").collect()):
         return plain, None
     more = materialise(wider(gated.drop("years")).where("tier > base_tier and sim >= quality_floor"), "wider")
     sums = more.groupBy("query_id", c("tier").alias("level"), "dataset_year").agg(F.sum(c("w") * times(more)).alias("w"))

@@ -19,8 +19,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from planlens.functions import scoring as S
 from planlens.operators import selection
@@ -81,8 +83,10 @@ class TierIndex:
     def of(cls, rows: DataFrame, stage: Callable[[str, Callable[[], DataFrame]], DataFrame], single_year: bool = False) -> TierIndex:
         """``rows`` are usable records; ``stage`` writes a table out, or gives the one that is there."""
         cells = stage("cells", lambda: _cells(rows))
-        ends = cells.agg(F.min("dataset_year"), F.max("dataset_year")).first()
-        return cls(rows, cells, stage("levels", lambda: _levels(cells)), stage("slices", lambda: _slices(rows)), (ends[0], ends[1]) if ends[0] is not None else (1, 0), single_year)
+        if not hasattr(cells, "years"):  # a stage is one object for all who ask for it
+            ends = cells.agg(F.min("dataset_year"), F.max("dataset_year")).first()
+            cells.years = (ends[0], ends[1]) if ends[0] is not None else (1, 0)
+        return cls(rows, cells, stage("levels", lambda: _levels(cells)), stage("slices", lambda: _slices(rows)), cells.years, single_year)
 
     def scored(self, queries: DataFrame) -> DataFrame:
         """All cells of the windows, for results that are about all of them."""
@@ -105,7 +109,8 @@ class TierIndex:
 
     def base(self, queries: DataFrame) -> DataFrame:
         """The scored cells of the base of each query, with base_tier and base_count: cells are met by the keys of the tier reached."""
-        asked = selection.by_year(self.counted(selection.local(queries)), *self.years)
+        counted = self.counted(selection.local(queries))
+        asked = selection.by_year(counted, *self.years)
         here, other = c("region") == c("q_region"), ~c("region").eqNullSafe(c("q_region"))
         everything = F.lit(True)
         ways: list[tuple[str, tuple[str, ...], Column]] = [
@@ -117,7 +122,7 @@ class TierIndex:
             ("base_tier = 4", ("region",), here),
             ("base_tier in (5, 6)", (), everything),
         ]
-        reached = {r["base_tier"] for r in asked.select("base_tier").distinct().collect()}
+        reached = {r["base_tier"] for r in counted.select("base_tier").collect()}
         found = None
         for which, keys, also in ways:
             if not reached & ({5, 6} if "in" in which else {int(which[-1])}):
@@ -140,15 +145,21 @@ class TierIndex:
 
         Queries with the same types and years share theirs; only values of slices that hold a wanted rank are read again.
         """
-        asked = selection.local(queries).withColumn("sought", F.struct("q_types", "first_year", "last_year"))
-        sought = selection.local(asked.select("sought").distinct())
-        every = selection.by_year(sought.select("sought", "sought.*"), *self.years)
+        asked = selection.local(queries)
+        keys = sorted({(tuple(r["q_types"]), r["first_year"], r["last_year"]) for r in asked.collect()})
+        number = {k: i for i, k in enumerate(keys)}
+        spark = queries.sparkSession
+        every = selection.by_year(spark.createDataFrame(pa.table({"sought": pa.array(range(len(keys)), pa.int32()), "q_types": pa.array([list(k[0]) for k in keys], pa.list_(pa.string())), "first_year": pa.array([k[1] for k in keys], pa.int32()), "last_year": pa.array([k[2] for k in keys], pa.int32())})), *self.years)
         ps = {"lo": 0.05, "hi": 0.95}
         counts = self.slices.join(F.broadcast(every), "dataset_year").where(F.arrays_overlap("q_types", "type_tokens")).groupBy("sought", "slice").agg(F.sum("k").alias("k"))
         wanted = wanted_slices(counts, ["sought"], ps).join(F.broadcast(every), "sought")
         values = logs(self.rows).join(F.broadcast(wanted), ["dataset_year", "slice"]).where(F.arrays_overlap("q_types", "type_tokens"))
         found = quantiles_of(values.select("sought", "slice", "before", "n", "v"), ["sought"], ps)
-        return selection.local(asked.join(found, "sought").select("query_id", "lo", "hi"))
+        bounds = {r["sought"]: (r["lo"], r["hi"]) for r in found.collect()}
+        rows = [(r["query_id"], *bounds[i]) for r in asked.collect() if (i := number[tuple(r["q_types"]), r["first_year"], r["last_year"]]) in bounds]
+        ids, lo, hi = zip(*rows, strict=True) if rows else ((), (), ())
+        kind = pa.int64() if asked.schema["query_id"].dataType == LongType() else pa.int32()
+        return spark.createDataFrame(pa.table({"query_id": pa.array(ids, kind), "lo": pa.array(lo, pa.float64()), "hi": pa.array(hi, pa.float64())}))
 
     def best(self, chosen: DataFrame, n: int) -> DataFrame:
         """The ``n`` best records of each query among the chosen cells, by similarity, tier and id, with rn."""
