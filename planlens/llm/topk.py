@@ -13,7 +13,8 @@ tasks of their own; outer boxes are looked at ``boxes`` at a time. So no side is
 Defined cases: rows with a null vec_id, vector or component, or with a component that is not finite, take no part; every
 other row is a candidate, rows equal in id and vector as often as they occur; equal rows ask once; rows of a query's own
 vec_id are no candidates; shorter vectors count as padded with zeros; with fewer than k candidates all are returned; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. Components that ``scale`` takes beyond 2^28 raise an error, as their
+products would overflow.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import discard, mapped, materialise, packed, unpacked
 
 #: Products of larger components might not be exact in double arithmetic; they are computed in 64-bit integers.
 EXACT = 1 << 20
+#: With components up to here, sums of up to 128 products fit 64 bits.
+LARGEST = 1 << 28
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -128,7 +131,8 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    beyond = F.raise_error(F.lit(f"a component times {scale} is beyond {LARGEST}: its products do not fit 64 bits")).cast("long")
+    return rows.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x * scale) <= LARGEST, F.floor(x * scale).cast("long")).otherwise(beyond)).alias("v"))
 
 
 def _matrix(vs: pd.Series, dim: int) -> np.ndarray:

@@ -56,3 +56,11 @@ def test_few_and_no_candidates(spark):
     assert [tuple(r) for r in topk.top_k(two).collect()] == [(0, 1, 7, 256 * 512)]
     assert topk.top_k(two.where("false")).count() == 0
     assert topk.top_k(two.where("vec_id = 0")).count() == 0
+
+
+def test_components_whose_products_overflow_are_refused(spark):
+    fine = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6, 1e6])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(fine).collect()] == [(0, 1, 1, 0)]
+    for x in (1e300, 1e17):
+        with pytest.raises(Exception, match="do not fit"):
+            topk.top_k(spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, x])], "vec_id long, embedding array<double>")).collect()
