@@ -98,15 +98,19 @@ def month_references(spark, sf_dir):
 
 
 _LISTS = {"region": labels.REGIONS, "festival_type": labels.TYPES, "venue_type": labels.VENUES}
-_LISTED = [(kind, i, code, name) for kind, names in _LISTS.items() for i, (code, name) in enumerate(names.items())]
+_LISTED = [(kind, i, code, name) for kind, names in _LISTS.items() for i, (code, name) in enumerate(names.items())] + [("duration", i, k, str(v)) for i, (k, v) in enumerate(labels.DURATIONS.items())]
 
 
 @query(f"""with {LATEST_SQL} select kind, place, code, "label" from (values {', '.join(str(x) for x in _LISTED)}) t(kind, place, code, "label")
-union all select 'dataset_year', 0, cast(max(dataset_year) as varchar), cast(count(*) as varchar) from records""")
+union all select 'dataset_year', 0, cast(max(dataset_year) as varchar), cast(count(*) as varchar) from records
+union all select 'district', cast(row_number() over (partition by region order by district) - 1 as integer), district, region from (select distinct region, district from records where district <> '')""")
 def metadata_listing(spark, sf_dir):
-    """All codes with their labels in order, and the latest year with its number of records."""
-    latest = _corpus(spark, sf_dir).agg(F.max("dataset_year").cast("string").alias("code"), F.count("*").cast("string").alias("label"))
-    return spark.createDataFrame(_LISTED, "kind string, place int, code string, label string").union(latest.select(F.lit("dataset_year"), F.lit(0), "code", "label"))
+    """All codes with their labels in order, the bounds of durations, the latest year with its number of records, and its districts by region."""
+    rows = _corpus(spark, sf_dir, "dataset_year", "region", "district")
+    latest = rows.agg(F.max("dataset_year").cast("string").alias("code"), F.count("*").cast("string").alias("label"))
+    districts = planner.districts_by_region(rows).select("region", F.posexplode("districts").alias("place", "code"))
+    fixed = spark.createDataFrame(_LISTED, "kind string, place int, code string, label string")
+    return fixed.union(latest.select(F.lit("dataset_year"), F.lit(0), "code", "label")).union(districts.select(F.lit("district"), "place", "code", "region"))
 
 
 _AB = "select query_id, count(distinct dataset_year) distinct_years, string_agg(cast(id as varchar), ',' order by id) hash from sample group by query_id"

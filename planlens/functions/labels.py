@@ -52,6 +52,8 @@ TIERS = {
     5: "전국·유형",
     6: "전체 유사도",
 }
+# Days that a request may have at least, and should have at most.
+DURATIONS = {"minimum": 2, "maximum_recommended": 180}
 # When and what a result warns of.
 FEW_SAMPLES, FEW_NATIONAL = 8, 10
 SAMPLE_BASIS = "%d개 유사 축제 데이터 기반"

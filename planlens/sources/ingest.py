@@ -69,8 +69,8 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_file(paths: DataFrame) -> DataFrame:
-    """The path with the greatest year in its name, as in ``2026년``."""
-    year = F.regexp_extract("path", r"(?U)((?:19|20)[0-9]{2})\s*년", 1)
+    """The path with the greatest year in its name, as in ``2026년``, whether that is composed or not."""
+    year = F.regexp_extract(composed(c("path")), r"(?U)((?:19|20)[0-9]{2})\s*년", 1)
     return paths.where(year != "").agg(F.max_by("path", F.struct(year, "path")).alias("path"))
 
 
