@@ -13,7 +13,7 @@ from pyspark.sql.group import GroupedData
 
 from planlens.sources.staging import discard, materialise, shared_dir
 
-__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "filtered", "grouped", "mapped", "materialise", "mix", "packed", "read", "runs", "shared_dir", "sliding_argmin", "unpacked", "windows"]
+__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "filtered", "grouped", "mapped", "materialise", "mix", "packed", "read", "runs", "shared_dir", "slices", "sliding_argmin", "unpacked", "windows"]
 
 #: A word: anything but a space or one of the ASCII control blanks U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,16 @@ def _frame(table: pa.RecordBatch | pa.Table) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+#: Rows of a batch that are Python objects at once.
+SLICE = 2048
+
+
+def slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
 
 
@@ -49,7 +59,7 @@ def mapped(rows: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterato
     kinds = arrow_schema(rows.sparkSession, schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in function(map(_frame, it)):
+        for b in function(map(_frame, slices(it))):
             if len(b):
                 yield pa.RecordBatch.from_pandas(b, kinds, preserve_index=False)
 
@@ -66,7 +76,7 @@ def filtered(rows: DataFrame, keep: Callable[[str | None], bool]) -> DataFrame:
     """The rows whose text ``keep`` is true of; no other column is touched."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             yield b.filter(pa.array([bool(keep(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
     return rows.mapInArrow(batches, rows.schema)

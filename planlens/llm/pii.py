@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD_RE, mapped
+from .common import WORD_RE, mapped, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -370,7 +370,7 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             old = b.column("text").to_pylist()
             texts = [t or "" for t in old]
             new = []
