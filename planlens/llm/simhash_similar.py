@@ -36,6 +36,8 @@ from .components import connected_components
 from .simhash import SEED
 
 MAP_WORDS = 8
+#: Hashes of texts that are broadcast at most.
+FEW = 1 << 20
 #: Documents, at most about, from which common shingles are read, and in how many of them these are.
 SAMPLE, COMMON = 20_000, 5
 
@@ -141,7 +143,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
         for b in it:
             yield pd.DataFrame({"txt": b["txt"], "sh": [shingle_set(t, shingle) for t in b["text"]]})
 
-    asked = pairs.select(F.col("ta").alias("txt")).union(pairs.select(F.col("tb").alias("txt"))).distinct()
+    numbers = asked = materialise(pairs.select(F.col("ta").alias("txt")).union(pairs.select(F.col("tb").alias("txt"))).distinct(), "asked")
+    if asked.count() <= FEW:  # so many numbers of eight bytes go to every executor; else texts are dealt out to meet them
+        asked = F.broadcast(asked)
     texts = docs.select(F.xxhash64("text").alias("txt"), "text").join(asked, "txt", "left_semi").dropDuplicates(["txt"])
     texts = materialise(mapped(texts, sets, "txt long, sh array<bigint>"), "shingle-sets")
 
@@ -155,7 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
     joined = pairs.join(texts.select(F.col("txt").alias("ta"), F.col("sh").alias("x")), "ta").join(texts.select(F.col("txt").alias("tb"), F.col("sh").alias("y")), "tb")
     links = materialise(mapped(joined.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
-    discard(pairs, texts)
+    discard(pairs, texts, numbers)
     return links
 
 
