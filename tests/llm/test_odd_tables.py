@@ -2,7 +2,7 @@
 
 import pytest
 
-from planlens.llm import decontaminate, mixing, ngrams, pii, simhash, simhash_similar, substrings, toxicity
+from planlens.llm import decontaminate, fim, minmax, mixing, ngrams, pii, simhash, simhash_similar, substrings, toxicity
 
 PER_DOCUMENT = {
     "toxicity": lambda d: toxicity.score(d, toxicity.NoisyOrModel(-3.0, {"fox": 2.0})),
@@ -11,6 +11,8 @@ PER_DOCUMENT = {
     "substrings": substrings.remove_repeats,
     "mixing": mixing.mix,
     "ngrams": ngrams.score,
+    "fim": fim.transform,
+    "minmax": minmax.near_duplicates,
     "pii": lambda d: pii.find(d, pii.fit(pii.labelled_rows(), rounds=5)),
 }
 
