@@ -2,7 +2,7 @@
 
 ``materialise`` writes a table that one call needs. ``staged`` writes a table that several calls need once for its content: a stage is
 known by its name, what it is made with, and the fingerprints of its inputs (path, files, bytes and time of change), so it is
-written anew if an input changes. ``close`` deletes what a session has written; it runs by itself when Python ends.
+written anew if an input changes, or if its files are gone. ``close`` deletes what a session has written; it runs by itself when Python ends.
 """
 
 from __future__ import annotations
@@ -67,6 +67,11 @@ def _file_system(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, found = _file_system(spark, path)
+    return fs.exists(found)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing reads any more: what came of them is in later tables of the shared folder."""
     for t in tables:
@@ -86,7 +91,7 @@ def staged(spark: SparkSession, name: str, inputs: list[str], made_with: str, bu
     """The table that ``build`` makes of ``inputs``, written by the first call that asks for it and read by all others of the session."""
     own = _STAGES.setdefault(spark.sparkContext.applicationId, {})
     key = hashlib.sha256("\n".join([name, made_with, *(fingerprint(spark, p) for p in inputs)]).encode()).hexdigest()
-    if key not in own:
+    if key not in own or not _there(spark, own[key].stored):
         own[key] = materialise(build(), name)
     return own[key]
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,9 +126,11 @@ def test_stages_are_written_once_and_go_with_the_session(spark, tmp_path):
     assert len(built) == 2
     spark.range(3).write.mode("append").parquet(path)  # the input changes
     assert stage().count() == 8 and len(built) == 3
+    shutil.rmtree(stage().stored)
+    assert stage().count() == 8 and len(built) == 4
     staging.close(spark)
     assert not os.path.exists(a.stored)
-    assert stage().count() == 8 and len(built) == 4
+    assert stage().count() == 8 and len(built) == 5
 
 
 def test_two_request_bodies(spark):
