@@ -36,6 +36,8 @@ from .components import connected_components
 from .simhash import SEED
 
 MAP_WORDS = 8
+#: Pairs that a task holds before it sends them on.
+PAIRS = 1 << 20
 #: Hashes of texts that are broadcast at most.
 FEW = 1 << 20
 #: Documents, at most about, from which common shingles are read, and in how many of them these are.
@@ -186,9 +188,12 @@ def apart_pairs(listed: DataFrame, nodes: DataFrame, found: DataFrame, similarit
     met = met.select((F.col("i") == F.col("j")).alias("same"), "g.node", "g.root", "g.n", F.flatten("g.map").alias("map"), "g.at")
     most = (1 - similarity) / (1 + similarity)
 
+    def distinct(held: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in it:
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in b.itertuples():
                 node, root, n, at = (np.asarray(x) for x in (r.node, r.root, r.n, r.at))
                 maps = np.asarray(r.map).view(np.uint64).reshape(len(node), MAP_WORDS)
@@ -198,9 +203,15 @@ def apart_pairs(listed: DataFrame, nodes: DataFrame, found: DataFrame, similarit
                     if not r.same:
                         ok &= at[y] != at[x]
                     ok[ok] = np.bitwise_count(maps[y][ok] ^ maps[x]).sum(axis=1) <= (n[y][ok] + n[x]) * most + 1e-6
-                    left.append(np.minimum(node[y][ok], node[x]))
-                    right.append(np.maximum(node[y][ok], node[x]))
-            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+                    if ok.any():
+                        held.append(np.column_stack([np.minimum(node[y][ok], node[x]), np.maximum(node[y][ok], node[x])]))
+                        size += len(held[-1])
+                if size >= PAIRS:  # a pair is in many buckets of a task: it leaves once
+                    held = [distinct(held)]
+                    if len(held[0]) > PAIRS // 2:
+                        yield pd.DataFrame(held.pop(), columns=["a", "b"])
+                    size = sum(map(len, held))
+        yield pd.DataFrame(distinct(held), columns=["a", "b"])
 
     return mapped(met, batches, "a long, b long").distinct()
 
