@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,7 +16,7 @@ from pyspark.sql.group import GroupedData
 
 from planlens.sources.staging import discard, materialise, shared_dir
 
-__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "filtered", "grouped", "mapped", "materialise", "mix", "packed", "read", "runs", "shared_dir", "slices", "sliding_argmin", "unpacked", "windows"]
+__all__ = ["BASES", "WORD", "WORD_BYTES_RE", "WORD_RE", "discard", "filtered", "given_back", "grouped", "mapped", "materialise", "mix", "packed", "read", "runs", "shared_dir", "slices", "sliding_argmin", "unpacked", "windows"]
 
 #: A word: anything but a space or one of the ASCII control blanks U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +44,17 @@ def _frame(table: pa.RecordBatch | pa.Table) -> pd.DataFrame:
 SLICE = 2048
 
 
+def given_back(it: Iterator) -> Iterator:
+    """``it``; when it ends, freed memory goes back to the system. Workers serve task after task, and would keep the most that any of them needed."""
+    try:
+        yield from it
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for at in range(0, b.num_rows, SLICE):
@@ -63,7 +77,7 @@ def mapped(rows: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterato
             if len(b):
                 yield pa.RecordBatch.from_pandas(b, kinds, preserve_index=False)
 
-    return rows.mapInArrow(batches, schema)
+    return rows.mapInArrow(lambda it: given_back(batches(it)), schema)
 
 
 def grouped(groups: GroupedData, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, spark: SparkSession) -> DataFrame:
@@ -79,7 +93,7 @@ def filtered(rows: DataFrame, keep: Callable[[str | None], bool]) -> DataFrame:
         for b in slices(it):
             yield b.filter(pa.array([bool(keep(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return rows.mapInArrow(batches, rows.schema)
+    return rows.mapInArrow(lambda it: given_back(batches(it)), rows.schema)
 
 
 def packed(values: np.ndarray) -> bytes:

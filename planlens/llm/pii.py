@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD_RE, mapped, slices
+from .common import WORD_RE, given_back, mapped, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -389,4 +389,4 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
                 b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
             yield b
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lambda it: given_back(batches(it)), docs.schema)
