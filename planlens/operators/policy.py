@@ -31,6 +31,6 @@ def status_by_year(records: DataFrame, status: DataFrame) -> DataFrame:
 
 def resolve(queries: DataFrame, status: DataFrame) -> DataFrame:
     """Adds applied_policy and last_year: the planning year itself counts only if asked for and complete."""
-    found = queries.join(status.select(F.col("dataset_year").alias("q_planning_year"), "status"), "q_planning_year", "left")
-    applied = F.when((F.col("q_policy") == SAME_YEAR) & (F.coalesce("status", F.lit(PARTIAL)) == COMPLETE), SAME_YEAR).otherwise(STRICT)
-    return found.withColumn("applied_policy", applied).withColumn("last_year", F.col("q_planning_year") - F.when(F.col("applied_policy") == SAME_YEAR, 0).otherwise(1)).drop("status")
+    found = queries.join(status.select(F.col("dataset_year").alias("q_planning_year"), F.col("status").alias("__year_status")), "q_planning_year", "left")
+    applied = F.when((F.col("q_policy") == SAME_YEAR) & (F.coalesce("__year_status", F.lit(PARTIAL)) == COMPLETE), SAME_YEAR).otherwise(STRICT)
+    return found.withColumn("applied_policy", applied).withColumn("last_year", F.col("q_planning_year") - F.when(F.col("applied_policy") == SAME_YEAR, 0).otherwise(1)).drop("__year_status")

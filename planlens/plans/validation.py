@@ -1,12 +1,15 @@
 """Checking requests: JSON bodies in a DataFrame, each with the status and the message that it gets.
 
 A body is parsed with a schema that keeps what kind of value each field had. Rules are tried in order and the first that
-fails decides; a body that passes all has status 200 and no message. Whether there is data to answer from is known only
-with the records, so ``without_data`` adds that.
+fails decides; a body that passes all has status 200 and no message. Equal bodies are checked once: parsing costs far more than
+meeting them again. Whether there is data to answer from is known only with the records, so ``without_data``,
+``without_records`` and ``with_window`` add that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,16 @@ def at_least(name: str, low: float) -> Column:
 
 def checked(bodies: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """``bodies`` (request_id, body) with status and problem: the name of the first rule that fails, or null."""
+    return judged(bodies, lambda once: ruled(once, rules))
+
+
+def judged(bodies: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``bodies`` with the columns that ``judge`` adds to their distinct ones."""
+    once = judge(bodies.select("body").distinct()).withColumnRenamed("body", "__body")
+    return bodies.join(once, c("body").eqNullSafe(c("__body"))).drop("__body")
+
+
+def ruled(bodies: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     parsed = bodies.withColumn("v", F.try_parse_json("body"))
     chain = F.when(c("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "json")
     for name, holds in rules:
@@ -83,24 +96,35 @@ def multi_year(bodies: DataFrame, regions: list[str], types: list[str], venues:
     asked = kind("referenceDataPolicy").isNotNull() & ~((kind("referenceDataPolicy") == "STRING") & (text("referenceDataPolicy") == ""))
     wanted = F.when(~asked, POLICIES[0]).when(one_of("referenceDataPolicy", list(POLICIES)), text("referenceDataPolicy"))
     rules = [("required", required), ("regionCode", one_of("regionCode", regions)), ("festivalTypes", known), ("venueType", one_of("venueType", venues)), ("durationDays", at_least("durationDays", 2)), ("planningYear", year), ("referenceDataPolicy", wanted.isNotNull())]
-    found = checked(bodies, rules)
+    return judged(bodies, lambda once: _with_policy(ruled(once, rules), wanted))
+
+
+def _with_policy(found: DataFrame, wanted: Column) -> DataFrame:
     return found.withColumn("v", F.try_parse_json("body")).withColumn("policy", F.when(c("status") == 200, wanted)).withColumn("planning_year", F.when(c("status") == 200, number("planningYear").cast("int"))).drop("v")
 
 
+def _refused(found: DataFrame, empty: Column, status: int) -> DataFrame:
+    empty = (c("status") == 200) & empty
+    return found.withColumn("problem", F.when(empty, "no data").otherwise(c("problem"))).withColumn("status", F.when(empty, status).otherwise(c("status")))
+
+
 def without_data(found: DataFrame, pools: DataFrame, status: int) -> DataFrame:
     """Requests that are right but have no record to answer from, by ``pools`` (request_id, n), get ``status``."""
-    empty = (c("status") == 200) & (F.coalesce("n", F.lit(0)) == 0)
-    both = found.join(pools, "request_id", "left")
-    return both.withColumn("problem", F.when(empty, "no data").otherwise(c("problem"))).withColumn("status", F.when(empty, status).otherwise(c("status"))).drop("n")
+    return _refused(found.join(pools, "request_id", "left"), F.coalesce("n", F.lit(0)) == 0, status).drop("n")
+
+
+def without_records(found: DataFrame, records: DataFrame, status: int) -> DataFrame:
+    """Requests that are right get ``status`` if there is no record at all: one number, whatever the number of requests."""
+    return _refused(found.crossJoin(F.broadcast(records.agg(F.count("*").alias("__n")))), c("__n") == 0, status).drop("__n")
 
 
 def with_window(found: DataFrame, usable: DataFrame, status: DataFrame) -> DataFrame:
     """Multi-year requests that are right but whose window, under the policy that applies, holds no usable record get status 422.
 
     The policy that applies is not the one asked for, unless the year is complete. Windows have no lower end, so the earliest
-    year of all is enough to know: one row, whatever the number of records.
+    year of all is enough to know: one row, whatever the number of records. It comes to each request where that is.
     """
-    asked = found.where("status = 200").select("request_id", c("planning_year").alias("q_planning_year"), c("policy").alias("q_policy"))
-    first = usable.agg(F.min("dataset_year").alias("first"))
-    pools = policy.resolve(asked, status).crossJoin(F.broadcast(first)).where(c("first") <= c("last_year")).select("request_id", F.lit(1).alias("n"))
-    return without_data(found, pools, 422)
+    asked = found.withColumns({"q_planning_year": c("planning_year"), "q_policy": c("policy")})
+    first = usable.agg(F.min("dataset_year").alias("__first"))
+    ends = policy.resolve(asked, status).crossJoin(F.broadcast(first))
+    return _refused(ends, ~F.coalesce(c("__first") <= c("last_year"), F.lit(False)), 422).select(found.columns)
