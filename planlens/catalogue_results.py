@@ -186,8 +186,7 @@ _EMPTY_SQL = " select request_id, case when problem is not null then 400 when no
 
 def _answered(found, spark, sf_dir):
     """Right requests are refused if there is no record at all."""
-    any_ = _corpus(spark, sf_dir, "dataset_year").agg(F.count("*").alias("n"))
-    return validation.without_data(found, found.select("request_id").crossJoin(F.broadcast(any_)), 503).select("request_id", "status", "problem")
+    return validation.without_records(found, _corpus(spark, sf_dir, "dataset_year"), 503).select("request_id", "status", "problem")
 
 
 @query("with " + _rules_sql([*_COMMON_SQL, ("durationDays", f"{_number('durationDays')} >= 2")]) + _EMPTY_SQL)
