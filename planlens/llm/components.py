@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 
     Every step is a minimum per node, combined before the shuffle, and an equality join; a node with very many
-    neighbours is a skewed join key that adaptive execution splits. Each round is written to the shared folder.
+    neighbours is a skewed join key that adaptive execution splits. Joins are by merge, so that the driver holds no table of nodes,
+    as it would for a broadcast. Each round is written to the shared folder.
     Rows with a null or equal ends are ignored. Raises if the steps have not settled after ``rounds`` rounds.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -28,10 +29,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every neighbour above a node is tied to the least of the node and its neighbours
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its lower neighbours are tied to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(low, "a")
+        tied = large.join(low.hint("merge"), "a")
         small = tied.select(F.col("b").alias("x"), "m").union(tied.select(F.col("a").alias("x"), "m"))
         old, e = e, materialise(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         discard(old)

@@ -10,6 +10,9 @@ start. A variant shared by many *distinct* fingerprints (over ``bucket`` of them
 fingerprint wipes out a second position of the 33 free bits, and all that then agree (four at most) are linked to the
 least of them; two at distance two or less always meet that way.
 
+All joins are by merge: fingerprints, links and classes grow with the corpus, and none of them goes through the driver, as a
+broadcast would.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle of all words; repeated rows stay repeated and fall in one class; rows with a
 null doc_id keep null and do not name a class unless all its rows have none; other columns are ignored.
@@ -71,7 +74,7 @@ def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
     """(a, b), a < b: verified links that connect exactly what the links of two or fewer differing bits connect."""
     listed = variants(prints)
     counts = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(listed.join(counts, "key"), "variants")
+    shared = materialise(listed.join(counts.hint("merge"), "key"), "variants")
     segment, at = F.expr("cast(shiftright(key, 40) as int)"), F.expr("cast(shiftright(key, 32) & 255 as int)")
     # Small buckets: compare within the bucket; a pair counts only at its canonical position, the differing bit or else 0.
     small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_set("fp").alias("fps"))
@@ -98,8 +101,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     found = connected_components(links(distinct.select("fp"), bucket))  # node, root
-    classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(ids.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -86,3 +86,23 @@ def test_near_copies_by_exact_similarity(spark):
     got = {r.doc_id: r.component_id for r in simhash_similar.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(want[d] == want[c] for d, c in got.items())  # nothing is linked that is not similar
     assert sum(got[d] == want[d] for d in want) >= 0.95 * len(want)
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Whatever its size, no table of fingerprints, links or classes is broadcast."""
+    from planlens.llm import components
+
+    plans, put = [], simhash.materialise
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", kept)
+    monkeypatch.setattr(components, "materialise", kept)
+    prints = spark.createDataFrame([(i, (1 << i % 15) - 1) for i in range(30)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: prints)
+    found = simhash.near_duplicates(prints)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.component_id for r in found.collect()} == {0} and len(plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
