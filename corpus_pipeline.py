@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each class of near copies stays: SimHash links, and an exact join for the rest, of a similarity of 0.8 or more on shingles of five words."""
     return simhash_similar.keep_first(docs)
 
 

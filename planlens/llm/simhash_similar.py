@@ -1,4 +1,8 @@
-"""Near-dedup at a shingle similarity well under what two differing bits of a SimHash mean: an exact similarity join.
+"""Near-dedup by SimHash, and an exact similarity join for what SimHash leaves.
+
+Fingerprints that differ in at most two bits are linked by their deletion variants (``simhash.links``), and full sets of shingles
+confirm the links: the first classes. Two bits mean a shingle similarity well over 0.8, so copies less near are found by the
+exact join that follows, which starts from these classes.
 
 Nodes are distinct sets of shingle hashes, so texts become one node only if their shingles are the same. All shingles are
 put in one order, common ones last. Two sets of a Jaccard similarity of ``similarity`` or more share a shingle among the
@@ -6,7 +10,7 @@ first n - ceil(similarity * n) + 1 of each (prefix filtering: Chaudhuri et al.,
 texts that share such a shingle, a *bucket*, hold every link. Which shingles count as common is read from a sample of the
 documents; it decides how large buckets get and never what is found.
 
-A bucket is compared in two rounds. First each of its nodes with one, that which is in the largest buckets: copies of one
+A bucket is compared in two rounds, after the classes of SimHash. First each of its nodes with one, that which is in the largest buckets: copies of one
 text share its shingles, so that is the text itself. A bucket whose nodes are one class by then is done. In the others all
 pairs of nodes of different classes are looked at, where they are: a bucket goes to its task in blocks of at most ``block``
 nodes, a crowded one as so many pairs of blocks, and only pairs that pass two bounds leave it. So a bucket of copies of one
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES_RE, discard, mapped, materialise
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, fingerprint, links
 
 MAP_WORDS = 8
 #: Pairs that a task holds before it sends them on.
@@ -100,25 +104,26 @@ def row_key(docs: DataFrame):
 
 
 def sets_of(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
-    """A row for each document: key (``row_key``), doc_id, txt (a hash of the text), node, n, map, wide, prefix."""
+    """A row for each document: key (``row_key``), doc_id, txt (a hash of the text), node, fp (its SimHash), n, map, wide, prefix."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late = np.append(common.value, np.iinfo(np.int64).max)
         for b in it:
-            node, n, maps, wide, prefix = [], [], [], [], []
+            node, fp, n, maps, wide, prefix = [], [], [], [], [], []
             for t in b["text"]:
                 sh = shingle_set(t, shingle)
                 node.append(xxhash.xxh64_intdigest(sh.tobytes(), SEED))
+                fp.append(fingerprint(t))
                 n.append(len(sh))
                 wide.append(parity_map(sh, wide_words(len(sh))).tobytes())
                 maps.append(parity_map(sh, MAP_WORDS))
                 is_late = late[np.searchsorted(late, sh)] == sh
                 size = len(sh) - math.ceil(similarity * len(sh) - 1e-9) + 1 if len(sh) else 0
                 prefix.append(np.concatenate([sh[~is_late], sh[is_late]])[:size])
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "txt": b["txt"], "node": np.array(node, np.uint64).view(np.int64), "n": n, "map": maps, "wide": wide, "prefix": prefix})
+            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "txt": b["txt"], "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fp, np.uint64).view(np.int64), "n": n, "map": maps, "wide": wide, "prefix": prefix})
 
     rows = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("txt"))
-    return mapped(rows, batches, "key long, doc_id long, txt long, node long, n int, map array<bigint>, wide binary, prefix array<bigint>")
+    return mapped(rows, batches, "key long, doc_id long, txt long, node long, fp long, n int, map array<bigint>, wide binary, prefix array<bigint>")
 
 
 def shared_prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,9 +165,21 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             yield b.loc[keep, ["a", "b"]]
 
     joined = pairs.join(texts.select(F.col("txt").alias("ta"), F.col("sh").alias("x")), "ta").join(texts.select(F.col("txt").alias("tb"), F.col("sh").alias("y")), "tb")
-    links = materialise(mapped(joined.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
+    confirmed = materialise(mapped(joined.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
     discard(pairs, texts, numbers)
-    return links
+    return confirmed
+
+
+def simhash_pairs(nodes: DataFrame, bucket: int = 64) -> DataFrame:
+    """a, b: nodes whose fingerprints are linked by deletion variants, each node of one fingerprint with the least of them.
+
+    Fingerprints are linked by any of their nodes; sets confirm the pairs, so what is lost here is found by the exact join.
+    """
+    least = nodes.groupBy("fp").agg(F.min("node").alias("c"))
+    same = nodes.select("node", "fp").join(least.hint("merge"), "fp").where("node <> c").select("node", "c")
+    side = lambda s: least.select(F.col("fp").alias(s), F.col("c").alias(f"c{s}")).hint("merge")
+    near = links(least.select("fp"), bucket).join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("node"), F.col("cb").alias("c"))
+    return same.union(near).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
 def central_pairs(listed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -220,16 +237,17 @@ def classes_of(docs: DataFrame, shingle: int, similarity: float, block: int) ->
     """key, doc_id, root: a row for each document, the same root for those of one class."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     sets = materialise(sets_of(docs, shingle, similarity, common), "sets")
-    nodes = materialise(sets.groupBy("node").agg(F.min(F.struct("key", "txt", "n", "map", "wide")).alias("s")).select("node", F.col("s.key").alias("row"), "s.txt", "s.n", "s.map", "s.wide"), "nodes")
+    nodes = materialise(sets.groupBy("node").agg(F.min(F.struct("key", "txt", "fp", "n", "map", "wide")).alias("s")).select("node", F.col("s.key").alias("row"), "s.txt", "s.fp", "s.n", "s.map", "s.wide"), "nodes")
     listed = materialise(shared_prefixes(sets, nodes), "buckets")
     rows = materialise(sets.select("key", "doc_id", "node"), "rows")
     discard(sets)
-    links = verified(central_pairs(listed, nodes, similarity), docs, nodes, shingle, similarity)
-    found = connected_components(links)
+    first = simhash_pairs(nodes).union(central_pairs(listed, nodes, similarity)).distinct()
+    near = verified(first, docs, nodes, shingle, similarity)
+    found = connected_components(near)
     more = verified(apart_pairs(listed, nodes, found, similarity, block), docs, nodes, shingle, similarity)
-    found = connected_components(links.union(more))
+    found = connected_components(near.union(more))
     out = materialise(rows.join(found, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "classes")
-    discard(nodes, listed, rows, links, more)
+    discard(nodes, listed, rows, near, more)
     return out
 
 

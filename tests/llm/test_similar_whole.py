@@ -98,3 +98,14 @@ def test_one_row_of_each_class_stays_with_or_without_id(spark):
     rows = [(None, text), (None, text), (7, text + " x"), (3, text + " y"), (3, text + " y"), (3, "another text of the same id"), (None, "alone without an id"), (None, "alone without an id")]
     kept = simhash_similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, text + " y"), (3, "another text of the same id"), (None, "alone without an id")], key=str)
+
+
+def test_simhash_links_are_made_and_confirmed(spark):
+    """Pairs of fingerprints of at most two differing bits come from deletion variants; texts of one fingerprint meet the least of them."""
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 7), (5, -1), (6, -1 - (1 << 40))], "node long, fp long")
+    got = {(r.a, r.b) for r in simhash_similar.simhash_pairs(nodes).collect()}
+    assert got == {(1, 2), (1, 3), (3, 4), (5, 6)}
+    crowded = {(r.a, r.b) for r in simhash_similar.simhash_pairs(nodes, bucket=1).collect()}
+    assert {(1, 2), (5, 6)} <= crowded and {n for p in crowded for n in p if n < 5} == {1, 2, 3, 4}
+    docs = spark.createDataFrame([(1, " "), (2, None), (3, "a b c d e f"), (4, "A b c d e f"), (5, "g")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash_similar.similar_classes(docs).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
