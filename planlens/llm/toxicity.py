@@ -17,6 +17,7 @@ repeated rows each get their row; labels, lang, source and doc_id are never inpu
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, mapped
+from .common import filtered, give_back, mapped
 
 SENTENCE_RE = re.compile(r"[^.!?\n]+")
 TOKEN_RE = re.compile(r"[^\W_]+")
@@ -69,35 +70,61 @@ class NoisyOrModel:
         return float(-np.expm1(-np.logaddexp(0.0, np.array(logits)).sum()))
 
 
+#: Features that the fit has as doubles at once.
+BLOCK = 1 << 18
+
+
 def fit(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int = 300, l1: float = 2e-4, rate: float = 0.1) -> NoisyOrModel:
-    """Proximal Adam on the mean document log-likelihood with an L1 penalty on the word weights."""
-    # features become numbers as they are met: millions of separate strings would fill the driver
+    """Proximal Adam on the mean document log-likelihood with an L1 penalty on the word weights.
+
+    Features are numbers of four bytes in flat arrays as they are met, and doubles a block at a time: objects for each sentence would fill the driver.
+    """
     names: dict[str, int] = {}
-    bags = [[np.array([names.setdefault(w, len(names)) for w in f], np.int32) for s in SENTENCE_RE.findall(t or "") if (f := features(s))] for t in texts]
-    seen = np.zeros(len(names), np.int64)
-    for bag in bags:
-        if bag:
-            seen[np.unique(np.concatenate(bag))] += 1
+    flat, sizes, counts, seen = array("i"), array("i"), [], array("i")  # features; features of a sentence; sentences of a text; texts of a feature
+    for t in texts:
+        start, before = len(flat), len(sizes)
+        for s in SENTENCE_RE.findall(t or ""):
+            if f := features(s):
+                flat.extend([names.setdefault(w, len(names)) for w in f])
+                sizes.append(len(f))
+        counts.append(len(sizes) - before)
+        seen.frombytes(bytes(4 * (len(names) - len(seen))))
+        np.asarray(seen)[np.unique(np.asarray(flat[start:]))] += 1
     vocab = {w: i for i, w in enumerate(sorted(w for w, i in names.items() if seen[i] >= min_docs))}
-    bags, labels = zip(*[(b, y) for b, y in zip(bags, labels, strict=True) if b], strict=True) if any(bags) else ((), ())
-    y = np.array(labels, float)
+    y = np.array([v for v, n in zip(labels, counts, strict=True) if n], float)
     if not vocab or not len(y) or y.min() == y.max():
         return NoisyOrModel()
     column = np.full(len(names), -1, np.int32)
     column[[names[w] for w in vocab]] = np.arange(len(vocab))
-    ids = [(c := np.sort(column[s]))[c >= 0] for b in bags for s in b]
-    flat = np.concatenate(ids).astype(np.int64)
-    sent = np.repeat(np.arange(len(ids)), [len(s) for s in ids])
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    del names, seen
+    doc = np.repeat(np.arange(len(y)), [n for n in counts if n])
+    sent = np.repeat(np.arange(len(sizes), dtype=np.int32), np.asarray(sizes))
+    flat = column[np.asarray(flat)]
+    kept = flat >= 0
+    flat, sent = flat[kept], sent[kept]
+    n_sent, n_docs = len(sizes), len(y)
+    cuts = np.searchsorted(sent, np.arange(n_sent + 1))
+    blocks, at = [], 0  # whole sentences each: (first and last sentence, first and last feature)
+    while at < n_sent:
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
+        blocks.append((at, end, int(cuts[at]), int(cuts[end])))
+        at = end
+    for _, _, i, j in blocks:
+        flat[i:j] = flat[i:j][np.lexsort((flat[i:j], sent[i:j]))]
     x, m, v = np.zeros(len(vocab) + 1), 0.0, 0.0  # the last entry is the bias
-    x[-1] = np.log(y.mean() * len(y) / len(ids))
+    x[-1] = np.log(y.mean() * len(y) / n_sent)
+    z, grad = np.zeros(n_sent), np.zeros(len(vocab) + 1)
     for step in range(1, rounds + 1):
-        z = x[-1] + np.bincount(sent, weights=x[flat], minlength=len(ids))
+        for a, b, i, j in blocks:
+            z[a:b] = x[-1] + np.bincount(sent[i:j] - a, weights=x[flat[i:j]], minlength=b - a)
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(bags))  # -log prod(1 - p)
+        clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=n_docs)  # -log prod(1 - p)
         ratio = np.where(y > 0, -1 / np.expm1(np.maximum(clean, 1e-9)), 1.0)  # d loss / d clean
-        g_sent = ratio[doc] * p / len(bags)
-        grad = np.append(np.bincount(flat, weights=g_sent[sent], minlength=len(vocab)), g_sent.sum())
+        g_sent = ratio[doc] * p / n_docs
+        grad[:] = 0
+        for _, _, i, j in blocks:
+            np.add.at(grad, flat[i:j], g_sent[sent[i:j]])
+        grad[-1] = g_sent.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         scale = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         x = x - scale * m / (1 - 0.9**step)
@@ -127,7 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_words: i
             break
         texts.append(r.text)
         ys.append(int(r.toxic > 0))
-    return fit(texts, ys, **options)
+    del sample, picked
+    model = fit(texts, ys, **options)
+    del texts
+    give_back()  # the driver serves stage after stage, and would keep what the fit needed
+    return model
 
 
 SCORED = "score double, predicted int, n_sentences long, toxic_sentences array<struct<start:int,end:int,score:double>>"

@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 
 import pytest
@@ -67,3 +68,14 @@ def test_the_query_row_by_row(spark):
         r = got[d]
         assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
         assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
+def test_the_fit_holds_numbers_not_objects_for_each_sentence():
+    words = [f"word{i:04d}x" for i in range(500)]
+    texts = [". ".join(" ".join(words[(7 * n + 11 * i + k) % 500] for k in range(6)) for i in range(300)) for n in range(200)]
+    tracemalloc.start()
+    toxicity.fit(texts, [n % 2 for n in range(200)], rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    features = 7 * 300 * 200  # six words of a sentence and the beginning they share
+    assert peak < 50 * features
